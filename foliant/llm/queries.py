@@ -3,11 +3,26 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from foliant.llm.common import read_table
+from foliant.llm import language_id
+from foliant.llm.common import id_crc, read_table
 from foliant.llm.decontaminate import contamination
 from foliant.llm.exact_dedup import exact_groups
 from foliant.llm.jaccard_join import jaccard_components
+from foliant.llm.mixing import mix
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = F.coalesce(id_crc(F.col("doc_id")) % 4 == 2, F.lit(False))
+    dictionaries = language_id.train(docs.filter(~held_out))
+    found = language_id.identify(docs, dictionaries)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "margin", "rejected")
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "draws")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,7 +38,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_decontamination, op4_ngram_jaccard, op7_exact_dedup)}
+    return {f.__name__: f for f in (op1_language_id, op2_mixing, op3_decontamination, op4_ngram_jaccard, op7_exact_dedup)}
 
 
 ALPHA = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
