@@ -12,13 +12,16 @@ one posting list whose classes lie in different components, and all of these are
 component need no check, as they cannot change which documents are reachable. Nothing is capped or sampled.
 
 Frequencies are counted over all documents for the shingles in the lowest part of the hash range, from which
-prefixes are drawn first. Only the most frequent of them are broadcast (at most `max_ranked`); the others rank
-as rare. Which are listed changes the speed, never the result.
+prefixes are drawn first. Two tables of fixed size tell the tasks about them: a bitmap of the shingles that occur
+more than once, and the counts of at most `max_ranked` of the most frequent. Shingles whose bit is not
+set occur once, so they can share nothing and need no posting. What the tables can hold changes the order and
+the speed, never the result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,10 +35,11 @@ from foliant.llm.components import connected_components
 #: A-Z lower-cased, ASCII white space as space, all other bytes as they are.
 SPLIT_BYTES = bytes(c + 32 if 65 <= c <= 90 else 32 if c == 32 or 9 <= c <= 13 else c for c in range(256))
 ZONE = 0.2
-MAX_RANKED = 1 << 16
-LEAST_RANKED = 4
+MAX_RANKED = 1 << 20
 STAR_ROUNDS = 2
-FILTER_BITS = 24
+#: Bits of the bitmap of repeated shingles (16 MB) and of wanted classes (2 MB).
+SHARED_BITS = 27
+WANTED_BITS = 24
 
 _rng = np.random.default_rng(20)
 _BYTE = _rng.integers(1, 1 << 63, 256, np.uint64) | np.uint64(1)
@@ -96,32 +100,38 @@ def _counts(n: int, zone: int):
     return run
 
 
-def _prefixes(n: int, num: int, den: int, zone: int, ranked):
+def _prefixes(n: int, num: int, den: int, zone: int, tables):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        listed, often = ranked.value
+        shared, listed, often = tables.value
         for batch in batches:
-            sizes, classes, groups, prefixes = [], [], [], []
+            sizes, classes, groups, places, prefixes = [], [], [], [], []
             for x in batch.column("bytes"):
                 s = shingles(x.as_py(), n)
                 sizes.append(len(s))
                 if not len(s):
-                    classes.append(None), groups.append(None), prefixes.append([])
+                    classes.append(None), groups.append(None), places.append([]), prefixes.append([])
                     continue
                 take = len(s) - -(-num * len(s) // den) + 1
-                low = int(np.searchsorted(s, np.uint64(zone)))
-                df = np.ones(low, np.int64)
-                if len(listed) and low:
-                    at = np.minimum(np.searchsorted(listed, s[:low]), len(listed) - 1)
-                    df = np.where(listed[at] == s[:low], often[at], 1)
+                low = s[: np.searchsorted(s, np.uint64(zone))]
+                bit = (low & np.uint64((1 << SHARED_BITS) - 1)).astype(np.int64)
+                df = 1 + (shared[bit >> 3] >> (bit & 7) & 1).astype(np.int64)
+                if len(listed) and len(low):
+                    at = np.minimum(np.searchsorted(listed, low), len(listed) - 1)
+                    df = np.where(listed[at] == low, often[at], df)
                 order = np.argsort(df, kind="stable")[:take]
-                prefix = np.concatenate([s[order], s[low : low + take - len(order)]])
+                prefix = np.concatenate([low[order], s[len(low) : len(low) + take - len(order)]])
+                open_ = np.flatnonzero(np.r_[df[order] > 1, np.ones(len(prefix) - len(order), bool)])
                 classes.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 groups.append(int.from_bytes(hashlib.blake2b(prefix.tobytes(), digest_size=8, key=str(len(s)).encode()).digest(), "big", signed=True))
-                prefixes.append(prefix.view(np.int64))
+                places.append(open_)
+                prefixes.append(prefix[open_].view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(groups, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "cls", "grp", "prefix"],
-            )
+                [
+                    batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(groups, pa.int64()),
+                    pa.array(places, pa.list_(pa.int64())), pa.array(prefixes, pa.list_(pa.int64())),
+                ],
+                ["doc_id", "n_shingles", "cls", "grp", "pos", "shingle"],
+            )
 
     return run
 
@@ -137,7 +147,7 @@ def _sets(n: int, wanted):
                 s = shingles(x.as_py(), n)
                 if not len(s) or (c := hashlib.blake2b(s.tobytes(), digest_size=16).digest()) in seen:
                     continue
-                bit = int.from_bytes(c[:4], "big") >> (32 - FILTER_BITS)
+                bit = int.from_bytes(c[:4], "big") >> (32 - WANTED_BITS)
                 if bits[bit >> 3] >> (bit & 7) & 1:
                     seen.add(c)
                     classes.append(c)
@@ -147,22 +157,37 @@ def _sets(n: int, wanted):
     return run
 
 
-def _wanted_bits(classes: DataFrame) -> bytearray:
-    """A bit for each value of the first FILTER_BITS bits of a wanted class: 2 MB, whatever the input."""
-    bit = F.conv(F.substring(F.hex("cls"), 1, 8), 16, 10).cast("long")
-    bit = F.shiftrightunsigned(bit, 32 - FILTER_BITS)
-    rows = (
-        classes.select(bit.alias("bit"))
-        .groupBy(F.shiftright("bit", 15).alias("part"))
-        .agg(F.bitmap_construct_agg(F.col("bit").bitwiseAND(F.lit(32767))).alias("bits"))
-        .collect()
-    )
-    out = bytearray(1 << (FILTER_BITS - 3))
+def _bitmap(bits: DataFrame, size: int) -> np.ndarray:
+    """bits: one column with numbers under 2 ** size. A bit for each number, whatever the input's size."""
+    bit = F.col(bits.columns[0]).cast("long")
+    rows = bits.groupBy(F.shiftright(bit, 15).alias("part")).agg(F.bitmap_construct_agg(bit.bitwiseAND(F.lit(32767))).alias("bits")).collect()
+    out = np.zeros(1 << (size - 3), np.uint8)
     for r in rows:
-        out[r["part"] << 12 : (r["part"] << 12) + len(r["bits"])] = r["bits"]
+        out[r["part"] << 12 : (r["part"] << 12) + len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
     return out
 
 
+def _frequency_tables(counts: DataFrame, max_ranked: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """counts: shingle, n > 1. The bitmap of these, and the shingles, sorted, and counts of the most frequent.
+
+    The cut lies where at most max_ranked are listed; of the count just below it a part is, by shingle.
+    """
+    shared = _bitmap(counts.select(F.col("shingle").bitwiseAND(F.lit((1 << SHARED_BITS) - 1))), SHARED_BITS)
+    capped = F.least("n", F.lit(1000))
+    room, cut, part = max_ranked, 3, 0.0
+    for r in counts.filter("n > 2").groupBy(capped.alias("n")).count().orderBy(F.desc("n")).collect():
+        if r["count"] > room:
+            cut, part = r["n"] + 1, room / r["count"]
+            break
+        room -= r["count"]
+    chosen = (F.col("n") >= cut) if cut <= 1000 else (F.col("n") < 0)
+    below = (capped == cut - 1) & (F.col("n") > 2) & (F.pmod("shingle", F.lit(1 << 20)) < int(part * (1 << 20)))
+    table = counts.filter(chosen | below).select("shingle", "n").toArrow()
+    listed = table.column("shingle").to_numpy().view(np.uint64)
+    order = np.argsort(listed)
+    return shared, listed[order], table.column("n").to_numpy()[order]
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of classes whose sets reach the threshold."""
     left = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa"))
@@ -189,32 +214,29 @@ def jaccard_classes(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100,
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("bytes"))
 
-    often = (
-        texts.select("bytes").mapInArrow(_counts(n, limit), "shingle long, n long")
-        .groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_RANKED)
-        .orderBy(F.desc("n"), "shingle").limit(max_ranked).collect()
-    )
-    listed = np.array([r[0] for r in often], np.int64).view(np.uint64)
-    order = np.argsort(listed)
-    ranked = spark.sparkContext.broadcast((listed[order], np.array([r[1] for r in often], np.int64)[order]))
-
+    counts = texts.select("bytes").mapInArrow(_counts(n, limit), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    tables = spark.sparkContext.broadcast(_frequency_tables(stored(counts.filter("n > 1"), "counts"), max_ranked))
     members = stored(
-        texts.mapInArrow(_prefixes(n, num, den, limit, ranked), f"doc_id {kind}, n_shingles long, cls binary, grp long, prefix array<long>"),
+        texts.mapInArrow(_prefixes(n, num, den, limit, tables), f"doc_id {kind}, n_shingles long, cls binary, grp long, pos array<long>, shingle array<long>"),
         "prefixes",
     )
     filled = members.filter("n_shingles > 0")
     classes = stored(filled.select("cls", "grp", "n_shingles").distinct(), "classes")
     # grp is a 64-bit digest of size and prefix; should two groups share it, they only make more candidates
-    groups = stored(
-        filled.select("grp", "n_shingles", "prefix").distinct().select("grp", "n_shingles", F.posexplode("prefix").alias("pos", "shingle")),
-        "postings",
-    )
-    lists = groups.groupBy("shingle").agg(F.count("*").alias("n_groups")).filter("n_groups > 1")
-    postings = stored(groups.join(lists.select("shingle"), "shingle", "left_semi"), "postings")
+    groups = filled.filter("size(shingle) > 0").select("grp", "n_shingles", "pos", "shingle").distinct()
+    groups = stored(groups.select("grp", "n_shingles", F.explode(F.arrays_zip("pos", "shingle")).alias("p")).select("grp", "n_shingles", "p.pos", "p.shingle"), "postings")
+    # two sets of sizes x <= y can only link if the first shared shingle is this early in the smaller set
+    early = F.col("pos") < F.col("n_shingles") - F.ceil(F.col("n_shingles") * (2 * num) / (num + den)) + 2
+    # sizes of a pair lie in one band or in neighbouring bands, so each posting goes to its own band and the next
+    band = F.floor(F.log("n_shingles") / math.log(den / num * (1 + 1e-6)))
+    banded = groups.withColumn("early", early.cast("int")).withColumn("band", F.explode(F.array(band, band + 1)))
+    lists = banded.groupBy("shingle", "band").agg(F.count("*").alias("n"), F.max("early").alias("early")).filter("n > 1 AND early = 1")
+    postings = stored(banded.join(lists.select("shingle", "band"), ["shingle", "band"], "left_semi").drop("early"), "postings")
 
     crowded = classes.groupBy("grp").agg(F.count("*").alias("n_classes")).filter("n_classes > 1").select("grp")
-    wanted = classes.join(postings.select("grp").union(crowded).distinct(), "grp", "left_semi").select("cls")
-    bits = spark.sparkContext.broadcast(_wanted_bits(wanted))
+    wanted = classes.join(postings.select("grp").union(crowded).distinct(), "grp", "left_semi")
+    bit = F.shiftrightunsigned(F.conv(F.substring(F.hex("cls"), 1, 8), 16, 10).cast("long"), 32 - WANTED_BITS)
+    bits = spark.sparkContext.broadcast(_bitmap(wanted.select(bit.alias("bit")), WANTED_BITS).tobytes())
     sets = texts.select("bytes").mapInArrow(_sets(n, bits), "cls binary, shingles array<long>")
     sets = stored(sets.groupBy("cls").agg(F.first("shingles").alias("shingles")), "sets")
 
@@ -249,10 +271,10 @@ def _star_pairs(comp: DataFrame, postings: DataFrame, k: int, num: int, den: int
     mixed = heads.filter("lo <> hi").select("grp", "head")
     inner = comp.join(mixed, "grp").filter(F.col("component") != F.col("head.component"))
     inner = inner.select(*_ordered(F.col("cls"), F.col("head.cls")))
-    entries = postings.select("shingle", "grp").join(heads.select("grp", "head"), "grp")
-    pivots = entries.groupBy("shingle").agg(F.min("head").alias("pivot"), F.min("head.component").alias("lo"), F.max("head.component").alias("hi"))
-    pivots = pivots.filter("lo <> hi").select("shingle", "pivot")
-    outer = entries.join(pivots, "shingle").filter(
+    entries = postings.select("shingle", "band", "grp").join(heads.select("grp", "head"), "grp")
+    pivots = entries.groupBy("shingle", "band").agg(F.min("head").alias("pivot"), F.min("head.component").alias("lo"), F.max("head.component").alias("hi"))
+    pivots = pivots.filter("lo <> hi").select("shingle", "band", "pivot")
+    outer = entries.join(pivots, ["shingle", "band"]).filter(
         (F.col("head.component") != F.col("pivot.component")) & _size_ok(F.col("head.n_shingles"), F.col("pivot.n_shingles"), num, den)
     )
     return inner.union(outer.select(*_ordered(F.col("head.cls"), F.col("pivot.cls")))).distinct()
@@ -268,16 +290,16 @@ def _cross_pairs(comp: DataFrame, postings: DataFrame, num: int, den: int) -> Da
     inner = meet.join(left, ["grp", "ca"]).join(right, ["grp", "cb"]).select(*_ordered(F.col("a"), F.col("b")))
 
     entries = postings.join(comp.select("grp", "component").distinct(), "grp")
-    by_list = entries.groupBy("shingle", "component").agg(F.min("n_shingles").alias("lo"), F.max("n_shingles").alias("hi"))
-    several = by_list.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1").select("shingle")
-    by_list = by_list.join(several, "shingle", "left_semi")
-    left = by_list.select("shingle", F.col("component").alias("ca"), F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"))
-    right = by_list.select("shingle", F.col("component").alias("cb"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"))
-    meet = left.join(right, "shingle").filter((F.col("ca") < F.col("cb")) & (F.col("hi_a") * den >= F.col("lo_b") * num) & (F.col("hi_b") * den >= F.col("lo_a") * num))
-    meet = meet.select("shingle", "ca", "cb")
-    left, right = (entries.select("shingle", F.col("component").alias(f"c{x}"), F.col("grp").alias(f"g{x}"), F.col("pos").alias(f"p{x}"), F.col("n_shingles").alias(f"n{x}")) for x in "ab")
+    by_list = entries.groupBy("shingle", "band", "component").agg(F.min("n_shingles").alias("lo"), F.max("n_shingles").alias("hi"))
+    several = by_list.groupBy("shingle", "band").agg(F.count("*").alias("n")).filter("n > 1").select("shingle", "band")
+    by_list = by_list.join(several, ["shingle", "band"], "left_semi")
+    left = by_list.select("shingle", "band", F.col("component").alias("ca"), F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"))
+    right = by_list.select("shingle", "band", F.col("component").alias("cb"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"))
+    meet = left.join(right, ["shingle", "band"]).filter((F.col("ca") < F.col("cb")) & (F.col("hi_a") * den >= F.col("lo_b") * num) & (F.col("hi_b") * den >= F.col("lo_a") * num))
+    meet = meet.select("shingle", "band", "ca", "cb")
+    left, right = (entries.select("shingle", "band", F.col("component").alias(f"c{x}"), F.col("grp").alias(f"g{x}"), F.col("pos").alias(f"p{x}"), F.col("n_shingles").alias(f"n{x}")) for x in "ab")
     reach = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))  # the first shared shingle is here or earlier in one
-    pairs = meet.join(left, ["shingle", "ca"]).join(right, ["shingle", "cb"]).filter(_size_ok(F.col("na"), F.col("nb"), num, den))
+    pairs = meet.join(left, ["shingle", "band", "ca"]).join(right, ["shingle", "band", "cb"]).filter(_size_ok(F.col("na"), F.col("nb"), num, den))
     first = pairs.groupBy("ga", "gb", "ca", "cb", "na", "nb").agg(F.max(reach).alias("reach"))
     first = first.filter(F.col("reach") * (num + den) >= num * (F.col("na") + F.col("nb")))
     left, right = (comp.select(F.col("grp").alias(f"g{x}"), F.col("component").alias(f"c{x}"), F.col("cls").alias(x)) for x in "ab")
