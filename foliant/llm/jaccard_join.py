@@ -62,9 +62,9 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(text: bytes | None) -> np.ndarray:
-    """A 64-bit hash of each white-space separated word, A-Z lower-cased."""
-    codes = np.frombuffer((text or b"").translate(SPLIT_BYTES), np.uint8)
+def word_hashes(text: bytes | None, split: bytes = SPLIT_BYTES) -> np.ndarray:
+    """A 64-bit hash of each word; split maps bytes, those between words to spaces."""
+    codes = np.frombuffer((text or b"").translate(split), np.uint8)
     inside = codes != 32
     starts = np.flatnonzero(inside & np.r_[True, ~inside[:-1]]) if len(codes) else np.empty(0, np.int64)
     if not len(starts):

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import language_id
+from foliant.llm import language_id, quality
 from foliant.llm.common import id_crc, read_table
 from foliant.llm.decontaminate import contamination
 from foliant.llm.exact_dedup import exact_groups
 from foliant.llm.jaccard_join import jaccard_components
+from foliant.llm.license_scan import licenses
 from foliant.llm.mixing import mix
 
 
@@ -33,12 +34,23 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read_table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    held_out = F.coalesce(id_crc(F.col("doc_id")) % 5 == 0, F.lit(False))
+    model = quality.train(docs, labels.filter(~held_out))
+    return quality.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(read_table(spark, sf_dir, "documents"))
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_mixing, op3_decontamination, op4_ngram_jaccard, op7_exact_dedup)}
+    return {f.__name__: f for f in (op1_language_id, op2_mixing, op3_decontamination, op4_ngram_jaccard, op6_quality, op7_exact_dedup, op10_licenses)}
 
 
 ALPHA = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
