@@ -12,6 +12,8 @@ from foliant.llm.exact_dedup import exact_groups
 from foliant.llm.jaccard_join import jaccard_components
 from foliant.llm.license_scan import licenses
 from foliant.llm.mixing import mix
+from foliant.llm.pii import personal_data
+from foliant.llm.url_filter import judge_urls
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +36,10 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read_table(spark, sf_dir, "documents"))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(read_table(spark, sf_dir, "pages"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
     held_out = F.coalesce(id_crc(F.col("doc_id")) % 5 == 0, F.lit(False))
@@ -45,12 +51,16 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(read_table(spark, sf_dir, "documents"))
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(read_table(spark, sf_dir, "documents"))
+
+
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses(read_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_mixing, op3_decontamination, op4_ngram_jaccard, op6_quality, op7_exact_dedup, op10_licenses)}
+    return {f.__name__: f for f in (op1_language_id, op2_mixing, op3_decontamination, op4_ngram_jaccard, op5_url_filter, op6_quality, op7_exact_dedup, op9_personal_data, op10_licenses)}
 
 
 ALPHA = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
