@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm import language_id, quality
+from foliant.llm.chat_repair import repair_chats
 from foliant.llm.common import id_crc, read_table
 from foliant.llm.decontaminate import contamination
 from foliant.llm.exact_dedup import exact_groups
@@ -51,6 +52,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(read_table(spark, sf_dir, "documents"))
 
 
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_chats(read_table(spark, sf_dir, "conversations"))
+
+
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(read_table(spark, sf_dir, "documents"))
 
@@ -60,7 +65,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_mixing, op3_decontamination, op4_ngram_jaccard, op5_url_filter, op6_quality, op7_exact_dedup, op9_personal_data, op10_licenses)}
+    return {f.__name__: f for f in (op1_language_id, op2_mixing, op3_decontamination, op4_ngram_jaccard, op5_url_filter, op6_quality, op7_exact_dedup, op8_chat_format, op9_personal_data, op10_licenses)}
 
 
 ALPHA = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
