@@ -11,11 +11,10 @@ are merged into components. After a few such rounds with other pivots, the remai
 one posting list whose classes lie in different components, and all of these are verified. Pairs inside one
 component need no check, as they cannot change which documents are reachable. Nothing is capped or sampled.
 
-Frequencies are counted over all documents for the shingles in the lowest part of the hash range, from which
-prefixes are drawn first. Two tables of fixed size tell the tasks about them: a bitmap of the shingles that occur
-more than once, and the counts of at most `max_ranked` of the most frequent. Shingles whose bit is not
-set occur once, so they can share nothing and need no posting. What the tables can hold changes the order and
-the speed, never the result.
+Frequencies are counted over all shingles of all documents: tasks hand on sorted blocks of shingles, cut by hash
+range, and each range is merged by itself. What comes out are bitmaps of fixed size that tell which shingles occur
+at least 2, 8, 64 or 512 times; they give the order. Shingles whose first bit is not set occur once, so they can
+share nothing and need no posting. Collisions in a bitmap change the order and the speed, never the result.
 """
 
 from __future__ import annotations
@@ -26,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,12 +34,12 @@ from foliant.llm.components import connected_components
 
 #: A-Z lower-cased, ASCII white space as space, all other bytes as they are.
 SPLIT_BYTES = bytes(c + 32 if 65 <= c <= 90 else 32 if c == 32 or 9 <= c <= 13 else c for c in range(256))
-ZONE = 0.2
-MAX_RANKED = 1 << 20
 STAR_ROUNDS = 2
-#: Bits of the bitmap of repeated shingles (16 MB) and of wanted classes (2 MB).
-SHARED_BITS = 27
+#: Occurrences that the bitmaps tell apart, and the bits of each (16 MB for the first, 2 MB for the others).
+LEVELS = {2: 27, 8: 24, 64: 24, 512: 24}
 WANTED_BITS = 24
+#: Shingles in a task's open block.
+BLOCK = 1 << 22
 
 _rng = np.random.default_rng(20)
 _BYTE = _rng.integers(1, 1 << 63, 256, np.uint64) | np.uint64(1)
@@ -89,20 +89,94 @@ def shingles(text: bytes | None, n: int = 3) -> np.ndarray:
     return np.unique(total)
 
 
-def _counts(n: int, zone: int):
+def _packed(values: np.ndarray) -> bytes:
+    """Sorted uint32 values: differences, their bytes by place, compressed."""
+    gaps = np.diff(values, prepend=np.uint32(0))
+    return zstandard.compress(np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).reshape(-1).view(np.uint32), dtype=np.uint32)
+
+
+def _blocks(n: int, range_bits: int):
+    """Distinct shingles of a block of texts with their counts, by hash range; 32 bits below those of the range."""
+
+    def cut(held: list[np.ndarray]) -> pa.RecordBatch:
+        values, counts = np.unique(np.concatenate(held) >> np.uint64(32 - range_bits), return_counts=True)
+        ranges = (values >> np.uint64(32)).astype(np.int64)
+        cuts = np.flatnonzero(np.r_[True, ranges[1:] != ranges[:-1], True])
+        low, counts = values.astype(np.uint32), np.minimum(counts, 65535).astype(np.uint16)
+        spans = list(zip(cuts[:-1], cuts[1:], strict=True))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(ranges[cuts[:-1]]), pa.array([_packed(low[a:b]) for a, b in spans], pa.binary()), pa.array([zstandard.compress(counts[a:b].tobytes(), 1) for a, b in spans], pa.binary())],
+            ["range", "low", "counts"],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            low = [s[s < np.uint64(zone)] for s in (shingles(x.as_py(), n) for x in batch.column(0))]
-            values, counts = np.unique(np.concatenate(low) if low else np.empty(0, np.uint64), return_counts=True)
-            for k in range(0, len(values), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(values[k : k + 100_000].view(np.int64)), pa.array(counts[k : k + 100_000])], ["shingle", "n"])
+            for x in batch.column(0):
+                s = shingles(x.as_py(), n)
+                if len(s):
+                    held.append(s)
+                    size += len(s)
+                if size >= BLOCK:
+                    yield cut(held)
+                    held, size = [], 0
+        if size:
+            yield cut(held)
 
     return run
 
 
-def _prefixes(n: int, num: int, den: int, zone: int, tables):
+def _levels(range_bits: int):
+    """Merges the blocks of a range into its segment of each bitmap."""
+
+    def merge(table: pa.Table) -> pa.Table:
+        low = np.concatenate([_unpacked(x.as_py()) for x in table.column("low")])
+        counts = np.concatenate([np.frombuffer(zstandard.decompress(x.as_py()), np.uint16) for x in table.column("counts")]).astype(np.int64)
+        order = np.argsort(low, kind="stable")
+        low, counts = low[order], counts[order]
+        first = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
+        low, counts = low[first], np.add.reduceat(counts, first)
+        out = {"range": table.column("range")[:1]}
+        for level, bits in LEVELS.items():
+            flags = np.zeros(1 << (bits - range_bits), bool)
+            flags[low[counts >= level] >> np.uint32(32 + range_bits - bits)] = True
+            out[f"level{level}"] = pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())
+        return pa.table(out)
+
+    return merge
+
+
+def frequency_bitmaps(texts: DataFrame, n: int) -> list[np.ndarray]:
+    """texts: one binary column. The bitmaps of LEVELS, by the first bits of a shingle."""
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    range_bits = min(20, max(8, math.ceil(math.log2(4 * parts))))
+    blocks = texts.mapInArrow(_blocks(n, range_bits), "range long, low binary, counts binary")
+    names = [f"level{level}" for level in LEVELS]
+    merged = blocks.groupBy("range").applyInArrow(_levels(range_bits), "range long, " + ", ".join(f"{x} binary" for x in names))
+    out = [np.zeros(1 << (bits - 3), np.uint8) for bits in LEVELS.values()]
+    for r in merged.collect():
+        for bitmap, name in zip(out, names, strict=True):
+            size = len(r[name])
+            bitmap[r["range"] * size : (r["range"] + 1) * size] = np.frombuffer(r[name], np.uint8)
+    return out
+
+
+def frequency_class(found: np.ndarray, bitmaps: list[np.ndarray]) -> np.ndarray:
+    """How many of the levels each shingle reaches, as far as the bitmaps tell."""
+    out = np.zeros(len(found), np.uint8)
+    for bitmap, bits in zip(bitmaps, LEVELS.values(), strict=True):
+        bit = (found >> np.uint64(64 - bits)).astype(np.int64)
+        out += bitmap[bit >> 3] >> (bit & 7).astype(np.uint8) & np.uint8(1)
+    return out
+
+
+def _prefixes(n: int, num: int, den: int, bitmaps):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shared, listed, often = tables.value
         for batch in batches:
             sizes, classes, groups, places, prefixes = [], [], [], [], []
             for x in batch.column("bytes"):
@@ -112,15 +186,10 @@ def _prefixes(n: int, num: int, den: int, zone: int, tables):
                     classes.append(None), groups.append(None), places.append([]), prefixes.append([])
                     continue
                 take = len(s) - -(-num * len(s) // den) + 1
-                low = s[: np.searchsorted(s, np.uint64(zone))]
-                bit = (low & np.uint64((1 << SHARED_BITS) - 1)).astype(np.int64)
-                df = 1 + (shared[bit >> 3] >> (bit & 7) & 1).astype(np.int64)
-                if len(listed) and len(low):
-                    at = np.minimum(np.searchsorted(listed, low), len(listed) - 1)
-                    df = np.where(listed[at] == low, often[at], df)
-                order = np.argsort(df, kind="stable")[:take]
-                prefix = np.concatenate([low[order], s[len(low) : len(low) + take - len(order)]])
-                open_ = np.flatnonzero(np.r_[df[order] > 1, np.ones(len(prefix) - len(order), bool)])
+                often = frequency_class(s, bitmaps.value)
+                order = np.argsort(often, kind="stable")[:take]
+                prefix = s[order]
+                open_ = np.flatnonzero(often[order])
                 classes.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 groups.append(int.from_bytes(hashlib.blake2b(prefix.tobytes(), digest_size=8, key=str(len(s)).encode()).digest(), "big", signed=True))
                 places.append(open_)
@@ -167,27 +236,6 @@ def _bitmap(bits: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def _frequency_tables(counts: DataFrame, max_ranked: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """counts: shingle, n > 1. The bitmap of these, and the shingles, sorted, and counts of the most frequent.
-
-    The cut lies where at most max_ranked are listed; of the count just below it a part is, by shingle.
-    """
-    shared = _bitmap(counts.select(F.col("shingle").bitwiseAND(F.lit((1 << SHARED_BITS) - 1))), SHARED_BITS)
-    capped = F.least("n", F.lit(1000))
-    room, cut, part = max_ranked, 3, 0.0
-    for r in counts.filter("n > 2").groupBy(capped.alias("n")).count().orderBy(F.desc("n")).collect():
-        if r["count"] > room:
-            cut, part = r["n"] + 1, room / r["count"]
-            break
-        room -= r["count"]
-    chosen = (F.col("n") >= cut) if cut <= 1000 else (F.col("n") < 0)
-    below = (capped == cut - 1) & (F.col("n") > 2) & (F.pmod("shingle", F.lit(1 << 20)) < int(part * (1 << 20)))
-    table = counts.filter(chosen | below).select("shingle", "n").toArrow()
-    listed = table.column("shingle").to_numpy().view(np.uint64)
-    order = np.argsort(listed)
-    return shared, listed[order], table.column("n").to_numpy()[order]
-
-
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of classes whose sets reach the threshold."""
     left = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa"))
@@ -204,20 +252,18 @@ def _ordered(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def jaccard_classes(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, zone: float = ZONE, max_ranked: int = MAX_RANKED, star_rounds: int = STAR_ROUNDS) -> tuple[DataFrame, DataFrame]:
+def jaccard_classes(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, star_rounds: int = STAR_ROUNDS) -> tuple[DataFrame, DataFrame]:
     """(members, components): doc_id, n_shingles, cls of every row, and cls, component of classes with links.
 
     Two sets link when den * intersection >= num * union.
     """
     spark = docs.sparkSession
-    limit = int(zone * 2**64)
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("bytes"))
 
-    counts = texts.select("bytes").mapInArrow(_counts(n, limit), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    tables = spark.sparkContext.broadcast(_frequency_tables(stored(counts.filter("n > 1"), "counts"), max_ranked))
+    bitmaps = spark.sparkContext.broadcast(frequency_bitmaps(texts.select("bytes"), n))
     members = stored(
-        texts.mapInArrow(_prefixes(n, num, den, limit, tables), f"doc_id {kind}, n_shingles long, cls binary, grp long, pos array<long>, shingle array<long>"),
+        texts.mapInArrow(_prefixes(n, num, den, bitmaps), f"doc_id {kind}, n_shingles long, cls binary, grp long, pos array<long>, shingle array<long>"),
         "prefixes",
     )
     filled = members.filter("n_shingles > 0")
