@@ -7,9 +7,13 @@ pass a size filter and a positional filter, then expand to their member classes,
 
 A group of near copies would still make a quadratic number of pairs. So the posting lists are first joined to
 one pivot each, which gives at most one pair for each posting; the verified links of these star joins
-are merged into components. After a few such rounds with other pivots, the remaining pairs are those of
+are merged into components. After that, or after more rounds with other pivots, the remaining pairs are those of
 one posting list whose classes lie in different components, and all of these are verified. Pairs inside one
 component need no check, as they cannot change which documents are reachable. Nothing is capped or sampled.
+These pairs are not emitted: lists are compared inside tasks, long ones in blocks against blocks, on parity bitmaps
+of the sets. The bits in which two bitmaps differ are at most as many as the shingles in which the sets do, so only
+pairs that may link come out. A pivot is the class with the fewest shingles of its own, which in a group of near
+copies is the text they were copied from.
 
 Frequencies are counted over all shingles of all documents: tasks hand on sorted blocks of shingles, cut by hash
 range, and each range is merged by itself. What comes out are bitmaps of fixed size that tell which shingles occur
@@ -34,10 +38,13 @@ from foliant.llm.components import connected_components
 
 #: A-Z lower-cased, ASCII white space as space, all other bytes as they are.
 SPLIT_BYTES = bytes(c + 32 if 65 <= c <= 90 else 32 if c == 32 or 9 <= c <= 13 else c for c in range(256))
-STAR_ROUNDS = 2
+STAR_ROUNDS = 1
 #: Occurrences that the bitmaps tell apart, and the bits of each (16 MB for the first, 2 MB for the others).
 LEVELS = {2: 27, 8: 24, 64: 24, 512: 24}
 WANTED_BITS = 24
+#: Bits of a set's parity bitmap; rows of a block of a long list, and about those of a unit of short lists.
+PARITY_BITS = 1024
+LIST_BLOCK = 2048
 #: Shingles in a task's open block.
 BLOCK = 1 << 22
 
@@ -178,16 +185,17 @@ def frequency_class(found: np.ndarray, bitmaps: list[np.ndarray]) -> np.ndarray:
 def _prefixes(n: int, num: int, den: int, bitmaps):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, classes, groups, places, prefixes = [], [], [], [], []
+            sizes, rare, classes, groups, places, prefixes = [], [], [], [], [], []
             for x in batch.column("bytes"):
                 s = shingles(x.as_py(), n)
                 sizes.append(len(s))
                 if not len(s):
-                    classes.append(None), groups.append(None), places.append([]), prefixes.append([])
+                    rare.append(0), classes.append(None), groups.append(None), places.append([]), prefixes.append([])
                     continue
                 take = len(s) - -(-num * len(s) // den) + 1
                 often = frequency_class(s, bitmaps.value)
                 order = np.argsort(often, kind="stable")[:take]
+                rare.append(int((often == 0).sum()))
                 prefix = s[order]
                 open_ = np.flatnonzero(often[order])
                 classes.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
@@ -196,22 +204,28 @@ def _prefixes(n: int, num: int, den: int, bitmaps):
                 prefixes.append(prefix[open_].view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(groups, pa.int64()),
+                    batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(rare, pa.int64()), pa.array(classes, pa.binary()), pa.array(groups, pa.int64()),
                     pa.array(places, pa.list_(pa.int64())), pa.array(prefixes, pa.list_(pa.int64())),
                 ],
-                ["doc_id", "n_shingles", "cls", "grp", "pos", "shingle"],
+                ["doc_id", "n_shingles", "rare", "cls", "grp", "pos", "shingle"],
             )
 
     return run
 
 
+def parity(found: np.ndarray) -> bytes:
+    """A bitmap: whether an odd number of the shingles falls on each bit."""
+    bits = np.bincount((found & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(bits.astype(bool), bitorder="little").tobytes()
+
+
 def _sets(n: int, wanted):
     """The sets of the classes that may be wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = wanted.value
         for batch in batches:
-            classes, sets, seen = [], [], set()
+            classes, sets, parities, seen = [], [], [], set()
             for x in batch.column(0):
                 s = shingles(x.as_py(), n)
                 if not len(s) or (c := hashlib.blake2b(s.tobytes(), digest_size=16).digest()) in seen:
@@ -221,7 +235,10 @@ def _sets(n: int, wanted):
                     seen.add(c)
                     classes.append(c)
                     sets.append(s.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(classes, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["cls", "shingles"])
+                    parities.append(parity(s))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(classes, pa.binary()), pa.array(sets, pa.list_(pa.int64())), pa.array(parities, pa.binary())], ["cls", "shingles", "parity"]
+            )
 
     return run
 
@@ -263,11 +280,11 @@ def jaccard_classes(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100,
 
     bitmaps = spark.sparkContext.broadcast(frequency_bitmaps(texts.select("bytes"), n))
     members = stored(
-        texts.mapInArrow(_prefixes(n, num, den, bitmaps), f"doc_id {kind}, n_shingles long, cls binary, grp long, pos array<long>, shingle array<long>"),
+        texts.mapInArrow(_prefixes(n, num, den, bitmaps), f"doc_id {kind}, n_shingles long, rare long, cls binary, grp long, pos array<long>, shingle array<long>"),
         "prefixes",
     )
     filled = members.filter("n_shingles > 0")
-    classes = stored(filled.select("cls", "grp", "n_shingles").distinct(), "classes")
+    classes = stored(filled.select("cls", "grp", "n_shingles", "rare").distinct(), "classes")
     # grp is a 64-bit digest of size and prefix; should two groups share it, they only make more candidates
     groups = filled.filter("size(shingle) > 0").select("grp", "n_shingles", "pos", "shingle").distinct()
     groups = stored(groups.select("grp", "n_shingles", F.explode(F.arrays_zip("pos", "shingle")).alias("p")).select("grp", "n_shingles", "p.pos", "p.shingle"), "postings")
@@ -283,24 +300,24 @@ def jaccard_classes(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100,
     wanted = classes.join(postings.select("grp").union(crowded).distinct(), "grp", "left_semi")
     bit = F.shiftrightunsigned(F.conv(F.substring(F.hex("cls"), 1, 8), 16, 10).cast("long"), 32 - WANTED_BITS)
     bits = spark.sparkContext.broadcast(_bitmap(wanted.select(bit.alias("bit")), WANTED_BITS).tobytes())
-    sets = texts.select("bytes").mapInArrow(_sets(n, bits), "cls binary, shingles array<long>")
-    sets = stored(sets.groupBy("cls").agg(F.first("shingles").alias("shingles")), "sets")
+    sets = texts.select("bytes").mapInArrow(_sets(n, bits), "cls binary, shingles array<long>, parity binary")
+    sets = stored(sets.groupBy("cls").agg(F.first("shingles").alias("shingles"), F.first("parity").alias("parity")), "sets")
 
-    comp = classes.select("cls", "grp", "n_shingles", F.col("cls").alias("component"))
+    comp = classes.select("cls", "grp", "n_shingles", "rare", F.col("cls").alias("component"))
     links = None
-    for k in range(star_rounds):
+    for k in range(max(star_rounds, 1)):
         pairs = _star_pairs(comp, postings, k, num, den)
         found = _verified(pairs, sets, num, den)
         links = stored(found if links is None else links.union(found), "links")
         comp = _labelled(classes, connected_components(links))
-    pairs = _cross_pairs(comp, postings, num, den)
+    pairs = _cross_pairs(comp, postings, sets, num, den)
     links = stored(links.union(_verified(pairs, sets, num, den)), "links")
     return members.select("doc_id", "n_shingles", "cls"), connected_components(links)
 
 
 def _labelled(classes: DataFrame, found: DataFrame) -> DataFrame:
     label = F.coalesce("component", "cls").alias("component")
-    return stored(classes.join(found.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "grp", "n_shingles", label), "labels")
+    return stored(classes.join(found.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "grp", "n_shingles", "rare", label), "labels")
 
 
 def _size_ok(a: Column, b: Column, num: int, den: int) -> Column:
@@ -310,9 +327,11 @@ def _size_ok(a: Column, b: Column, num: int, den: int) -> Column:
 def _star_pairs(comp: DataFrame, postings: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Each class with the pivot of its group, and one class of each group with the pivot of its posting lists.
 
-    The pivot is the smallest under a hash that changes with the round. Pairs of one component are left out.
+    The first pivot has the fewest shingles of its own; later ones are the smallest under a hash that changes with
+    the round. Pairs of one component are left out.
     """
-    key = F.struct(F.xxhash64("cls", F.lit(k)).alias("h"), "cls", "component", "n_shingles")
+    first = F.col("rare") if k == 0 else F.lit(0).cast("long")
+    key = F.struct(first.alias("rare"), F.xxhash64("cls", F.lit(k)).alias("h"), "cls", "component", "n_shingles")
     heads = comp.groupBy("grp").agg(F.min(key).alias("head"), F.min("component").alias("lo"), F.max("component").alias("hi"))
     mixed = heads.filter("lo <> hi").select("grp", "head")
     inner = comp.join(mixed, "grp").filter(F.col("component") != F.col("head.component"))
@@ -326,31 +345,63 @@ def _star_pairs(comp: DataFrame, postings: DataFrame, k: int, num: int, den: int
     return inner.union(outer.select(*_ordered(F.col("head.cls"), F.col("pivot.cls")))).distinct()
 
 
-def _cross_pairs(comp: DataFrame, postings: DataFrame, num: int, den: int) -> DataFrame:
-    """All pairs of classes of one group or posting list that lie in different components and pass the filters."""
-    by_group = comp.select("grp", "component").distinct()
-    several = by_group.groupBy("grp").agg(F.count("*").alias("n")).filter("n > 1").select("grp")
-    by_group = by_group.join(several, "grp", "left_semi")
-    meet = by_group.select("grp", F.col("component").alias("ca")).join(by_group.select("grp", F.col("component").alias("cb")), "grp").filter("ca < cb")
-    left, right = (comp.select("grp", F.col("cls").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
-    inner = meet.join(left, ["grp", "ca"]).join(right, ["grp", "cb"]).select(*_ordered(F.col("a"), F.col("b")))
-
-    entries = postings.join(comp.select("grp", "component").distinct(), "grp")
-    by_list = entries.groupBy("shingle", "band", "component").agg(F.min("n_shingles").alias("lo"), F.max("n_shingles").alias("hi"))
-    several = by_list.groupBy("shingle", "band").agg(F.count("*").alias("n")).filter("n > 1").select("shingle", "band")
-    by_list = by_list.join(several, ["shingle", "band"], "left_semi")
-    left = by_list.select("shingle", "band", F.col("component").alias("ca"), F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"))
-    right = by_list.select("shingle", "band", F.col("component").alias("cb"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"))
-    meet = left.join(right, ["shingle", "band"]).filter((F.col("ca") < F.col("cb")) & (F.col("hi_a") * den >= F.col("lo_b") * num) & (F.col("hi_b") * den >= F.col("lo_a") * num))
-    meet = meet.select("shingle", "band", "ca", "cb")
-    left, right = (entries.select("shingle", "band", F.col("component").alias(f"c{x}"), F.col("grp").alias(f"g{x}"), F.col("pos").alias(f"p{x}"), F.col("n_shingles").alias(f"n{x}")) for x in "ab")
-    reach = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))  # the first shared shingle is here or earlier in one
-    pairs = meet.join(left, ["shingle", "band", "ca"]).join(right, ["shingle", "band", "cb"]).filter(_size_ok(F.col("na"), F.col("nb"), num, den))
-    first = pairs.groupBy("ga", "gb", "ca", "cb", "na", "nb").agg(F.max(reach).alias("reach"))
-    first = first.filter(F.col("reach") * (num + den) >= num * (F.col("na") + F.col("nb")))
-    left, right = (comp.select(F.col("grp").alias(f"g{x}"), F.col("component").alias(f"c{x}"), F.col("cls").alias(x)) for x in "ab")
-    outer = first.join(left, ["ga", "ca"]).join(right, ["gb", "cb"])
-    return inner.union(outer.select(*_ordered(F.col("a"), F.col("b")))).distinct()
+def _compared(num: int, den: int):
+    """Pairs of a unit's lists, of different components, whose sizes and parity bitmaps allow a link."""
+
+    def run(table: pa.Table) -> pa.Table:
+        keys = [table.column(c).to_numpy() for c in ("key", "band", "i", "j")]
+        order = np.lexsort(keys[::-1])
+        keys = [k[order] for k in keys]
+        change = np.any([k[1:] != k[:-1] for k in keys], axis=0) if len(order) > 1 else np.empty(0, bool)
+        cuts = np.flatnonzero(np.r_[True, change, True])
+        table = table.take(pa.array(order))
+        names = table.column("cls").to_pylist()
+        numbers: dict[bytes, int] = {}
+        comps = np.array([numbers.setdefault(c, len(numbers)) for c in table.column("component").to_pylist()])
+        sizes, block = table.column("n_shingles").to_numpy(), table.column("block").to_numpy()
+        bits = np.frombuffer(b"".join(table.column("parity").to_pylist()), np.uint64).reshape(len(names), -1)
+        found: set[tuple[bytes, bytes]] = set()
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            same = keys[2][lo] == keys[3][lo]
+            left = np.arange(lo, hi) if same else lo + np.flatnonzero(block[lo:hi] == keys[2][lo])
+            right = left if same else lo + np.flatnonzero(block[lo:hi] == keys[3][lo])
+            for at in range(0, len(left), 256):
+                rows = left[at : at + 256]
+                total = sizes[rows][:, None] + sizes[right][None, :]
+                least = -(-num * total // (num + den))
+                may = (comps[rows][:, None] != comps[right][None, :]) & (least <= np.minimum(sizes[rows][:, None], sizes[right][None, :]))
+                a, b = np.nonzero(may)
+                if same:
+                    a, b = a[rows[a] < right[b]], b[rows[a] < right[b]]
+                if len(a):
+                    differ = np.zeros(len(a), np.int64)
+                    for w in range(bits.shape[1]):
+                        differ += np.bitwise_count(bits[rows[a], w] ^ bits[right[b], w])
+                    near = differ <= total[a, b] - 2 * least[a, b]
+                    found.update(tuple(sorted((names[x], names[y]))) for x, y in zip(rows[a[near]], right[b[near]], strict=True))
+        pairs = sorted(found)
+        return pa.table({"a": pa.array([x for x, _ in pairs], pa.binary()), "b": pa.array([y for _, y in pairs], pa.binary())})
+
+    return run
+
+
+def _cross_pairs(comp: DataFrame, postings: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """All pairs of classes of one group or posting list that lie in different components and may link."""
+    crowded = comp.select(F.col("grp").alias("key"), F.lit(-1).cast("long").alias("band"), "cls", "component", "n_shingles")
+    listed = postings.select("grp", F.col("shingle").alias("key"), "band").join(comp.select("grp", "cls", "component", "n_shingles"), "grp")
+    entries = crowded.unionByName(listed.drop("grp"))
+    spread = entries.groupBy("key", "band").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    entries = entries.join(spread.filter("lo <> hi").select("key", "band", "n"), ["key", "band"]).join(sets.select("cls", "parity"), "cls")
+    entries = stored(entries, "entries")
+    units = max(1, -(-entries.count() // LIST_BLOCK))
+    blocks = F.ceil(F.col("n") / LIST_BLOCK)
+    entries = entries.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("cls"), blocks))
+    entries = entries.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    entries = entries.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    unit = F.when(F.col("blocks") > 1, F.xxhash64("key", "band", "i", "j")).otherwise(F.pmod(F.xxhash64("key", "band"), F.lit(units)))
+    columns = ["key", "band", "i", "j", "block", "cls", "component", "n_shingles", "parity"]
+    found = entries.select(unit.alias("unit"), *columns).groupBy("unit").applyInArrow(_compared(num, den), "a binary, b binary")
+    return found.distinct()
 
 
 def jaccard_components(docs: DataFrame, **options) -> DataFrame:
