@@ -37,7 +37,8 @@ def load_error(path: Column) -> Column:
 def _utf16_ok(content: Column, high: int) -> Column:
     """Whole code units, and every surrogate in a pair. high: where in a unit the high byte is."""
     units = F.regexp_replace(F.hex(content), "(....)", "$1 ")
-    lead, trail = ("D[89AB]..", "D[C-F]..") if high == 0 else ("..D[89AB]", "..D[C-F]")
+    low = "[0-9A-F]{2}"
+    lead, trail = (f"D[89AB]{low}", f"D[C-F]{low}") if high == 0 else (f"{low}D[89AB]", f"{low}D[C-F]")
     lone = units.rlike(rf"{lead} (?!{trail})|(?<!{lead} )\b{trail}")
     return (F.length(content) % 2 == 0) & ~lone
 
