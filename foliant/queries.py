@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import boundaries, markdown, validate
 from foliant.functions import text as t
-from foliant.operators import diff, markdown_blocks, review, segment, writeback
+from foliant.operators import diff, markdown_blocks, review, segment, tex_blocks, writeback
 from foliant.plans import protocol
 from foliant.sources import documents as files
 from foliant.streaming import decisions
@@ -215,6 +215,16 @@ def markdown_block_counts(spark, sf_dir):
     return found.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda b: b["text"]), "").alias("text"), F.count("*").alias("n_blocks"))
 
 
+TEX_TEXT = "'% ' || lang || chr(10) || '\\\\section{' || source || '}' || chr(10) || replace(text, chr(10), chr(10) || chr(10)) || chr(10) || '$$' || chr(10) || chr(10) || '$$' || chr(10)"
+
+
+@query(f"SELECT doc_id, {TEX_TEXT.replace(chr(92) * 2, chr(92))} AS text, CAST(3 + least(1, length(text)) + length(text) - length(replace(text, chr(10), '')) AS BIGINT) AS n_blocks FROM documents")
+def tex_block_counts(spark, sf_dir):
+    found = tex_blocks.tex_blocks(texts(spark, sf_dir, TEX_TEXT))
+    ordered = F.array_sort(F.collect_list(F.struct("block_idx", "text")))
+    return found.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda b: b["text"]), "").alias("text"), F.count("*").alias("n_blocks"))
+
+
 @query(f"""
 WITH p AS (SELECT doc_id, {PATH} AS path FROM documents), e AS (SELECT *, lower(regexp_extract(path, '[^/]\\.([^./]*)$', 1)) AS ext FROM p)
 SELECT doc_id, ext AS extension, CASE WHEN ext IN ('md', 'markdown') THEN 'markdown' WHEN ext IN ('tex', 'latex') THEN 'tex' WHEN ext IN ('docx', 'pdf') THEN ext ELSE 'plainText' END AS format,
