@@ -93,7 +93,8 @@ def split_blocks(root: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
         halves = F.when(F.col("left").isNull(), F.array(F.struct("lo", "hi", "counts"))).otherwise(
             F.array(F.struct("lo", mid.alias("hi"), F.col("left").alias("counts")), F.struct(mid.alias("lo"), "hi", right.alias("counts")))
         )
-        nodes = nodes.select(halves.alias("halves")).select(F.inline("halves"))
+        # one small job for each level keeps the plans, and with them the driver's memory, small
+        nodes = stored(nodes.select(halves.alias("halves")).select(F.inline("halves")), "nodes")
     return nodes.select(F.col("lo").alias("shard"), "counts")
 
 
@@ -180,7 +181,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, limit: int = LIMIT, cells: int = CELLS
     leaves = split_blocks(plan.groupBy().agg(F.sort_array(F.collect_list(F.struct("idx", "n_blocks"))).alias("n")).select(F.col("n.n_blocks").alias("counts")), shards, seed)
     quotas = leaves.select("shard", F.posexplode("counts").alias("idx", "quota")).groupBy("idx").agg(F.sort_array(F.collect_list(F.struct("shard", "quota"))).alias("q"))
     ends = F.transform("q", lambda x, i: F.aggregate(F.slice("q", F.lit(1), i + 1), F.lit(0).cast("long"), lambda a, y: a + y["quota"]))
-    plan = plan.join(quotas.select("idx", ends.alias("ends")), "idx")
+    plan = stored(plan.join(quotas.select("idx", ends.alias("ends")), "idx"), "quotas")
 
     blocks = plan.select("*", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("c0"))
     blocks = blocks.withColumn("place0", _rank(F.col("c0"), cells, 0))
