@@ -25,7 +25,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group linked by 3-word shingles at 0.9 stays."""
+    """One document, the one with the smallest doc_id, of each group linked by 3-word shingles at 0.9 stays."""
     return jaccard_join.keep_one_of_each(docs)
 
 
@@ -36,8 +36,8 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The drawn documents with their words, taken words and draws (shard, words, place in the shard)."""
-    drawn = mixing.mix(docs).filter("taken > 0").select("doc_id", "size", "source_size", "target", "taken", "draws")
-    return docs.join(drawn, "doc_id")
+    drawn = mixing.mix(docs, carry=True).filter("taken > 0")
+    return drawn.select(*(F.col("row")[c].alias(c) for c in docs.columns), "size", "source_size", "target", "taken", "draws")
 
 
 STAGES = [

@@ -33,6 +33,15 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: The column that with_row_key() adds.
+ROW = "_row_key"
+
+
+def with_row_key(df: DataFrame) -> DataFrame:
+    """df with a key of its own for each row, written once so that every later read sees the same keys."""
+    return stored(df.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only."""
     return F.translate(text, UPPER, LOWER)

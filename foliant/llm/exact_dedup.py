@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import stored
+from foliant.llm.common import ROW, stored, with_row_key
 
 WHITESPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 REMAINDER_BITS = 40
@@ -36,21 +36,22 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             norm = (text.as_py() or b"").translate(None, WHITESPACE)
             prints.append(xxhash.xxh3_64_intdigest(norm) - (1 << 63))
             shas.append(hashlib.sha256(norm).digest())
+        carried = batch.schema.names[:-2]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(prints, pa.int64()), pa.array(shas, pa.binary()), batch.column("n_points")],
-            ["doc_id", "fingerprint", "sha", "n_points"],
+            [*batch.columns[:-2], pa.array(prints, pa.int64()), pa.array(shas, pa.binary()), batch.column("n_points")],
+            [*carried, "fingerprint", "sha", "n_points"],
         )
 
 
-def digest_table(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint, sha, n_points of every row; one pass over the texts."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def digest_table(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The carry columns, fingerprint, sha, n_points of every row; one pass over the texts."""
     slim = docs.select(
-        "doc_id",
+        *carry,
         F.col("text").cast("binary").alias("bytes"),
         F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_points"),
     )
-    return slim.mapInArrow(_digests, f"doc_id {kind}, fingerprint long, sha binary, n_points long")
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return slim.mapInArrow(_digests, f"{kinds}, fingerprint long, sha binary, n_points long")
 
 
 def build_filter(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -159,6 +160,18 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """docs without the rows that exact_groups drops; same columns."""
-    kept = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+    """docs with one row of each group of equal texts; same columns.
+
+    The row that stays is chosen as in exact_groups, but by a key of its own for each row, so that repeated and
+    missing doc_ids neither save a copy nor take a row of another group along.
+    """
+    keyed = with_row_key(docs)
+    digests = stored(digest_table(keyed, ("doc_id", ROW)), "digests")
+    place = F.struct("n_points", (-F.col("doc_id")).alias("neg_id"), (-F.col(ROW)).alias("neg_row"))
+    best = (
+        digests.join(repeated_fingerprints(digests), "fingerprint", "left_semi")
+        .groupBy("fingerprint", "sha").agg(F.max(place).alias("best"))
+        .select("fingerprint", "sha", (-F.col("best.neg_row")).alias("best_row"))
+    )
+    copies = digests.join(best, ["fingerprint", "sha"]).filter(F.col(ROW) != F.col("best_row")).select(ROW)
+    return keyed.join(copies, ROW, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

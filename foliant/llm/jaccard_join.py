@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import stored
+from foliant.llm.common import ROW, stored, with_row_key
 from foliant.llm.components import connected_components
 
 #: A-Z lower-cased, ASCII white space as space, all other bytes as they are.
@@ -423,7 +423,18 @@ def jaccard_components(docs: DataFrame, **options) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """docs with the smallest doc_id of each component only, rows without words or without id kept; same columns."""
-    found = jaccard_components(docs, **options)
-    drop = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_dropped_id")).distinct()
-    return docs.join(drop, F.col("doc_id") == F.col("_dropped_id"), "left_anti")
+    """docs with one row of each component, and all rows without words; same columns.
+
+    The row with the smallest doc_id stays; a null one comes after all others. Components are made over a key
+    of its own for each row, so a doc_id that several rows share neither saves a copy nor drops another text.
+    """
+    keyed = with_row_key(docs)
+    found = jaccard_components(keyed.select(F.col(ROW).alias("doc_id"), "text"), **options)
+    ids = keyed.select(ROW, F.col("doc_id").alias("id"))
+    linked = found.filter("n_shingles > 0").select(F.col("doc_id").alias(ROW), "component_id")
+    crowded = linked.groupBy("component_id").agg(F.count("*").alias("n")).filter("n > 1").select("component_id")
+    members = stored(linked.join(crowded, "component_id").join(ids, ROW), "members")
+    place = F.struct(F.col("id").isNull().alias("none"), "id", ROW)
+    best = members.groupBy("component_id").agg(F.min(place).alias("best")).select(F.col(f"best.{ROW}").alias(ROW))
+    drop = members.select(ROW).join(best, ROW, "left_anti")
+    return keyed.join(drop, ROW, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

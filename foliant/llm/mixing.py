@@ -139,8 +139,8 @@ def targets(totals: DataFrame, weights=WEIGHTS, limit: int = LIMIT) -> DataFrame
     return one.select("e.idx", "e.x.src", "e.x.source", "e.x.total", F.coalesce(F.least(cap, F.col("level") * F.col("e.w")), cap).alias("target"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, limit: int = LIMIT, cells: int = CELLS, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """One row per row of docs: doc_id, source, size, source_size, target, taken, draws.
+def mix(docs: DataFrame, weights=WEIGHTS, limit: int = LIMIT, cells: int = CELLS, shards: int = SHARDS, seed: int = SEED, carry: bool = False) -> DataFrame:
+    """One row per row of docs: doc_id, source, size, source_size, target, taken, draws; with carry also row, all of its columns.
 
     draws: array of (shard, words, place) for each time the mix takes the document; rows of a shard are
     ordered by place. taken is the sum of the draws' words, at most limit * size. A null text has size 0 and is
@@ -150,9 +150,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, limit: int = LIMIT, cells: int = CELLS
     if cells != 256:
         raise ValueError("cells are eight bits of the hash")
     key = F.xxhash64(F.lit(seed), "doc_id", "text")
+    row = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if carry else []
     sized = docs.select(
         "doc_id", "source", text_size(F.col("text")).alias("size"), key.alias("key"),
-        F.coalesce(F.concat(F.lit("0"), "source"), F.lit("1")).alias("src"),
+        F.coalesce(F.concat(F.lit("0"), "source"), F.lit("1")).alias("src"), *row,
     )
     cell = lambda shift: F.shiftrightunsigned("key", shift).bitwiseAND(F.lit(cells - 1)).cast("int")
     sized = stored(sized.select("*", cell(56).alias("c0"), cell(48).alias("c1")), "sized")
@@ -217,5 +218,5 @@ def mix(docs: DataFrame, weights=WEIGHTS, limit: int = LIMIT, cells: int = CELLS
     return rows.select(
         "doc_id", "source", "size", F.col("total").alias("source_size"), "target",
         (F.col("passes") * F.col("size") + F.col("extra")).alias("taken"),
-        F.concat(F.coalesce(whole, nothing), F.coalesce(part, nothing)).alias("draws"),
+        F.concat(F.coalesce(whole, nothing), F.coalesce(part, nothing)).alias("draws"), *(["row"] if carry else []),
     )

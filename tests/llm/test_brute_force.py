@@ -259,3 +259,41 @@ def test_pipeline(spark):
         if k < len(p.STAGES) - 1:
             assert now.columns == docs.columns
     assert sorted((r["doc_id"], r["taken"]) for r in after) == sorted((r["doc_id"], r["taken"]) for r in p.run(spark, SF).collect())
+
+
+def test_pipeline_keeps_rows_by_row(spark, tmp_path):
+    """run() against a plain version, row by row, where ids are missing and repeated; one source, so each row is drawn once."""
+    import corpus_pipeline as p
+
+    rng = random.Random(9)
+    text = lambda n=40: " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) + "".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(n))
+    shared, lone, far, near, item = text(), text(), text(), text(60), text(20)
+    rows = [(i, text()) for i in range(10, 30)]
+    rows += [(1, shared), (1, shared), (2, shared.replace(" ", "  ", 1)), (None, shared)]  # the longest of four stays
+    rows += [(None, lone), (None, lone), (None, text()), (None, text())]  # one of two copies, and two of their own
+    rows += [(3, text()), (3, text()), (3, text())]  # one id, three texts
+    rows += [(4, far), (4, far)]
+    rows += [(5, near), (6, near + " tail"), (6, text()), (None, near + " other")]  # 6's second text is no copy
+    rows += [(7, item), (None, item + " more"), (8, "12 34"), (None, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    last = lambda i: (i is None, i or 0)
+    kept = [r for r in rows if r[1] and re.search("[A-Za-z]", r[1])]
+    groups: dict = {}
+    for r in kept:
+        groups.setdefault(re.sub(r"\s", "", r[1]), []).append(r)
+    kept = [min(g, key=lambda r: (-len(r[1]), last(r[0]))) for g in groups.values()]
+    words = [r[1].split() for r in kept]
+    sets = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in words]
+    root = list(range(len(kept)))
+    for a, b in product(range(len(kept)), repeat=2):
+        if a < b and 10 * len(sets[a] & sets[b]) >= 9 * len(sets[a] | sets[b]):
+            root = [root[a] if x == root[b] else x for x in root]
+    kept = [min((r for r, x in zip(kept, root, strict=True) if x == k), key=lambda r: last(r[0])) for k in set(root)]
+    windows = lambda t: {tuple(t.split()[i : i + 13]) for i in range(len(t.split()) - 12)}
+    kept = [r for r in kept if not windows(item) & windows(r[1])]
+    got = p.run(spark, str(tmp_path)).collect()
+    assert sorted((repr(r["doc_id"]), r["text"], r["taken"]) for r in got) == sorted((repr(i), t, len(t.split())) for i, t in kept)
+    assert len(kept) == 20 + 1 + 3 + 3 + 1 + 2
