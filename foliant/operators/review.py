@@ -1,7 +1,8 @@
 """Review of rewrites: the decision log, its replay, and what it says about units and sessions.
 
 Tables, all keyed by doc_id: suggestions (sequence, unit_id, decision), units (unit_id, status), commands
-(sequence, unit_id, action). Everything is a grouped aggregate, so skewed documents are combined map-side.
+(sequence, unit_id, action). Counts and maxima are grouped aggregates, combined map-side. Where rows meet a value of
+their unit, units with much of the table are split off and joined by broadcast.
 """
 
 from __future__ import annotations
@@ -9,6 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: A unit is heavy with over HEAVY_LEAST dismissed rows that are over 1 / HEAVY_PART of all; so there are at most HEAVY_PART.
+HEAVY_LEAST = 1000
+HEAVY_PART = 1000
+
 
 def decided(log: DataFrame) -> DataFrame:
     """log (doc_id, unit_id, sequence, action of propose, apply, dismiss) as suggestions with their decisions.
@@ -31,13 +36,23 @@ def unit_summary(suggestions: DataFrame) -> DataFrame:
     """
     seq = F.col("sequence")
     of = lambda d: F.max(F.when(F.col("decision") == d, seq))
-    gone = F.array_sort(F.collect_list(F.when(F.col("decision") == "dismissed", seq)))
-    out = suggestions.groupBy("doc_id", "unit_id").agg(
-        F.count("*").alias("n_suggestions"), F.max(seq).alias("latest"), of("applied").alias("latest_applied"), of("proposed").alias("latest_proposed"), gone.alias("gone")
-    )
+    key = ["doc_id", "unit_id"]
+    units = suggestions.groupBy(*key).agg(
+        F.count("*").alias("n_suggestions"), F.max(seq).alias("latest"), of("applied").alias("latest_applied"), of("proposed").alias("latest_proposed"),
+        F.count_if(F.col("decision") == "dismissed").alias("n_gone"),
+    )
     since = F.when(F.col("latest_applied").isNotNull() & F.col("latest_proposed").isNotNull(), F.least("latest_applied", "latest_proposed"))
-    counted = F.size(F.filter("gone", lambda s: since.isNull() | (s >= since)))
-    return out.select("doc_id", "unit_id", "n_suggestions", "latest", "latest_applied", "latest_proposed", counted.cast("long").alias("n_dismissed"))
+    cuts = units.select(F.col("doc_id").alias("_doc"), F.col("unit_id").alias("_unit"), "n_gone", since.alias("since")).filter("since IS NOT NULL AND n_gone > 0")
+    cuts = cuts.crossJoin(F.broadcast(cuts.agg(F.sum("n_gone").alias("every"))))
+    heavy = (F.col("n_gone") > HEAVY_LEAST) & (F.col("n_gone") * HEAVY_PART > F.col("every"))
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("unit_id").eqNullSafe(F.col("_unit"))
+    counted = lambda rows: rows.groupBy(*key).agg(F.count_if(seq >= F.col("since")).alias("n_since"))
+    gone = suggestions.filter("decision = 'dismissed'").select(*key, "sequence")
+    few = F.broadcast(cuts.filter(heavy).select("_doc", "_unit", "since"))
+    light = gone.join(few, same, "left_anti").join(cuts.filter(~heavy).select("_doc", "_unit", "since"), same)
+    n = counted(gone.join(few, same)).unionByName(counted(light)).select(F.col("doc_id").alias("_doc"), F.col("unit_id").alias("_unit"), "n_since")
+    n_dismissed = F.when(since.isNull(), F.col("n_gone")).otherwise(F.coalesce("n_since", F.lit(0)))
+    return units.join(n, same, "left").select(*key, "n_suggestions", "latest", "latest_applied", "latest_proposed", n_dismissed.cast("long").alias("n_dismissed"))
 
 
 def session_stats(units: DataFrame, suggestions: DataFrame) -> DataFrame:
