@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliant.plans.scratch import scratch_path
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
@@ -16,21 +17,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables; a temporary one only where the session names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write df as a table in the shared folder and read it again: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 #: The column that with_row_key() adds.
@@ -49,3 +40,40 @@ def ascii_lower(text: Column) -> Column:
 
 def id_crc(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary"))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once."""
+    return F.transform(F.array(value), use)[0]
+
+
+#: Of a broadcast side: the most rows of a few numbers each, about 100 bytes a row when hashed.
+BROADCAST_ROWS = 250_000
+#: A key is heavy with over HEAVY_LEAST rows that are over 1 / HEAVY_PART of all; so there are fewer than HEAVY_PART.
+HEAVY_LEAST = 1000
+HEAVY_PART = 1000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether a stored table of slim rows may be broadcast."""
+    return df.count() <= rows
+
+
+def without_rows(df: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
+    """df without the keys of dropped, a stored table of one number column: broadcast if there are few, else by shuffle."""
+    return df.join(F.broadcast(dropped) if small(dropped) else dropped, key, "left_anti")
+
+
+def join_weighted(left: DataFrame, right: DataFrame, on: list[str], weight: str, how: str = "left") -> DataFrame:
+    """left joined to right, a stored slim table with one row for each key and the number of left's rows that have it.
+
+    A small right is broadcast. Otherwise the heavy keys, fewer than HEAVY_PART, are split off and broadcast, and
+    the rest is shuffled, so no task gets over a thousandth of left's rows for one key. how: left, inner or left_semi.
+    """
+    if small(right):
+        return left.join(F.broadcast(right), on, how)
+    total = right.agg(F.sum(weight)).first()[0]
+    is_heavy = F.coalesce((F.col(weight) > HEAVY_LEAST) & (F.col(weight) * HEAVY_PART > F.lit(total)), F.lit(False))
+    heavy, light = F.broadcast(right.filter(is_heavy)), right.filter(~is_heavy)
+    hot = left.join(heavy, on, "left_semi" if how == "left_semi" else "inner")
+    return hot.unionByName(left.join(heavy.select(*on), on, "left_anti").join(light, on, how))

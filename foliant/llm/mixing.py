@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.common import stored
+from foliant.llm.common import let, stored
 
 WEIGHTS = (5, 2, 1)
 LIMIT = 3
@@ -36,10 +36,6 @@ def text_size(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def _let(value: Column, use) -> Column:
-    return F.transform(F.array(value), use)[0]
-
-
 def _ln_factorial(n: Column) -> Column:
     x = n.cast("double")
     small = F.array(*(F.lit(math.lgamma(k + 1)) for k in range(10)))
@@ -71,7 +67,7 @@ def hypergeometric(total: Column, good: Column, draws: Column, u: Column) -> Col
         return F.aggregate(F.sequence(lo, hi), state, step, lambda a: a["at"])
 
     given = F.struct(*(c.cast("long").alias(a) for c, a in ((total, "n"), (good, "k"), (draws, "d"), (least, "lo"), (most, "hi"))), u.alias("u"))
-    return _let(given, draw)
+    return let(given, draw)
 
 
 def split_blocks(root: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
@@ -85,7 +81,7 @@ def split_blocks(root: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
 
         def draw(a: Column, x: Column) -> Column:
             u = F.pmod(F.xxhash64(F.lit(seed), "lo", "hi", F.size(a["out"])), F.lit(1 << 52)) / float(1 << 52)
-            return _let(hypergeometric(a["rest"], x, a["quota"], u), lambda k: F.struct((a["rest"] - x).alias("rest"), (a["quota"] - k).alias("quota"), F.concat(a["out"], F.array(k)).alias("out")))
+            return let(hypergeometric(a["rest"], x, a["quota"], u), lambda k: F.struct((a["rest"] - x).alias("rest"), (a["quota"] - k).alias("quota"), F.concat(a["out"], F.array(k)).alias("out")))
 
         left = F.aggregate("counts", state, draw, lambda a: a["out"])
         nodes = nodes.withColumn("left", F.when(F.col("hi") - F.col("lo") > 1, left))
