@@ -3,10 +3,15 @@
 A 64-bit fingerprint of the normalised text splits into a quotient (high bits) and a remainder (low
 bits). Every partition builds filters that hold, per occupied quotient, a sorted run of remainders with
 a count each. No bits are dropped, so filters merge losslessly: the runs of equal quotients are merged by
-sorted remainder and their counts added. Fingerprints whose count is above one are then verified on the
-SHA-256 of the whole normalised bytes, all others are unique without further work.
+sorted remainder and their counts added. Fingerprints whose count is above one are then verified on the bytes of
+the normalised texts, all others are unique without further work.
 
-A copy group of any size is one counter in each filter, so no task gets a hot key's rows.
+Verification needs no pairs: of all rows with one fingerprint and digest the least and the greatest normalised text
+are kept, which tasks combine before anything is shuffled, so a group of any size is one row of each task. Where both
+are the same bytes, all rows between them are. Should they ever differ, that is a SHA-256 collision and an error.
+
+A copy group of any size is one counter in each filter, and where rows meet a value of their group, groups with
+over a thousandth of the rows are split off and broadcast, so no task gets a hot group's rows.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import ROW, stored, with_row_key
+from foliant.llm.common import ROW, join_weighted, small, stored, with_row_key, without_rows
 
 WHITESPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 REMAINDER_BITS = 40
@@ -29,29 +34,37 @@ REMAINDER_BITS = 40
 FILTER_CAPACITY = 1 << 20
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        prints, shas = [], []
-        for text in batch.column("bytes"):
-            norm = (text.as_py() or b"").translate(None, WHITESPACE)
-            prints.append(xxhash.xxh3_64_intdigest(norm) - (1 << 63))
-            shas.append(hashlib.sha256(norm).digest())
-        carried = batch.schema.names[:-2]
-        yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:-2], pa.array(prints, pa.int64()), pa.array(shas, pa.binary()), batch.column("n_points")],
-            [*carried, "fingerprint", "sha", "n_points"],
-        )
+def _normalised(text: bytes | None) -> bytes:
+    return (text or b"").translate(None, WHITESPACE)
+
+
+def _digests(texts: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints, shas, norms = [], [], []
+            for text in batch.column("bytes"):
+                norm = _normalised(text.as_py())
+                prints.append(xxhash.xxh3_64_intdigest(norm) - (1 << 63))
+                shas.append(hashlib.sha256(norm).digest())
+                if texts:
+                    norms.append(norm)
+            more = [pa.array(norms, pa.binary())] if texts else [batch.column("n_points")]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:-2], pa.array(prints, pa.int64()), pa.array(shas, pa.binary()), *more],
+                [*batch.schema.names[:-2], "fingerprint", "sha", "norm" if texts else "n_points"],
+            )
+
+    return run
 
 
 def digest_table(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The carry columns, fingerprint, sha, n_points of every row; one pass over the texts."""
-    slim = docs.select(
-        *carry,
-        F.col("text").cast("binary").alias("bytes"),
-        F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_points"),
-    )
     kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in carry)
-    return slim.mapInArrow(_digests, f"{kinds}, fingerprint long, sha binary, n_points long")
+    return _slim(docs, carry).mapInArrow(_digests(False), f"{kinds}, fingerprint long, sha binary, n_points long")
+
+
+def _slim(docs: DataFrame, carry: tuple[str, ...]) -> DataFrame:
+    return docs.select(*carry, F.col("text").cast("binary").alias("bytes"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_points"))
 
 
 def build_filter(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -134,25 +147,41 @@ def repeated_fingerprints(digests: DataFrame) -> DataFrame:
     return blocks.groupBy("range").applyInArrow(_merge_range, "fingerprint long, n_prints long")
 
 
+def verified_groups(docs: DataFrame, digests: DataFrame, row: str = "row") -> DataFrame:
+    """A stored table of the groups of two and more equal texts: fingerprint, sha, n_rows, and best, the row that stays.
+
+    digests: stored, of digest_table(), with a column row of any orderable type besides doc_id. best is a struct
+    (less, none, doc_id, row): most code points, then least doc_id, null ids last, then least row.
+    """
+    repeated = stored(repeated_fingerprints(digests), "repeated")
+    rows = join_weighted(digests, repeated, ["fingerprint"], "n_prints", "left_semi")
+    place = F.struct((-F.col("n_points")).alias("less"), F.col("doc_id").isNull().alias("none"), "doc_id", F.col(row).alias("row"))
+    groups = stored(rows.groupBy("fingerprint", "sha").agg(F.count("*").alias("n_rows"), F.min(place).alias("best")).filter("n_rows > 1"), "groups")
+    texts = _slim(docs, ()).mapInArrow(_digests(True), "fingerprint long, sha binary, norm binary")
+    known = groups.select("fingerprint", "sha", "n_rows")
+    texts = texts.join(F.broadcast(known.drop("n_rows")), ["fingerprint", "sha"], "left_semi") if small(known) else join_weighted(texts, known, ["fingerprint", "sha"], "n_rows", "left_semi")
+    bounds = texts.groupBy("fingerprint", "sha").agg(F.min("norm").alias("least"), F.max("norm").alias("most"))
+    unlike = bounds.filter("least <> most").select("fingerprint", "sha").limit(1).collect()
+    if unlike:
+        raise ValueError(f"different texts with one SHA-256 digest: {unlike[0]['sha'].hex()}")
+    return groups
+
+
 def exact_groups(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after deleting ASCII white space; null counts as empty, so null,
     empty and blank texts are one group. Of a group the row with the most code points stays, then the
-    smallest doc_id; a null doc_id comes after all others. Rows that share a doc_id share its outcome.
-    Other columns of docs are ignored; an empty table gives an empty result.
+    smallest doc_id, of any orderable type; a null doc_id comes after all others. Rows that share a doc_id share its
+    outcome. Other columns of docs are ignored; an empty table gives an empty result.
     """
     digests = stored(digest_table(docs), "digests")
-    verified = (
-        digests.join(repeated_fingerprints(digests), "fingerprint", "left_semi")
-        .groupBy("fingerprint", "sha")
-        .agg(F.count("*").alias("n_rows"), F.max(F.struct("n_points", (-F.col("doc_id")).alias("neg_id"))).alias("best"))
-        .select("fingerprint", "sha", "n_rows", (-F.col("best.neg_id")).alias("best_id"))
-    )
+    groups = verified_groups(docs, digests, "doc_id").select("fingerprint", "sha", "n_rows", F.col("best.doc_id").alias("best_id"))
+    found = join_weighted(digests, stored(groups, "groups"), ["fingerprint", "sha"], "n_rows")
     keep = F.when(F.col("n_rows").isNull(), F.col("doc_id")).otherwise(F.col("best_id"))
-    return digests.join(verified, ["fingerprint", "sha"], "left").select(
+    return found.select(
         "doc_id",
-        keep.cast("long").alias("keep_id"),
+        keep.alias("keep_id"),
         F.coalesce("n_rows", F.lit(1)).cast("long").alias("group_size"),
         F.col("doc_id").eqNullSafe(keep).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
@@ -163,15 +192,12 @@ def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """docs with one row of each group of equal texts; same columns.
 
     The row that stays is chosen as in exact_groups, but by a key of its own for each row, so that repeated and
-    missing doc_ids neither save a copy nor take a row of another group along.
+    missing doc_ids neither save a copy nor take a row of another group along. Null, empty and blank texts are one
+    group; an empty table stays empty; the texts are only moved where there are too many copies to broadcast their keys.
     """
     keyed = with_row_key(docs)
     digests = stored(digest_table(keyed, ("doc_id", ROW)), "digests")
-    place = F.struct("n_points", (-F.col("doc_id")).alias("neg_id"), (-F.col(ROW)).alias("neg_row"))
-    best = (
-        digests.join(repeated_fingerprints(digests), "fingerprint", "left_semi")
-        .groupBy("fingerprint", "sha").agg(F.max(place).alias("best"))
-        .select("fingerprint", "sha", (-F.col("best.neg_row")).alias("best_row"))
-    )
-    copies = digests.join(best, ["fingerprint", "sha"]).filter(F.col(ROW) != F.col("best_row")).select(ROW)
-    return keyed.join(copies, ROW, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    groups = verified_groups(keyed, digests, ROW).select("fingerprint", "sha", "n_rows", F.col("best.row").alias("best_row"))
+    found = join_weighted(digests, stored(groups, "groups"), ["fingerprint", "sha"], "n_rows", "inner")
+    copies = stored(found.filter(F.col(ROW) != F.col("best_row")).select(ROW), "copies")
+    return without_rows(keyed, copies, ROW).select(*(F.col(f"`{c}`") for c in docs.columns))
