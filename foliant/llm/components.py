@@ -21,22 +21,19 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node) of every node that has an edge.
 
     edges: columns a and b of one orderable type; direction and repeats do not matter, loops are dropped.
-    Every round is written to the shared folder, so a lost executor costs one round at most.
+    Every round is written to the shared folder, so a lost executor costs one round at most. The rounds end when one
+    changes nothing; they grow with the logarithm of the longest chain.
     """
     down = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now = stored(down, "edges")
-    mark = _mark(now)
-    for _ in range(most_rounds):
+    before, mark = None, _mark(now)
+    while mark != before:
         now = stored(_small_star(_large_star(now)), "edges")
         before, mark = mark, _mark(now)
-        if mark == before:
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
         now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )

@@ -16,9 +16,13 @@ pairs that may link come out. A pivot is the class with the fewest shingles of i
 copies is the text they were copied from.
 
 Frequencies are counted over all shingles of all documents: tasks hand on sorted blocks of shingles, cut by hash
-range, and each range is merged by itself. What comes out are bitmaps of fixed size that tell which shingles occur
-at least 2, 8, 64 or 512 times; they give the order. Shingles whose first bit is not set occur once, so they can
-share nothing and need no posting. Collisions in a bitmap change the order and the speed, never the result.
+range, and each range is merged by itself. What comes out are bitmaps that tell which shingles occur at least twice
+and which reach three further levels; they give the order. As at most total / level shingles reach a level, levels
+go up with the corpus where a bitmap of 16 MB would fill up, so the frequent ones are told apart at any size. Shingles
+whose first bit is not set occur once, so they can share nothing and need no posting. Collisions in a bitmap change
+the order and the speed, never the result.
+
+Words are hashed by keyed BLAKE2b to 64 bits, so unlike words with one hash cannot be made up on purpose.
 """
 
 from __future__ import annotations
@@ -33,34 +37,42 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import ROW, stored, with_row_key
+from foliant.llm.common import BROADCAST_ROWS, ROW, join_weighted, small, stored, with_row_key, without_rows
 from foliant.llm.components import connected_components
 
 #: A-Z lower-cased, ASCII white space as space, all other bytes as they are.
 SPLIT_BYTES = bytes(c + 32 if 65 <= c <= 90 else 32 if c == 32 or 9 <= c <= 13 else c for c in range(256))
 STAR_ROUNDS = 1
-#: Occurrences that the bitmaps tell apart, and the bits of each (16 MB for the first, 2 MB for the others).
-LEVELS = {2: 27, 8: 24, 64: 24, 512: 24}
-WANTED_BITS = 24
+#: Bits of a frequency bitmap and of the bitmap of wanted classes at most (16 MB and 32 MB), and the least levels.
+LEVEL_BITS = 27
+WANTED_BITS = 28
+LEVELS = (2, 8, 64, 512)
 #: Bits of a set's parity bitmap; rows of a block of a long list, and about those of a unit of short lists.
 PARITY_BITS = 1024
 LIST_BLOCK = 2048
 #: Shingles in a task's open block.
 BLOCK = 1 << 22
+#: Words whose hashes a worker keeps, and the longest that is kept.
+CACHE_WORDS = 1 << 18
+CACHE_BYTES = 64
 
 _rng = np.random.default_rng(20)
-_BYTE = _rng.integers(1, 1 << 63, 256, np.uint64) | np.uint64(1)
-_BYTE[32] = 0
 _MIX = _rng.integers(1, 1 << 63, 16, np.uint64) | np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_powers = np.ones(1, np.uint64)
+_KEY = _rng.bytes(32)
+
+
+class _WordHashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        found = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=_KEY).digest(), "little")
+        if len(word) <= CACHE_BYTES:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[word] = found
+        return found
 
 
-def _power_table(n: int) -> np.ndarray:
-    global _powers
-    while len(_powers) < n:
-        _powers = np.concatenate([_powers, _powers * np.uint64(int(_powers[-1]) * int(_STEP) % 2**64)])
-    return _powers
+_hashes = _WordHashes()
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -71,16 +83,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def word_hashes(text: bytes | None, split: bytes = SPLIT_BYTES) -> np.ndarray:
     """A 64-bit hash of each word; split maps bytes, those between words to spaces."""
-    codes = np.frombuffer((text or b"").translate(split), np.uint8)
-    inside = codes != 32
-    starts = np.flatnonzero(inside & np.r_[True, ~inside[:-1]]) if len(codes) else np.empty(0, np.int64)
-    if not len(starts):
-        return np.empty(0, np.uint64)
-    codes = codes[starts[0] :]
-    starts = starts - starts[0]
-    spans = np.diff(starts, append=len(codes))
-    offset = np.arange(len(codes)) - np.repeat(starts, spans)
-    return _mixed(np.add.reduceat(_BYTE[codes] * _power_table(int(offset.max()) + 1)[offset], starts))
+    words = (text or b"").translate(split).split()
+    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
 
 
 def shingles(text: bytes | None, n: int = 3) -> np.ndarray:
@@ -114,7 +118,7 @@ def _blocks(n: int, range_bits: int):
         values, counts = np.unique(np.concatenate(held) >> np.uint64(32 - range_bits), return_counts=True)
         ranges = (values >> np.uint64(32)).astype(np.int64)
         cuts = np.flatnonzero(np.r_[True, ranges[1:] != ranges[:-1], True])
-        low, counts = values.astype(np.uint32), np.minimum(counts, 65535).astype(np.uint16)
+        low, counts = values.astype(np.uint32), np.minimum(counts, (1 << 32) - 1).astype(np.uint32)
         spans = list(zip(cuts[:-1], cuts[1:], strict=True))
         return pa.RecordBatch.from_arrays(
             [pa.array(ranges[cuts[:-1]]), pa.array([_packed(low[a:b]) for a, b in spans], pa.binary()), pa.array([zstandard.compress(counts[a:b].tobytes(), 1) for a, b in spans], pa.binary())],
@@ -138,34 +142,43 @@ def _blocks(n: int, range_bits: int):
     return run
 
 
-def _levels(range_bits: int):
+def levels_of(total: int, range_bits: int) -> list[tuple[int, int]]:
+    """(level, bits) of each bitmap for a corpus of about total shingles; a range fills whole bytes of each."""
+    base = max(LEVELS[1], math.ceil(total / (1 << (LEVEL_BITS - 1))))
+    levels = [LEVELS[0], *(base * x // LEVELS[1] for x in LEVELS[1:])]
+    return [(x, min(LEVEL_BITS, max(20, range_bits + 3, math.ceil(math.log2(total / x + 1)) + 1))) for x in levels]
+
+
+def _levels(range_bits: int, levels: list[tuple[int, int]]):
     """Merges the blocks of a range into its segment of each bitmap."""
 
     def merge(table: pa.Table) -> pa.Table:
         low = np.concatenate([_unpacked(x.as_py()) for x in table.column("low")])
-        counts = np.concatenate([np.frombuffer(zstandard.decompress(x.as_py()), np.uint16) for x in table.column("counts")]).astype(np.int64)
+        counts = np.concatenate([np.frombuffer(zstandard.decompress(x.as_py()), np.uint32) for x in table.column("counts")]).astype(np.int64)
         order = np.argsort(low, kind="stable")
         low, counts = low[order], counts[order]
         first = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
         low, counts = low[first], np.add.reduceat(counts, first)
         out = {"range": table.column("range")[:1]}
-        for level, bits in LEVELS.items():
+        for k, (level, bits) in enumerate(levels):
             flags = np.zeros(1 << (bits - range_bits), bool)
             flags[low[counts >= level] >> np.uint32(32 + range_bits - bits)] = True
-            out[f"level{level}"] = pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())
+            out[f"level{k}"] = pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())
         return pa.table(out)
 
     return merge
 
 
 def frequency_bitmaps(texts: DataFrame, n: int) -> list[np.ndarray]:
-    """texts: one binary column. The bitmaps of LEVELS, by the first bits of a shingle."""
+    """texts: one binary column. A bitmap for each level, by the first bits of a shingle."""
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     range_bits = min(20, max(8, math.ceil(math.log2(4 * parts))))
+    total = (texts.agg(F.sum(F.octet_length(texts.columns[0]))).first()[0] or 0) // 4 + 1  # of words, rather too many
+    levels = levels_of(total, range_bits)
     blocks = texts.mapInArrow(_blocks(n, range_bits), "range long, low binary, counts binary")
-    names = [f"level{level}" for level in LEVELS]
-    merged = blocks.groupBy("range").applyInArrow(_levels(range_bits), "range long, " + ", ".join(f"{x} binary" for x in names))
-    out = [np.zeros(1 << (bits - 3), np.uint8) for bits in LEVELS.values()]
+    names = [f"level{k}" for k in range(len(levels))]
+    merged = blocks.groupBy("range").applyInArrow(_levels(range_bits, levels), "range long, " + ", ".join(f"{x} binary" for x in names))
+    out = [np.zeros(1 << (bits - 3), np.uint8) for _, bits in levels]
     for r in merged.collect():
         for bitmap, name in zip(out, names, strict=True):
             size = len(r[name])
@@ -176,8 +189,8 @@ def frequency_bitmaps(texts: DataFrame, n: int) -> list[np.ndarray]:
 def frequency_class(found: np.ndarray, bitmaps: list[np.ndarray]) -> np.ndarray:
     """How many of the levels each shingle reaches, as far as the bitmaps tell."""
     out = np.zeros(len(found), np.uint8)
-    for bitmap, bits in zip(bitmaps, LEVELS.values(), strict=True):
-        bit = (found >> np.uint64(64 - bits)).astype(np.int64)
+    for bitmap in bitmaps:
+        bit = (found >> np.uint64(64 - 3 - (len(bitmap) - 1).bit_length())).astype(np.int64)
         out += bitmap[bit >> 3] >> (bit & 7).astype(np.uint8) & np.uint8(1)
     return out
 
@@ -219,7 +232,7 @@ def parity(found: np.ndarray) -> bytes:
     return np.packbits(bits.astype(bool), bitorder="little").tobytes()
 
 
-def _sets(n: int, wanted):
+def _sets(n: int, wanted, wanted_bits: int):
     """The sets of the classes that may be wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,7 +243,7 @@ def _sets(n: int, wanted):
                 s = shingles(x.as_py(), n)
                 if not len(s) or (c := hashlib.blake2b(s.tobytes(), digest_size=16).digest()) in seen:
                     continue
-                bit = int.from_bytes(c[:4], "big") >> (32 - WANTED_BITS)
+                bit = int.from_bytes(c[:4], "big") >> (32 - wanted_bits)
                 if bits[bit >> 3] >> (bit & 7) & 1:
                     seen.add(c)
                     classes.append(c)
@@ -298,9 +311,10 @@ def jaccard_classes(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100,
 
     crowded = classes.groupBy("grp").agg(F.count("*").alias("n_classes")).filter("n_classes > 1").select("grp")
     wanted = classes.join(postings.select("grp").union(crowded).distinct(), "grp", "left_semi")
-    bit = F.shiftrightunsigned(F.conv(F.substring(F.hex("cls"), 1, 8), 16, 10).cast("long"), 32 - WANTED_BITS)
-    bits = spark.sparkContext.broadcast(_bitmap(wanted.select(bit.alias("bit")), WANTED_BITS).tobytes())
-    sets = texts.select("bytes").mapInArrow(_sets(n, bits), "cls binary, shingles array<long>, parity binary")
+    wanted_bits = min(WANTED_BITS, max(20, classes.count().bit_length() + 3))
+    bit = F.shiftrightunsigned(F.conv(F.substring(F.hex("cls"), 1, 8), 16, 10).cast("long"), 32 - wanted_bits)
+    bits = spark.sparkContext.broadcast(_bitmap(wanted.select(bit.alias("bit")), wanted_bits).tobytes())
+    sets = texts.select("bytes").mapInArrow(_sets(n, bits, wanted_bits), "cls binary, shingles array<long>, parity binary")
     sets = stored(sets.groupBy("cls").agg(F.first("shingles").alias("shingles"), F.first("parity").alias("parity")), "sets")
 
     comp = classes.select("cls", "grp", "n_shingles", "rare", F.col("cls").alias("component"))
@@ -391,8 +405,11 @@ def _cross_pairs(comp: DataFrame, postings: DataFrame, sets: DataFrame, num: int
     listed = postings.select("grp", F.col("shingle").alias("key"), "band").join(comp.select("grp", "cls", "component", "n_shingles"), "grp")
     entries = crowded.unionByName(listed.drop("grp"))
     spread = entries.groupBy("key", "band").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    entries = entries.join(spread.filter("lo <> hi").select("key", "band", "n"), ["key", "band"]).join(sets.select("cls", "parity"), "cls")
-    entries = stored(entries, "entries")
+    entries = stored(entries.join(spread.filter("lo <> hi").select("key", "band", "n"), ["key", "band"]), "spread")
+    # a class stands in as many lists as its prefix has open shingles, so few classes are broadcast and not dealt
+    parities = sets.select("cls", "parity").join(entries.select("cls").distinct(), "cls", "left_semi")
+    parities = stored(parities, "parities")
+    entries = stored(entries.join(F.broadcast(parities) if small(parities, BROADCAST_ROWS // 2) else parities, "cls"), "entries")
     units = max(1, -(-entries.count() // LIST_BLOCK))
     blocks = F.ceil(F.col("n") / LIST_BLOCK)
     entries = entries.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("cls"), blocks))
@@ -413,28 +430,31 @@ def jaccard_components(docs: DataFrame, **options) -> DataFrame:
     An empty table gives an empty result; other columns are ignored.
     """
     members, components = jaccard_classes(docs, **options)
-    least = members.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("least_id"))
+    least = members.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n_rows"))
     labels = least.join(components.select(F.col("node").alias("cls"), "component"), "cls", "left")
-    labels = labels.select("cls", "least_id", F.coalesce("component", "cls").alias("component"))
-    ids = labels.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    labels = stored(labels.join(ids, "component").select("cls", "component_id"), "component-ids")
+    labels = stored(labels.select("cls", "least_id", "n_rows", F.coalesce("component", "cls").alias("component")), "labelled")
+    ids = stored(labels.groupBy("component").agg(F.min("least_id").alias("component_id"), F.count("*").alias("n_classes")), "component-ids")
+    labels = stored(join_weighted(labels, ids, ["component"], "n_classes").select("cls", "n_rows", "component_id"), "class-ids")
     own = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return members.join(labels, "cls", "left").select("doc_id", "n_shingles", own.alias("component_id"))
+    return join_weighted(members, labels, ["cls"], "n_rows").select("doc_id", "n_shingles", own.alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
     """docs with one row of each component, and all rows without words; same columns.
 
     The row with the smallest doc_id stays; a null one comes after all others. Components are made over a key
-    of its own for each row, so a doc_id that several rows share neither saves a copy nor drops another text.
+    of its own for each row, so a doc_id that several rows share neither saves a copy nor drops another text, and of
+    repeated rows one stays. An empty table stays empty; the texts are only moved where there are too many copies to
+    broadcast their keys.
     """
     keyed = with_row_key(docs)
     found = jaccard_components(keyed.select(F.col(ROW).alias("doc_id"), "text"), **options)
+    linked = stored(found.filter("n_shingles > 0").select(F.col("doc_id").alias(ROW), "component_id"), "linked")
+    crowded = stored(linked.groupBy("component_id").agg(F.count("*").alias("n")).filter("n > 1"), "crowded")
+    members = stored(join_weighted(linked, crowded, ["component_id"], "n", "left_semi"), "members")
     ids = keyed.select(ROW, F.col("doc_id").alias("id"))
-    linked = found.filter("n_shingles > 0").select(F.col("doc_id").alias(ROW), "component_id")
-    crowded = linked.groupBy("component_id").agg(F.count("*").alias("n")).filter("n > 1").select("component_id")
-    members = stored(linked.join(crowded, "component_id").join(ids, ROW), "members")
+    members = stored((ids.join(F.broadcast(members), ROW) if small(members) else ids.join(members, ROW)), "members")
     place = F.struct(F.col("id").isNull().alias("none"), "id", ROW)
     best = members.groupBy("component_id").agg(F.min(place).alias("best")).select(F.col(f"best.{ROW}").alias(ROW))
-    drop = members.select(ROW).join(best, ROW, "left_anti")
-    return keyed.join(drop, ROW, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    copies = stored(without_rows(members.select(ROW), stored(best, "best"), ROW), "copies")
+    return without_rows(keyed, copies, ROW).select(*(F.col(f"`{c}`") for c in docs.columns))

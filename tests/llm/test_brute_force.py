@@ -297,3 +297,10 @@ def test_pipeline_keeps_rows_by_row(spark, tmp_path):
     got = p.run(spark, str(tmp_path)).collect()
     assert sorted((repr(r["doc_id"]), r["text"], r["taken"]) for r in got) == sorted((repr(i), t, len(t.split())) for i, t in kept)
     assert len(kept) == 20 + 1 + 3 + 3 + 1 + 2
+
+
+def test_levels_go_up_with_the_corpus():
+    assert [x for x, _ in jaccard_join.levels_of(1000, 8)] == [2, 8, 64, 512]
+    for total in (10**3, 10**8, 10**10, 10**13):
+        for k, (level, bits) in enumerate(jaccard_join.levels_of(total, 20)):
+            assert 23 <= bits <= jaccard_join.LEVEL_BITS and (k == 0 or total / level <= 1 << (bits - 1))

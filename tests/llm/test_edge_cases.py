@@ -161,3 +161,40 @@ def test_chats(spark):
     assert rows[1]["rendered"] == "<|user|>\na\na<|end|>\n<|assistant|>\nb<|end|>\n" and rows[1]["cost"] == 1
     assert (rows[2]["n_inserted"], rows[None]["n_relabelled"]) == (1, 1)
     assert chat_repair.repair_chats(turns.limit(0)).count() == 0
+
+
+def test_text_ids(spark):
+    """Every operator that groups takes ids of any orderable type."""
+    docs = spark.createDataFrame([("b", "one two three four"), ("a", "one two  three four"), ("a", None), (None, "one two three four")], "doc_id string, text string")
+    rows = {(r["doc_id"], r["kept"]): r for r in exact_dedup.exact_groups(docs).collect()}
+    assert rows["a", True]["keep_id"] == "a" and rows["b", False]["group_size"] == 3 and rows[None, False]["keep_id"] == "a"
+    assert {r["component_id"] for r in jaccard_join.jaccard_components(docs).collect() if r["n_shingles"]} == {"a"}
+    assert exact_dedup.drop_exact_copies(docs).count() == 2 and jaccard_join.keep_one_of_each(docs).count() == 2
+
+
+def test_colliding_words_do_not_link(spark):
+    """Words whose linear hashes modulo 2 ** 64 are equal: a Thue-Morse word and its complement."""
+    word = "a"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, f"x y {word} z w"), (2, f"x y {other} z w"), (3, f"x y {word} z w")], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(docs).collect()} == {1: 1, 2: 2, 3: 1}
+
+
+@pytest.mark.parametrize("weights_fit", [True, False])
+def test_heavy_keys_are_split_off(spark, monkeypatch, weights_fit):
+    """The joins beyond the broadcast limit give the rows of the ones below it."""
+    if not weights_fit:
+        for module in (exact_dedup, jaccard_join):
+            monkeypatch.setattr(module, "small", lambda df, rows=0: False)
+        monkeypatch.setattr("foliant.llm.common.small", lambda df, rows=0: False)
+        monkeypatch.setattr("foliant.llm.common.HEAVY_LEAST", 3)
+    rows = [(i, f"same words in every one of these rows {i % 3}") for i in range(30)] + [(i, f"text {i} of its own {i * 7}") for i in range(30, 60)] + [(None, None)] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    groups = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact_dedup.exact_groups(docs).collect()}
+    assert groups == {i: (i % 3, 10) if i < 30 else (i, 1) for i in range(60)} | {None: (None, 5)}
+    assert exact_dedup.drop_exact_copies(docs).count() == 34
+    found = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(docs).collect()}
+    assert found == {i: i % 3 if i < 30 else i for i in range(60)} | {None: None}
+    assert jaccard_join.keep_one_of_each(docs).count() == 33 + 5
