@@ -9,20 +9,23 @@ Before streaming, a document is probed at every stride-th word for a short run (
 stride is chosen so that every window covers an anchor position, so the probe loses nothing; documents
 without any anchor hit need no streaming.
 
-Test items are split by word count into automata of at most `max_words` words. Each is broadcast by itself
-and its hits are carried along as a column, so the size broadcast is bounded by the parameter, whatever the
-number of items.
+Test items are dealt into automata of about `max_words` words; an item that is longer is cut into pieces that
+overlap by a window less a word. One automaton is in memory at a time, on the driver and in a worker: if there are
+several, each has a pass of its own over the documents and leaves only the rows that it hits.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliant.llm.common import ROW, ascii_lower, stored, with_row_key
+
 #: Keeps 0-9, a-z and all bytes of non-ASCII characters, lower-cases A-Z, turns the rest into spaces.
 WORD_BYTES = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
@@ -52,8 +55,11 @@ class WordAutomaton:
         #: items whose window of full length is in a state; whole short items as (length, item)
         self.window_items: dict[int, set] = {}
         self.short_items: dict[int, set] = {}
+        #: for each state, the state of its last `window` words, and the nearest one up with short items; 0 if none
+        self.windowed = self._up(lambda s: self.length[self.link[s]] < window <= self.length[s])
         for item, words in items:
             self._enter(item, words)
+        self.short = self._up(lambda s: s in self.short_items)
         self.least = min((min(window, len(w)) for _, w in items), default=0)
         self.anchor = min(ANCHOR, self.least)
         self.stride = self.least - self.anchor + 1
@@ -89,21 +95,21 @@ class WordAutomaton:
             p = link[p]
         return clone
 
+    def _up(self, test) -> list[int]:
+        out = [0] * len(self.next)
+        for s in sorted(range(1, len(out)), key=self.length.__getitem__):
+            out[s] = s if test(s) else out[self.link[s]]
+        return out
+
     def _enter(self, item: str | None, words: list[bytes]) -> None:
-        window, state = self.window, 0
+        state = 0
         for i, word in enumerate(words):
             state = self.next[state][word]
-            if i + 1 >= window:
-                self.window_items.setdefault(self._at_window(state), set()).add(item)
-        if len(words) < window:
+            if i + 1 >= self.window:
+                self.window_items.setdefault(self.windowed[state], set()).add(item)
+        if len(words) < self.window:
             self.short_items.setdefault(state, set()).add((len(words), item))
 
-    def _at_window(self, state: int) -> int:
-        """The state of the last `window` words of a run that ends in state."""
-        while self.length[self.link[state]] >= self.window:
-            state = self.link[state]
-        return state
-
     def has_anchor(self, words: list[bytes]) -> bool:
         k, anchors = self.anchor, self.anchors
         return bool(anchors) and any(tuple(words[i : i + k]) in anchors for i in range(0, len(words) - k + 1, self.stride))
@@ -113,6 +119,7 @@ class WordAutomaton:
         nxt, link, length = self.next, self.link, self.length
         spans: list[list[int]] = []
         items: set = set()
+        seen: set = set()
         state = matched = 0
         for i, word in enumerate(words):
             while state and word not in nxt[state]:
@@ -124,14 +131,16 @@ class WordAutomaton:
             run = 0
             if matched >= self.window:
                 run = self.window
-                items |= self.window_items[self._at_window(state)]
-            s = state
-            while s > 0:
-                for size, item in self.short_items.get(s, ()):
+                if (w := self.windowed[state]) not in seen:
+                    seen.add(w)
+                    items |= self.window_items[w]
+            s = self.short[state]
+            while s:
+                for size, item in self.short_items[s]:
                     if size <= matched:
                         run = max(run, size)
                         items.add(item)
-                s = link[s]
+                s = self.short[link[s]]
             if run:
                 start = i + 1 - run
                 while spans and spans[-1][1] >= start:
@@ -181,29 +190,72 @@ def _scan(automaton):
     return run
 
 
-def item_groups(items: DataFrame, max_words: int) -> list[DataFrame]:
-    """Items dealt by hash into groups of about max_words words."""
-    words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
-    total = items.agg(F.sum(words)).first()[0] or 0
-    n = -(-total // max_words)
-    return [items.filter(F.pmod(F.xxhash64("text"), F.lit(n)) == k) if n > 1 else items for k in range(n)]
+def item_pieces(items: DataFrame, window: int, max_words: int) -> tuple[DataFrame, int]:
+    """A stored table of ids, words and grp, and the number of groups; a group has about max_words words.
+
+    Equal texts are one item with several ids. Pieces of a longer item overlap so that each window is in one.
+    """
+    words = F.regexp_extract_all(ascii_lower(F.coalesce("text", F.lit(""))), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))
+    texts = items.groupBy(words.alias("words")).agg(F.collect_set(F.col("item_id").cast("string")).alias("ids"), F.bool_or(F.col("item_id").isNull()).alias("nameless"))
+    step = max_words - window + 1
+    if step < 1:
+        raise ValueError("max_words must be at least window")
+    starts = F.sequence(F.lit(0), F.floor(F.greatest(F.size("words") - window, F.lit(0)) / step).cast("int"))
+    pieces = texts.filter("size(words) > 0").select("ids", "nameless", "words", F.explode(starts).alias("k"))
+    pieces = stored(pieces.select("ids", "nameless", F.slice("words", F.col("k") * step + 1, F.lit(max_words)).alias("words")), "pieces")
+    n = -(-(pieces.agg(F.sum(F.size("words"))).first()[0] or 0) // max_words)
+    return pieces.withColumn("grp", F.pmod(F.xxhash64("words"), F.lit(max(n, 1)))), n
+
+
+def automata(items: DataFrame, window: int, max_words: int) -> Iterator[WordAutomaton]:
+    """The automata of all items, one after the other; each has less than twice max_words words."""
+    pieces, n = item_pieces(items, window, max_words)
+    for g in range(n):
+        held, size = [], 0
+        for r in sorted(pieces.filter(F.col("grp") == g).collect(), key=lambda r: r["words"]):
+            words = [w.encode() for w in r["words"]]
+            if size + len(words) > max_words and held:
+                yield WordAutomaton(held, window)
+                held, size = [], 0
+            held += [(i, words) for i in sorted(r["ids"])] + ([(None, words)] if r["nameless"] else [])
+            size += len(words)
+        if held:
+            yield WordAutomaton(held, window)
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        spans = [merge_spans([s for part in x for s in part]) for x in batch.column("spans").to_pylist()]
+        names = [sorted({i for part in x for i in part}) for x in batch.column("items").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.list_(pa.list_(pa.int32()))), pa.array(names, pa.list_(pa.string()))], [ROW, "spans", "items"])
 
 
 def match_items(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_words: int = MAX_WORDS, carry: tuple = ("doc_id",)) -> DataFrame:
     """carry columns, bytes, n_words, spans (word positions) and items (ids as strings, sorted) per row of docs."""
-    spark = docs.sparkSession
-    out = docs.select(
-        *carry,
-        F.col("text").cast("binary").alias("bytes"),
-        F.lit(0).cast("long").alias("n_words"),
-        F.array().cast("array<array<int>>").alias("spans"),
-        F.array().cast("array<string>").alias("items"),
-    )
-    groups = item_groups(items.select(F.col("item_id").cast("string"), "text"), max_words)
-    for group in groups or [None]:
-        rows = [] if group is None else sorted(((r[0], words_of((r[1] or "").encode())) for r in group.collect()), key=lambda x: (x[0] is None, x))
-        out = out.mapInArrow(_scan(spark.sparkContext.broadcast(WordAutomaton(rows, window))), out.schema)
-    return out
+    nothing = [F.lit(0).cast("long").alias("n_words"), F.array().cast("array<array<int>>").alias("spans"), F.array().cast("array<string>").alias("items")]
+    rows = docs.select(*carry, F.col("text").cast("binary").alias("bytes"))
+    share = docs.sparkSession.sparkContext.broadcast
+    made = automata(items, window, max_words)
+    first, second = next(made, None), next(made, None)
+    if second is None:
+        rows = rows.select("*", *nothing)
+        return rows.mapInArrow(_scan(share(first or WordAutomaton([], window))), rows.schema)
+    rows = with_row_key(rows)
+    slim = rows.select(ROW, "bytes", *nothing)
+    found = None
+    for automaton in chain([first, second], made):
+        shared = share(automaton)
+        hits = stored(slim.mapInArrow(_scan(shared), slim.schema).filter("size(spans) > 0").select(ROW, "spans", "items"), "hits")
+        shared.unpersist()
+        found = hits if found is None else found.unionByName(hits)
+    found = found.groupBy(ROW).agg(F.collect_list("spans").alias("spans"), F.collect_list("items").alias("items"))
+    found = stored(found.mapInArrow(_merged, f"{ROW} long, spans array<array<int>>, items array<string>"), "hits")
+    n_words = F.coalesce(F.regexp_count(ascii_lower(F.col("bytes").cast("string")), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")), F.lit(0)).cast("long")
+    both = rows.join(found, ROW, "left")
+    return both.select(
+        *(c for c in rows.columns if c not in (ROW, "bytes")), "bytes", n_words.alias("n_words"),
+        F.coalesce("spans", nothing[1]).alias("spans"), F.coalesce("items", nothing[2]).alias("items"),
+    )
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,7 +279,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_w
 
     contaminated: n_hit > 0 and 20 * n_hit >= n_words. A null text has no words, is clean and has the digest
     of the empty string. Items without words match nothing; several items with one id count once; an item
-    without id is searched for, but not listed. Repeated rows each get a row. Other columns are ignored.
+    without id is searched for, but not listed. Texts of any length stream through word by word. Repeated rows each
+    get a row, an empty table gives none, and without items nothing is hit. Other columns are ignored.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = match_items(docs, items, window, max_words).drop("bytes")
@@ -236,7 +289,11 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_w
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_words: int = MAX_WORDS) -> DataFrame:
-    """docs without the contaminated rows; same columns, one pass without a shuffle."""
+    """docs without the contaminated rows; same columns, and no shuffle with one automaton.
+
+    Each row is judged by itself, so repeated rows and rows without id stay or go alike; null texts stay. Columns
+    of any name are carried; an empty table stays empty.
+    """
     rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
     found = match_items(docs, items, window, max_words, carry=(F.struct(F.lit(0).alias("_"), *rest).alias("rest"),))
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + (s[1] - s[0]))
