@@ -3,6 +3,8 @@
 A legal conversation is a path of an automaton over roles: an optional system message, then user and assistant
 in turn, ending with the assistant. Each turn may be kept, relabelled, or merged into the message before it;
 empty messages may be inserted. Dynamic programming finds the cheapest combination, which is then rendered.
+A text cannot forge a marker: rendering puts a backslash after the "<" of every "<|" in it, and one more where
+backslashes stand between the two, so taking one out again gives the text.
 
 The state between turns is the role of the last message, so the cheapest ways through a stretch of turns are a
 small matrix, and stretches combine by min-plus products. The turns are dealt by ranges of their whole order, with
@@ -15,6 +17,7 @@ bytes; a longer conversation is given in several rows.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import product
 
@@ -127,6 +130,11 @@ def _open(role: int, first: bool) -> str:
     return ("" if first else "<|end|>\n") + f"<|{ROLES[role - 1]}|>\n"
 
 
+def escaped(text: str | None) -> str:
+    """text with no marker in it: "<", any backslashes and "|" get one backslash more after the "<"."""
+    return re.sub(r"<(?=\\*\|)", r"<\\", text or "")
+
+
 def render(turns: list[tuple[str | None, str | None]], first: int, last: int, final: bool) -> tuple[str, int, int, int, int]:
     """A chunk's text, and its messages, merges, relabels and insertions."""
     roles = [role_number(r) for r, _ in turns]
@@ -137,14 +145,14 @@ def render(turns: list[tuple[str | None, str | None]], first: int, last: int, fi
         relabelled += role != to
         if path is None:
             merged += 1
-            parts.append("\n" + (text or ""))
+            parts.append("\n" + escaped(text))
             continue
         for r in (*path, to):
             parts.append(_open(r, not opened))
             opened = True
         inserted += len(path)
         messages += len(path) + 1
-        parts.append(text or "")
+        parts.append(escaped(text))
     if final:
         for r in AFTER[last]:
             parts.append(_open(r, False))
@@ -232,7 +240,7 @@ def repair_chats(turns: DataFrame, chunk: int = CHUNK, chunk_bytes: int = CHUNK_
 
     Turns go by number, then role, then by the text's first PREFIX characters and its hash; those without a number
     come last. Repeated rows are turns of their own. A role that is null or unknown fits nothing and is relabelled
-    or merged; a null text is empty. Rows without conv_id are one conversation. An empty table gives an empty
+    or merged; a null text is empty; markers in a text are escaped, see the module. Rows without conv_id are one conversation. An empty table gives an empty
     result; other columns are ignored.
     """
     kind = turns.schema["conv_id"].dataType.simpleString()
