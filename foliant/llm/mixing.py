@@ -9,8 +9,9 @@ The document at the very edge gives the words that are still missing, so each so
 
 The blocks are then spread over the output shards: a binary tree over the shards splits every source's
 block count by a multivariate-hypergeometric draw, computed with SQL functions, until each shard has exact
-quotas. Each source's blocks, in a permuted order, fill the shards' quotas in turn: disjoint draws. Within a
-shard rows are shuffled by a hash.
+quotas. Each source's blocks, in a permuted order, fill the shards' quotas in turn: disjoint draws. mix() tells
+for each document which shards draw it; sharded() and write_shards() make the shards, the document at an edge cut to
+its words, and shuffle the rows of each by a hash.
 
 Everything is DataFrame work; tables that grow with the rows are only dealt by (source, cell).
 """
@@ -22,13 +23,15 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.common import let, stored
+from foliant.llm.common import let, small, stored
 
 WEIGHTS = (5, 2, 1)
 LIMIT = 3
 CELLS = 256
 SHARDS = 16
 SEED = 11
+#: Blocks that are broadcast at most, about 300 bytes each: those of four hundred sources with 256 cells.
+BLOCK_ROWS = 100_000
 PRIME = 1_000_003  # over the number of any source's blocks, (limit + 1) * cells
 
 
@@ -96,7 +99,8 @@ def split_blocks(root: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
 
 def _rank(cell: Column, cells: int, salt: int) -> Column:
     """The cell's place in its source's permuted order."""
-    return F.pmod(cell * 167 + F.pmod(F.xxhash64("src", F.lit(salt)), F.lit(cells)), F.lit(cells)).cast("int")
+    step = next(p for p in (167, 173) if cells % p)  # no factor of cells, so that no two cells share a place
+    return F.pmod(cell * step + F.pmod(F.xxhash64("src", F.lit(salt)), F.lit(cells)), F.lit(cells)).cast("int")
 
 
 def _edge(cells: Column, quota: Column) -> Column:
@@ -141,18 +145,20 @@ def mix(docs: DataFrame, weights=WEIGHTS, limit: int = LIMIT, cells: int = CELLS
     draws: array of (shard, words, place) for each time the mix takes the document; rows of a shard are
     ordered by place. taken is the sum of the draws' words, at most limit * size. A null text has size 0 and is
     never drawn; rows without a source form one source, the last. Rows without doc_id and repeated rows are
-    dealt like others. If no document has words, all targets are 0. Other columns are ignored.
+    dealt like others. If no document has words, all targets are 0; an empty table gives none. A document of any
+    length is one row of a block. The plan is one row with a few numbers for each source, so it is made for up to some
+    ten thousand sources. Other columns are ignored.
     """
-    if cells != 256:
-        raise ValueError("cells are eight bits of the hash")
+    if not 1 <= cells <= 4096:
+        raise ValueError("cells: from 1 to 4096")
     key = F.xxhash64(F.lit(seed), "doc_id", "text")
     row = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if carry else []
     sized = docs.select(
         "doc_id", "source", text_size(F.col("text")).alias("size"), key.alias("key"),
         F.coalesce(F.concat(F.lit("0"), "source"), F.lit("1")).alias("src"), *row,
     )
-    cell = lambda shift: F.shiftrightunsigned("key", shift).bitwiseAND(F.lit(cells - 1)).cast("int")
-    sized = stored(sized.select("*", cell(56).alias("c0"), cell(48).alias("c1")), "sized")
+    cell = lambda shift: F.pmod(F.shiftrightunsigned("key", shift).bitwiseAND(F.lit((1 << 30) - 1)), F.lit(cells)).cast("int")
+    sized = stored(sized.select("*", cell(34).alias("c0"), cell(4).alias("c1")), "sized")
 
     by_cell = sized.groupBy("src", "source", "c0").agg(F.sum("size").alias("words"))
     by_source = by_cell.groupBy("src", "source").agg(
@@ -193,7 +199,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, limit: int = LIMIT, cells: int = CELLS
         F.when(F.col("passes") > 0, whole).otherwise(F.array().cast("array<int>")).alias("whole"),
         shard_of(F.col("passes") * cells + F.col("place0")).alias("part"),
     )
-    rows = sized.join(blocks, ["src", "c0"]).withColumn("place1", _rank(F.col("c1"), cells, 1))
+    blocks = stored(blocks, "blocks")
+    rows = sized.join(F.broadcast(blocks) if small(blocks, BLOCK_ROWS) else blocks, ["src", "c0"]).withColumn("place1", _rank(F.col("c1"), cells, 1))
     edge = (F.col("place0") == F.col("edge0.place")) & (F.col("place1") == F.col("edge1.place"))
     before = (F.col("edge0.place") < 0) | (F.col("place0") < F.col("edge0.place")) | (
         (F.col("place0") == F.col("edge0.place")) & ((F.col("edge1.place") < 0) | (F.col("place1") < F.col("edge1.place")))
@@ -216,3 +223,29 @@ def mix(docs: DataFrame, weights=WEIGHTS, limit: int = LIMIT, cells: int = CELLS
         (F.col("passes") * F.col("size") + F.col("extra")).alias("taken"),
         F.concat(F.coalesce(whole, nothing), F.coalesce(part, nothing)).alias("draws"), *(["row"] if carry else []),
     )
+
+
+def first_words(text: Column, words: Column) -> Column:
+    """text up to the end of its words-th word."""
+    pieces = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    return F.array_join(F.slice(pieces, F.lit(1), words.cast("int")), "")
+
+
+def sharded(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: one row for each draw, with shard, place, words and the columns of docs.
+
+    A document that a source's target takes in part has its text cut after the words taken. Rows are in the order
+    (shard, place) across and within partitions, so a shard is shuffled wherever it is cut, and no shard is one task.
+    Columns of docs called shard, place or words are kept, as doc_shard and so on.
+    """
+    drawn = mix(docs, carry=True, **options).select("row", "size", F.inline("draws"))
+    text = F.when(F.col("words") < F.col("size"), first_words(F.col("row.text"), F.col("words"))).otherwise(F.col("row.text"))
+    own = [(text if c == "text" else F.col("row")[c]).alias(f"doc_{c}" if c in ("shard", "place", "words") else c) for c in docs.columns]
+    # the draws are many more rows than partitions of the mix, and their number is only known to Spark
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return drawn.select("shard", "place", "words", *own).repartitionByRange(parts, "shard", "place").sortWithinPartitions("shard", "place")
+
+
+def write_shards(docs: DataFrame, path: str, **options) -> None:
+    """Writes sharded() as Parquet, a folder shard=n for each shard; its files follow each other in the order of place."""
+    sharded(docs, **options).write.partitionBy("shard").parquet(path)
