@@ -20,10 +20,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
-#: Bounds of the training sample for each language: texts, characters taken from one text, dictionary bytes.
+#: Bounds of the training sample for each language: texts, and characters taken from one text.
 SAMPLE_TEXTS = 600
 PASSAGE_CHARS = 300
-DICTIONARY_BYTES = 64_000
+#: The least that the format allows; shorter content is filled up with line ends.
+LEAST_BYTES = 8
 BLOCK_BYTES = 8192
 LEVEL = 6
 TAIL = b"\0" * 300
@@ -46,14 +47,13 @@ def train(labelled: DataFrame, lang: str = "lang", sample_texts: int = SAMPLE_TE
     rows = (
         usable.filter(F.pmod(key, F.lit(1 << 30)) < share[F.col(lang)] * (1 << 30))
         .select(F.col(lang).alias("lang"), key.alias("key"), F.lower(F.substr("text", start, F.lit(PASSAGE_CHARS))).alias("passage"))
-        .collect()
+        .distinct().collect()  # repeated rows have one key
     )
     out: dict[str, bytes] = {}
     for name in sorted(counts):
         passages = dict.fromkeys(r["passage"] for r in sorted(rows, key=lambda r: (r["key"], r["passage"])) if r["lang"] == name)
-        content = "\n".join(passages).encode()[-DICTIONARY_BYTES:]
-        if len(content) >= 8:  # the least that the format allows
-            out[name] = content
+        if passages:
+            out[name] = "\n".join(passages).encode().ljust(LEAST_BYTES, b"\n")
     return out
 
 
@@ -103,7 +103,8 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], carry: list[Column
 
     lang_pred is `und`, with score 0 and rejected, where text is null or has no letter, and everywhere if no
     dictionary was learned. With one language only, nothing else is rejected. Ties go to the language that
-    sorts first and are rejected. Only the columns in carry and text are read.
+    sorts first and are rejected. Texts of any length are compressed whole, in blocks. Rows are judged one by one, so
+    repeated rows each get a row and an empty table gives none. Only the columns in carry and text are read.
     """
     judged = F.when(F.col("text").rlike(r"\p{L}"), F.col("text"))  # null if there is nothing to judge
     slim = docs.select(*carry, judged.alias("text"))
