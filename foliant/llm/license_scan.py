@@ -22,8 +22,10 @@ from foliant.llm.decontaminate import WORD_BYTES, words_of
 from foliant.llm.jaccard_join import word_hashes
 
 K = 3
-#: Part of a template's words that a span must cover.
+#: Part of a template's words that a span must cover: of a notice, and of a template of LONG words or more.
 MIN_COVER = 0.85
+LONG_COVER = 0.7
+LONG = 40
 #: Diagonals at most so far apart are merged.
 MAX_SHIFT = 4
 
@@ -54,6 +56,53 @@ TEMPLATES = [
     ("creative commons attribution sharealike 4 0 international", "cc-by-sa"),
     ("licensed under cc by 4 0", "cc-by"),
     ("creative commons attribution 4 0 international", "cc-by"),
+    # whole texts and headers
+    (
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal "
+        "in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies "
+        "of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and "
+        "this permission notice shall be included in all copies or substantial portions of the software",
+        "mit",
+    ),
+    (
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright "
+        "notice and this permission notice appear in all copies",
+        "isc",
+    ),
+    (
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary "
+        "form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials "
+        "provided with the distribution",
+        "bsd",
+    ),
+    (
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or "
+        "conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+        "apache-2",
+    ),
+    (
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free "
+        "software foundation either version 3 of the license or at your option any later version",
+        "gpl-3",
+    ),
+    (
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free "
+        "software foundation either version 2 of the license or at your option any later version",
+        "gpl-2",
+    ),
+    (
+        "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the "
+        "free software foundation",
+        "lgpl",
+    ),
+    ("this source code form is subject to the terms of the mozilla public license v 2 0", "mpl-2"),
+    ("this is free and unencumbered software released into the public domain", "unlicense"),
+    ("boost software license version 1 0", "bsl-1"),
+    ("eclipse public license v 2 0", "epl-2"),
+    ("creative commons attribution sharealike 3 0 unported license", "cc-by-sa"),
+    ("creative commons attribution noncommercial sharealike 4 0 international", "cc-by-nc-sa"),
+    ("creative commons attribution noderivatives 4 0 international", "cc-by-nd"),
+    ("to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", "cc0"),
 ]
 
 
@@ -130,7 +179,7 @@ def scan(docs: DataFrame, base: list = BASE_PHRASES, templates: list = TEMPLATES
     merged = merged.groupBy(*who, "run").agg(F.min("diagonal").alias("start"), F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
     covered = F.size(F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + (k - 1))))))
     found = merged.withColumn("cover", covered / F.col("size"))
-    enough = F.when(F.col("is_base"), F.size("places") == F.col("n_grams")).otherwise(F.col("cover") >= min_cover)
+    enough = F.when(F.col("is_base"), F.size("places") == F.col("n_grams")).otherwise(F.col("cover") >= F.when(F.col("size") >= LONG, F.least(F.lit(LONG_COVER), F.lit(min_cover))).otherwise(F.lit(min_cover)))
     hit = lambda c: F.when(enough, F.col(c)).alias(c)
     return found.select("row", "doc_id", "n_words", hit("template"), hit("label"), hit("is_base"), hit("start"), "cover")
 
@@ -139,7 +188,9 @@ def licenses(docs: DataFrame, **options) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     n_base, first_word, last_word and base_labels tell of the base phrases; labels has those of the templates
-    too; score is the largest part of a template that is covered. Without matches: 0, nulls, empty strings, 0.
+    too; score is the largest part of a template that is covered. Without matches, as in null and empty texts: 0,
+    nulls, empty strings, 0. Texts of any length are hashed whole. Repeated rows and rows without id each get a row;
+    an empty table gives none; templates that are covered alike all count. Other columns are ignored.
     """
     base = F.coalesce("is_base", F.lit(False))
     names = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
