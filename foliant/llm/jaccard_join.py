@@ -22,7 +22,7 @@ go up with the corpus where a bitmap of 16 MB would fill up, so the frequent one
 whose first bit is not set occur once, so they can share nothing and need no posting. Collisions in a bitmap change
 the order and the speed, never the result.
 
-Words are hashed by keyed BLAKE2b to 64 bits, so unlike words with one hash cannot be made up on purpose.
+Words are hashed by seeded XXH3 to 64 bits, which has no linear structure that unlike words could share.
 """
 
 from __future__ import annotations
@@ -30,9 +30,11 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,27 +54,11 @@ PARITY_BITS = 1024
 LIST_BLOCK = 2048
 #: Shingles in a task's open block.
 BLOCK = 1 << 22
-#: Words whose hashes a worker keeps, and the longest that is kept.
-CACHE_WORDS = 1 << 18
-CACHE_BYTES = 64
+SEED = 0x5EED_0F_70_1A_27
 
 _rng = np.random.default_rng(20)
 _MIX = _rng.integers(1, 1 << 63, 16, np.uint64) | np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_KEY = _rng.bytes(32)
-
-
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        found = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=_KEY).digest(), "little")
-        if len(word) <= CACHE_BYTES:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[word] = found
-        return found
-
-
-_hashes = _WordHashes()
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -84,7 +70,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 def word_hashes(text: bytes | None, split: bytes = SPLIT_BYTES) -> np.ndarray:
     """A 64-bit hash of each word; split maps bytes, those between words to spaces."""
     words = (text or b"").translate(split).split()
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words, repeat(SEED)), np.uint64, len(words))
 
 
 def shingles(text: bytes | None, n: int = 3) -> np.ndarray:
@@ -96,8 +82,14 @@ def shingles(text: bytes | None, n: int = 3) -> np.ndarray:
     last = len(words) - n + 1
     total = np.full(last, np.uint64(n * int(_STEP) % 2**64))
     for k in range(n):
-        total = _mixed(total + words[k : k + last] * _MIX[k % 16])
-    return np.unique(total)
+        total += words[k : k + last] * _MIX[k % 16]
+    total = np.sort(_mixed(total))
+    return total[_firsts(total)]
+
+
+def _firsts(ordered: np.ndarray) -> np.ndarray:
+    """Where the runs of equal values begin."""
+    return np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
 
 
 def _packed(values: np.ndarray) -> bytes:
@@ -115,7 +107,9 @@ def _blocks(n: int, range_bits: int):
     """Distinct shingles of a block of texts with their counts, by hash range; 32 bits below those of the range."""
 
     def cut(held: list[np.ndarray]) -> pa.RecordBatch:
-        values, counts = np.unique(np.concatenate(held) >> np.uint64(32 - range_bits), return_counts=True)
+        values = np.sort(np.concatenate(held) >> np.uint64(32 - range_bits))
+        first = _firsts(values)
+        values, counts = values[first], np.diff(first, append=len(values))
         ranges = (values >> np.uint64(32)).astype(np.int64)
         cuts = np.flatnonzero(np.r_[True, ranges[1:] != ranges[:-1], True])
         low, counts = values.astype(np.uint32), np.minimum(counts, (1 << 32) - 1).astype(np.uint32)
@@ -157,7 +151,7 @@ def _levels(range_bits: int, levels: list[tuple[int, int]]):
         counts = np.concatenate([np.frombuffer(zstandard.decompress(x.as_py()), np.uint32) for x in table.column("counts")]).astype(np.int64)
         order = np.argsort(low, kind="stable")
         low, counts = low[order], counts[order]
-        first = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
+        first = _firsts(low)
         low, counts = low[first], np.add.reduceat(counts, first)
         out = {"range": table.column("range")[:1]}
         for k, (level, bits) in enumerate(levels):
@@ -407,9 +401,8 @@ def _cross_pairs(comp: DataFrame, postings: DataFrame, sets: DataFrame, num: int
     spread = entries.groupBy("key", "band").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
     entries = stored(entries.join(spread.filter("lo <> hi").select("key", "band", "n"), ["key", "band"]), "spread")
     # a class stands in as many lists as its prefix has open shingles, so few classes are broadcast and not dealt
-    parities = sets.select("cls", "parity").join(entries.select("cls").distinct(), "cls", "left_semi")
-    parities = stored(parities, "parities")
-    entries = stored(entries.join(F.broadcast(parities) if small(parities, BROADCAST_ROWS // 2) else parities, "cls"), "entries")
+    parities = sets.select("cls", "parity")
+    entries = stored(entries.join(F.broadcast(parities) if small(sets, BROADCAST_ROWS // 2) else parities, "cls"), "entries")
     units = max(1, -(-entries.count() // LIST_BLOCK))
     blocks = F.ceil(F.col("n") / LIST_BLOCK)
     entries = entries.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("cls"), blocks))
