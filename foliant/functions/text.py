@@ -116,14 +116,15 @@ def match_layout(text: Column, source: Column) -> Column:
 
 
 def script_counts(text: Column) -> dict[str, Column]:
-    out = {"cjk": count(text, CJK), "latin": count(text, "[A-Za-z]"), "digits": count(text, "[0-9]")}
+    out = {"cjk": count(text, CJK), "latin": count(text, "[A-Za-z]"), "digits": count(text, "[0-9]")}  # in this order
     return out | {"total": out["cjk"] + out["latin"] + out["digits"]}
 
 
 def mostly(text: Column, script: str) -> Column:
     """At least 40 % CJK or 60 % Latin of 20 or more counted characters."""
-    c = script_counts(text)
-    return (c["total"] >= 20) & (F.floor(c[script] * 100 / F.greatest(c["total"], F.lit(1))) >= {"cjk": 40, "latin": 60}[script])
+    counts = F.array(*script_counts(text).values())
+    share = lambda c: F.floor(F.get(c, F.lit(["cjk", "latin"].index(script))) * 100 / F.greatest(F.get(c, F.lit(3)), F.lit(1)))
+    return let(counts, lambda c: (F.get(c, F.lit(3)) >= 20) & (share(c) >= {"cjk": 40, "latin": 60}[script]))
 
 
 def count_characters(text: Column) -> Column:

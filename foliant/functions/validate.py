@@ -67,9 +67,12 @@ def meta_phrase(candidate: Column) -> Column:
 
 def rewrite_problem(source: Column, candidate: Column) -> Column:
     """empty, fence, meta, greeting, preface, lead, label or script; null for a good rewrite."""
-    meta = meta_phrase(candidate)
+    # each is worked out once; written out at every use, the generated code would be too large to compile
+    return t.let(meta_phrase(candidate), lambda m: t.let(opening(source), lambda s: t.let(opening(candidate), lambda c: _problem(source, candidate, m, s, c))))
+
+
+def _problem(source: Column, candidate: Column, meta: Column, s: Column, c: Column) -> Column:
     in_source = F.contains(source, meta) | F.contains(ascii_lower(source), meta)
-    s, c = opening(source), opening(candidate)
     added = lambda phrases: _starts_with(c, phrases) & ~_starts_with(s, phrases)
     low_s, low_c = ascii_lower(s), ascii_lower(c)
     lead = c.rlike(f"^(?:{'|'.join(REWRITE_LEADS)})") & ~s.rlike(f"^(?:{'|'.join(REWRITE_LEADS)})") & c.rlike("|".join(REWRITE_HINTS))

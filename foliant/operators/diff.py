@@ -37,6 +37,22 @@ def _numbered(a: Sequence, b: Sequence) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.array([numbers.setdefault(v, len(numbers)) for v in x], np.int64) for x in (a, b))
 
 
+def _least_edits(left: np.ndarray, right: np.ndarray) -> int:
+    """A lower bound of the edits: one changes at most 2q - 1 of the counts of runs of q elements."""
+    best = abs(len(left) - len(right))
+    base = np.int64(max(left.max(initial=0), right.max(initial=0)) + 1)
+    a, b = left, right
+    for q in range(1, 5):
+        if q > 1:
+            if len(left) < q or len(right) < q or float(base) ** q >= 2.0**62:
+                break
+            a, b = a[: len(left) - q + 1] * base + left[q - 1 :], b[: len(right) - q + 1] * base + right[q - 1 :]
+        values, inverse = np.unique(np.concatenate([a, b]), return_inverse=True)
+        counts = np.bincount(inverse[: len(a)], minlength=len(values)) - np.bincount(inverse[len(a) :], minlength=len(values))
+        best = max(best, -(-int(np.abs(counts).sum()) // (2 * q - 1)))
+    return best
+
+
 def shortest(a: Sequence, b: Sequence, budget: int = TRACE_BYTES) -> tuple[list[tuple[str, int, int]], str | None]:
     """Edits (kind, from, to), one element each, and why a plainer answer was given, if so.
 
@@ -50,6 +66,8 @@ def shortest(a: Sequence, b: Sequence, budget: int = TRACE_BYTES) -> tuple[list[
     if cost > budget:
         return by_affixes(a, b), "trace_budget_exceeded"
     left, right = _numbered(a, b)
+    if _least_edits(left, right) >= budget // cost:  # the round that exceeds the budget comes before the last
+        return by_affixes(a, b), "trace_growth_budget_exceeded"
     at = n + m + 1  # where diagonal 0 is
     reach, rounds = np.zeros(2 * at + 1, np.int64), []
     for d in range(n + m + 1):
@@ -149,13 +167,18 @@ def _diffs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def with_diffs(pairs: DataFrame, before: str = "before", after: str = "after") -> DataFrame:
-    """pairs with spans and degraded_reason. Null texts count as empty. No shuffle."""
+    """pairs with spans and degraded_reason. Null texts count as empty.
+
+    Pairs that differ are dealt anew by their texts' hash, as a diff costs far more than a shuffled pair and the pairs
+    of a join may stand in a few partitions.
+    """
     both = pairs.select(F.struct("*").alias("key"), F.coalesce(before, F.lit("")).alias("before"), F.coalesce(after, F.lit("")).alias("after"))
     same, other = both.filter("before = after"), both.filter("before <> after")
     equal = F.array(F.named_struct(F.lit("type"), F.lit(EQUAL), F.lit("text"), F.col("after")))
     same = same.select("key", equal.alias("spans"), F.lit(None).cast("string").alias("degraded_reason"))
     kind = both.schema["key"].dataType.simpleString()
-    other = other.mapInArrow(_diffs, f"key {kind}, spans {SPANS}, degraded_reason string")
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    other = other.repartition(parts, F.xxhash64("before", "after")).mapInArrow(_diffs, f"key {kind}, spans {SPANS}, degraded_reason string")
     return same.union(other).select("key.*", "spans", "degraded_reason")
 
 

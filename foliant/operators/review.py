@@ -28,6 +28,52 @@ def decided(log: DataFrame) -> DataFrame:
     return log.join(last, ["doc_id", "unit_id"], "left").select("doc_id", "unit_id", "sequence", decision.alias("decision"))
 
 
+def replayed(log: DataFrame) -> DataFrame:
+    """The suggestions that a log of actions by suggestion leaves: doc_id, unit_id, suggestion_id, sequence, decision.
+
+    log: doc_id, unit_id, suggestion_id, at (the order of the actions), action. A suggestion lives from its first
+    propose to its first delete after that; actions outside its life are left out (action_errors() tells them).
+    Applying one dismisses the unit's others that are applied then; dismissing and deleting touch no other. The sequence
+    is that of its propose. All are grouped aggregates and a join of one row for each suggestion with one for each unit.
+    """
+    lives = _lives(log)
+    last = lambda a: F.max(F.when(F.col("action") == a, F.col("at")))
+    key = ["doc_id", "unit_id", "suggestion_id"]
+    acted = log.join(lives, key).filter((F.col("at") >= F.col("born")) & (F.col("died").isNull() | (F.col("at") < F.col("died"))))
+    own = acted.groupBy(*key).agg(F.min("born").alias("sequence"), last("apply").alias("applied_at"), last("dismiss").alias("dismissed_at"), F.max("died").alias("died"))
+    latest = own.groupBy("doc_id", "unit_id").agg(F.max("applied_at").alias("unit_applied_at"))
+    both = own.filter("died IS NULL").join(latest, ["doc_id", "unit_id"])
+    decision = (
+        F.when(F.greatest("applied_at", "dismissed_at").isNull(), "proposed")
+        .when((F.col("applied_at") == F.col("unit_applied_at")) & (F.col("dismissed_at").isNull() | (F.col("dismissed_at") < F.col("applied_at"))), "applied").otherwise("dismissed")
+    )
+    return both.select(*key, "sequence", decision.alias("decision"))
+
+
+def _lives(log: DataFrame) -> DataFrame:
+    """When each suggestion was proposed first and deleted first after that."""
+    key = ["doc_id", "unit_id", "suggestion_id"]
+    born = log.filter("action = 'propose'").groupBy(*key).agg(F.min("at").alias("born"))
+    gone = log.filter("action = 'delete'").select(*key, "at").join(born, key).filter("at > born").groupBy(*key).agg(F.min("at").alias("died"))
+    return born.join(gone, key, "left")
+
+
+def action_errors(log: DataFrame) -> DataFrame:
+    """The actions on suggestions that are not there: before their propose, or after their delete."""
+    key = ["doc_id", "unit_id", "suggestion_id"]
+    both = log.join(_lives(log), key, "left")
+    lost = F.col("born").isNull() | (F.col("at") < F.col("born")) | F.coalesce(F.col("at") > F.col("died"), F.lit(False))
+    return both.filter(lost).select(*key, "at", "action", F.lit("unknown_suggestion").alias("error"))
+
+
+def reset_units(units: DataFrame, log: DataFrame) -> DataFrame:
+    """units (doc_id, unit_id, status) after the log: a done unit whose last suggestion was deleted is idle again."""
+    deleted = _lives(log).groupBy("doc_id", "unit_id").agg(F.count_if(F.col("died").isNotNull()).alias("n_deleted"), F.count_if(F.col("died").isNull()).alias("n_left"))
+    bare = deleted.filter("n_deleted > 0 AND n_left = 0").select("doc_id", "unit_id", F.lit(True).alias("bare"))
+    status = F.when((F.col("status") == "done") & F.col("bare"), "idle").otherwise(F.col("status"))
+    return units.join(bare, ["doc_id", "unit_id"], "left").withColumn("status", status).drop("bare")
+
+
 def unit_summary(suggestions: DataFrame) -> DataFrame:
     """doc_id, unit_id, n_suggestions, latest, latest_applied, latest_proposed, n_dismissed.
 

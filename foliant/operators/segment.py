@@ -17,12 +17,19 @@ PRESETS = ("clause", "sentence", "paragraph")
 LEAST_UNIT_CHARS = 4
 
 
-def _struct(**fields: Column) -> Column:
+SLOT = "struct<slot_order:int,slot_id:string,text:string,separator_after:string,editable:boolean,role:string>"
+
+
+def struct(**fields: Column) -> Column:
     return F.named_struct(*(x for name, value in fields.items() for x in (F.lit(name), value)))
 
 
-def _piece(paragraph: Column, separator: Column) -> Column:
-    """The (text, separator) slots of a paragraph."""
+def paragraph_pieces(paragraph: Column) -> Column:
+    """The (text, separator) slots of a paragraph with its separator."""
+    return let(b.separator_of(paragraph), lambda separator: _pieces(paragraph, separator))
+
+
+def _pieces(paragraph: Column, separator: Column) -> Column:
     body = F.substr(paragraph, F.lit(1), F.length(paragraph) - F.length(separator))
     return let(b.clauses(body), lambda found: _split(found, separator))
 
@@ -37,10 +44,10 @@ def _split(found: Column, separator: Column) -> Column:
         tail = F.when(last, separator).otherwise(F.lit(""))
         return let(
             F.when(keep, x).otherwise(t.rtrim(x)),
-            lambda text: _struct(text=text, separator_after=F.concat(F.substr(x, F.length(text) + 1), tail)),
+            lambda text: struct(text=text, separator_after=F.concat(F.substr(x, F.length(text) + 1), tail)),
         )
 
-    return F.when(n == 0, F.array(_struct(text=F.lit(""), separator_after=separator))).otherwise(F.transform(found, split))
+    return F.when(n == 0, F.array(struct(text=F.lit(""), separator_after=separator))).otherwise(F.transform(found, split))
 
 
 def slot_array(text: Column) -> Column:
@@ -48,11 +55,11 @@ def slot_array(text: Column) -> Column:
     parts = F.transform(
         b.paragraphs(text),
         lambda p, i: F.transform(
-            _piece(p, b.separator_of(p)),
-            lambda s, k: _struct(slot_id=F.concat(F.lit("txt:p"), i.cast("string"), F.lit(":r0:s"), k.cast("string")), text=s["text"], separator_after=s["separator_after"]),
+            paragraph_pieces(p),
+            lambda s, k: struct(slot_id=F.concat(F.lit("txt:p"), i.cast("string"), F.lit(":r0:s"), k.cast("string")), text=s["text"], separator_after=s["separator_after"]),
         ),
     )
-    empty = F.array().cast("array<struct<slot_order:int,slot_id:string,text:string,separator_after:string,editable:boolean,role:string>>")
+    empty = F.array().cast(f"array<{SLOT}>")
     return F.when(text == "", empty).otherwise(let(F.flatten(parts), _joined))
 
 
@@ -63,14 +70,14 @@ def _joined(flat: Column) -> Column:
     tail = F.get(flat, n - 1)["separator_after"]
     merged = F.transform(
         F.slice(flat, F.lit(1), n - 1),
-        lambda s, i: _struct(slot_id=s["slot_id"], text=s["text"], separator_after=F.when(i == n - 2, F.concat(s["separator_after"], tail)).otherwise(s["separator_after"])),
+        lambda s, i: struct(slot_id=s["slot_id"], text=s["text"], separator_after=F.when(i == n - 2, F.concat(s["separator_after"], tail)).otherwise(s["separator_after"])),
     )
     slots = F.when(loose, merged).otherwise(flat)
 
     def finish(s: Column, i: Column) -> Column:
         editable = ~t.is_blank(s["text"])
         role = F.when(editable, "editableText").when(b.has_paragraph_break(s["separator_after"]), "paragraphBreak").when(s["text"] != "", "lockedText").otherwise("editableText")
-        return _struct(slot_order=i, slot_id=s["slot_id"], text=s["text"], separator_after=s["separator_after"], editable=editable, role=role)
+        return struct(slot_order=i, slot_id=s["slot_id"], text=s["text"], separator_after=s["separator_after"], editable=editable, role=role)
 
     return F.transform(slots, finish)
 
@@ -110,27 +117,27 @@ def _units(slots: Column, ends: Column, preset: str) -> Column:
     def described(own: Column) -> Column:
         shown = F.array_join(F.transform(own, lambda s: F.concat(s["text"], s["separator_after"])), "")
         alone = (F.size(own) == 1) & (F.get(own, F.lit(0))["role"] == "paragraphBreak") & (F.get(own, F.lit(0))["text"] == "")
-        return _struct(ids=F.transform(own, lambda s: s["slot_id"]), shown=shown, editable=F.exists(own, lambda s: s["editable"]), alone=alone)
+        return struct(ids=F.transform(own, lambda s: s["slot_id"]), shown=shown, editable=F.exists(own, lambda s: s["editable"]), alone=alone)
 
     groups = F.filter(F.transform(ends, group), lambda g: ~(g["alone"] | (~g["editable"] & t.is_blank(g["shown"]))))
-    groups = F.transform(groups, lambda g: _struct(ids=g["ids"], shown=g["shown"], editable=g["editable"]))
+    groups = F.transform(groups, lambda g: struct(ids=g["ids"], shown=g["shown"], editable=g["editable"]))
     if preset != "paragraph":
         kind = "struct<ids:array<string>,shown:string,editable:boolean>"
         none = F.lit(None).cast(kind)
-        start = _struct(done=F.array().cast(f"array<{kind}>"), open=none)
+        start = struct(done=F.array().cast(f"array<{kind}>"), open=none)
 
         def add(a: Column, g: Column) -> Column:
-            both = _struct(ids=F.concat(a["open"]["ids"], g["ids"]), shown=F.concat(a["open"]["shown"], g["shown"]), editable=a["open"]["editable"] | g["editable"])
+            both = struct(ids=F.concat(a["open"]["ids"], g["ids"]), shown=F.concat(a["open"]["shown"], g["shown"]), editable=a["open"]["editable"] | g["editable"])
             return let(F.when(a["open"].isNull(), g).otherwise(both), lambda now: place(a, now))
 
         def place(a: Column, now: Column) -> Column:
             short = F.length(t.trim(now["shown"])) < LEAST_UNIT_CHARS
-            return F.when(short, _struct(done=a["done"], open=now)).otherwise(_struct(done=F.concat(a["done"], F.array(now)), open=none))
+            return F.when(short, struct(done=a["done"], open=now)).otherwise(struct(done=F.concat(a["done"], F.array(now)), open=none))
 
         groups = F.aggregate(groups, start, add, lambda a: F.when(a["open"].isNull(), a["done"]).otherwise(F.concat(a["done"], F.array(a["open"]))))
     return F.transform(
         groups,
-        lambda g, i: _struct(unit_order=i, unit_id=F.concat(F.lit("unit-"), i.cast("string")), slot_ids=g["ids"], display_text=g["shown"], status=F.when(g["editable"], "idle").otherwise("done")),
+        lambda g, i: struct(unit_order=i, unit_id=F.concat(F.lit("unit-"), i.cast("string")), slot_ids=g["ids"], display_text=g["shown"], status=F.when(g["editable"], "idle").otherwise("done")),
     )
 
 
@@ -140,7 +147,12 @@ def units(docs: DataFrame, preset: str) -> DataFrame:
     return made.select("doc_id", F.lit(preset).alias("preset"), F.inline("units"))
 
 
+def joined(slots: Column) -> Column:
+    """The text of an array of slots in order: their texts and separators."""
+    return F.array_join(F.transform(slots, lambda s: F.concat(s["text"], s["separator_after"])), "")
+
+
 def rebuild(slots: DataFrame) -> DataFrame:
-    """doc_id, text: the slots' texts and separators in order."""
-    rows = F.array_sort(F.collect_list(F.struct("slot_order", F.concat("text", "separator_after").alias("piece"))))
-    return slots.groupBy("doc_id").agg(F.array_join(F.transform(rows, lambda s: s["piece"]), "").alias("text"))
+    """doc_id, text of a table of slots. Where the slots of a text are an array, joined() needs no shuffle."""
+    rows = F.array_sort(F.collect_list(F.struct("slot_order", "text", "separator_after")))
+    return slots.groupBy("doc_id").agg(joined(rows).alias("text"))

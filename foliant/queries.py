@@ -22,8 +22,10 @@ from foliant.streaming import decisions
 LINE_ENDS = "CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN replace(text, chr(10), chr(13) || chr(10)) WHEN 2 THEN replace(text, chr(10), chr(13)) ELSE replace(text, chr(10), '  ' || chr(10) || chr(10)) END"
 LOOSE = "'  ' || replace(text, chr(10), ' ' || chr(10) || chr(10) || '  ' || chr(10) || ' ') || '  '"
 PARAGRAPHS = "replace(text, '.' || chr(10), '.' || chr(10) || chr(10))"
-MARKED = "CASE doc_id % 8 WHEN 0 THEN '# ' WHEN 1 THEN '  - ' WHEN 2 THEN '12. ' WHEN 3 THEN '>> ' WHEN 4 THEN '(iv) ' WHEN 5 THEN '| --- |' WHEN 6 THEN '    ' ELSE '' END || substring(text, 1, 40) || CASE doc_id % 3 WHEN 0 THEN '  ' ELSE '' END"
-MD_LINE = "CASE doc_id % 12 WHEN 0 THEN '## ' || lang WHEN 1 THEN '```' || lang WHEN 2 THEN '| --- | :---: |' WHEN 3 THEN '[' || lang || ']: ' || source WHEN 4 THEN '<div class=' || lang || '>' WHEN 5 THEN '* * *' WHEN 6 THEN '    ' || source WHEN 7 THEN '$$' WHEN 8 THEN '> ' || lang WHEN 9 THEN '3) ' || lang WHEN 10 THEN '   ' ELSE '#' || source END"
+MARKED = "CASE (doc_id + i) % 8 WHEN 0 THEN '# ' WHEN 1 THEN '  - ' WHEN 2 THEN '12. ' WHEN 3 THEN '>> ' WHEN 4 THEN '(iv) ' WHEN 5 THEN '| --- |' WHEN 6 THEN '    ' ELSE '' END || line || CASE (doc_id + i) % 3 WHEN 0 THEN '  ' ELSE '' END"
+MD_LINE = "CASE (doc_id + i) % 12 WHEN 0 THEN '## ' || line WHEN 1 THEN '```' || line WHEN 2 THEN '| --- | :---: |' WHEN 3 THEN '[' || i || ']: ' || line WHEN 4 THEN '<div class=' || line || '>' WHEN 5 THEN '* * *' WHEN 6 THEN '    ' || line WHEN 7 THEN '$$' WHEN 8 THEN '> ' || line WHEN 9 THEN '3) ' || line WHEN 10 THEN line ELSE '#' || line END"
+#: Every line of every text with its number.
+LINES = "SELECT doc_id, i - 1 AS i, l[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), unnest(range(1, len(l) + 1)) AS u(i)"
 CANDIDATE = "CASE doc_id % 7 WHEN 0 THEN '  ' WHEN 1 THEN '```' || text WHEN 2 THEN 'As an AI assistant, ' || text WHEN 3 THEN 'Hello, ' || text WHEN 4 THEN '改写后：' || text WHEN 5 THEN '好的，' || text ELSE text END"
 PATH = "CASE doc_id % 8 WHEN 0 THEN '/d/a.md' WHEN 1 THEN '/d/b.TEX' WHEN 2 THEN '/d/c.docx' WHEN 3 THEN '/d/d.doc' WHEN 4 THEN '/d.x/e' WHEN 5 THEN '/d/f.txt' WHEN 6 THEN '/d/g.PDF' ELSE '/d/' || source || '.png' END"
 ACTION = "CASE event_type WHEN 'purchase' THEN 'apply' WHEN 'error' THEN 'dismiss' ELSE 'propose' END"
@@ -38,6 +40,12 @@ def texts(spark: SparkSession, sf_dir: str, expression: str = "text", *more: str
     return table(spark, sf_dir, "documents").select("doc_id", *more, F.expr(expression).alias("text"))
 
 
+def lines(spark: SparkSession, sf_dir: str, expression: str) -> DataFrame:
+    """doc_id, i and text of every line of every document, changed by the expression over i and line."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    return rows.select("doc_id", "i", F.expr(expression).alias("text"))
+
+
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").selectExpr("user_id AS doc_id", "concat('unit-', event_id % 3) AS unit_id", "event_id AS sequence", f"{ACTION} AS action", "value", "ts")
 
@@ -101,12 +109,12 @@ SKELETON = r"^[ \t]*(#+|>+|[-*+•·]|[0-9]+[.．)）、]|\([^)]{0,11}\)|（[^
 
 
 @query(f"""
-WITH d AS (SELECT doc_id, {MARKED} AS text FROM documents), b AS (SELECT *, regexp_replace(text, '[ \\t]+$', '') AS base FROM d),
+WITH l AS ({LINES}), d AS (SELECT doc_id, CAST(i AS INT) AS i, {MARKED} AS text FROM l), b AS (SELECT *, regexp_replace(text, '[ \\t]+$', '') AS base FROM d),
 p AS (SELECT *, regexp_extract(base, '{SKELETON}') AS prefix FROM b)
-SELECT doc_id, prefix, substr(base, length(prefix) + 1) AS core, substr(text, length(base) + 1) AS suffix FROM p""")
+SELECT doc_id, i, prefix, substr(base, length(prefix) + 1) AS core, substr(text, length(base) + 1) AS suffix FROM p""")
 def line_skeletons(spark, sf_dir):
     c = F.col("text")
-    return texts(spark, sf_dir, MARKED).select("doc_id", t.line_prefix(c).alias("prefix"), t.line_core(c).alias("core"), t.line_suffix(c).alias("suffix"))
+    return lines(spark, sf_dir, MARKED).select("doc_id", "i", t.line_prefix(c).alias("prefix"), t.line_core(c).alias("core"), t.line_suffix(c).alias("suffix"))
 
 
 COUNTS = "len(regexp_extract_all(text, '[A-Za-z]')) AS latin, len(regexp_extract_all(text, '[0-9]')) AS digits, len(regexp_extract_all(text, '[\\x{4E00}-\\x{9FFF}]')) AS cjk"
@@ -157,7 +165,7 @@ def clause_counts_by_lang(spark, sf_dir):
 
 @query(f"""SELECT doc_id, {PARAGRAPHS} AS text FROM documents""")
 def rebuilt_texts(spark, sf_dir):
-    return segment.rebuild(segment.slots(texts(spark, sf_dir, PARAGRAPHS)))
+    return texts(spark, sf_dir, PARAGRAPHS).select("doc_id", segment.joined(segment.slot_array(F.col("text"))).alias("text"))
 
 
 def _units(preset):
@@ -200,9 +208,9 @@ MD = r"""CASE WHEN trim(l) = '' THEN 'blank' WHEN regexp_matches(l, '^\s*(`{3,}|
   WHEN regexp_matches(l, '^(\t|    )') THEN 'code' WHEN regexp_matches(l, '^\s*(>|[-*+] |[0-9]+[.)]\s)') THEN 'list' ELSE 'text' END"""
 
 
-@query(f"WITH d AS (SELECT doc_id, {MD_LINE} AS l FROM documents) SELECT doc_id, {MD} AS kind FROM d")
+@query(f"WITH x AS ({LINES}), d AS (SELECT doc_id, i, {MD_LINE} AS l FROM x) SELECT doc_id, CAST(i AS INT) AS i, {MD} AS kind FROM d")
 def markdown_line_kinds(spark, sf_dir):
-    return texts(spark, sf_dir, MD_LINE).select("doc_id", markdown.line_kind(F.col("text")).alias("kind"))
+    return lines(spark, sf_dir, MD_LINE).select("doc_id", "i", markdown.line_kind(F.col("text")).alias("kind"))
 
 
 MD_TEXT = "'---' || chr(10) || 'lang: ' || lang || chr(10) || '---' || chr(10) || '# ' || source || chr(10) || chr(10) || replace(text, chr(10), chr(10) || chr(10) || '- ') || chr(10) || '```' || chr(10) || lang || chr(10) || chr(10) || '```' || chr(10)"
@@ -300,11 +308,15 @@ def pending_batches(spark, sf_dir):
     return review.pending_batches(unit_table(spark, sf_dir), 3)
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'keep' WHEN doc_id % 2 = 0 THEN 'rebuild' ELSE 'block' END AS decision FROM documents""")
+_SHAPE = "CAST(length(text) - length(replace(text, chr(10), '')) AS VARCHAR(20))"
+
+
+@query(f"""SELECT doc_id, CASE WHEN doc_id % 3 <> 1 AND (doc_id % 4 <> 0 OR {_SHAPE} = '0') THEN 'keep' WHEN doc_id % 2 = 0 THEN 'rebuild' ELSE 'block' END AS decision FROM documents""")
 def refresh_decisions(spark, sf_dir):
-    d = texts(spark, sf_dir)
-    old = F.when(F.col("doc_id") % 3 == 0, F.sha2("text", 256)).otherwise(F.sha2(F.lit(""), 256))
-    return d.select("doc_id", review.refresh_decision(old, F.sha2("text", 256), F.lit("a"), F.lit("a"), F.col("doc_id") % 2 == 0).alias("decision"))
+    d = texts(spark, sf_dir).withColumn("shape", F.expr(_SHAPE))
+    old = F.when(F.col("doc_id") % 3 != 1, F.sha2("text", 256)).otherwise(F.sha2(F.lit("other"), 256))
+    shape = F.when(F.col("doc_id") % 4 == 0, "0").otherwise(F.col("shape"))
+    return d.select("doc_id", review.refresh_decision(old, F.sha2("text", 256), shape, F.col("shape"), F.col("doc_id") % 2 == 0).alias("decision"))
 
 
 @query(f"""
@@ -338,13 +350,13 @@ def turn_diffs(spark, sf_dir):
 
 
 @query("""
-WITH d AS (SELECT doc_id, text AS a, substr(text, 1, length(text) // 2) || '<<new>>' || substr(text, length(text) // 2 + 4) AS b FROM documents)
-SELECT doc_id, (length(b) - length(a) + 0) AS grown, true AS rebuilt FROM d""")
+WITH d AS (SELECT doc_id, text, length(text) // 2 AS h FROM documents),
+p AS (SELECT doc_id, [('unchanged', substr(text, 1, h)), ('delete', substr(text, h + 1, 3)), ('insert', '<<new>>'), ('unchanged', substr(text, h + 4))] AS p FROM d)
+SELECT doc_id, array_to_string(list_transform(list_filter(p, lambda x: x[2] <> ''), lambda x: x[1] || ':' || x[2]), '|') AS spans FROM p""")
 def affix_diffs(spark, sf_dir):
     d = texts(spark, sf_dir).selectExpr("doc_id", "text AS a", "concat(substr(text, 1, length(text) div 2), '<<new>>', substr(text, length(text) div 2 + 4)) AS b")
-    d = d.withColumn("spans", diff.affix_spans(F.col("a"), F.col("b")))
-    side = lambda skip: F.array_join(F.transform(F.filter("spans", lambda s: s["type"] != skip), lambda s: s["text"]), "")
-    return d.select("doc_id", (F.length(side("delete")) - F.length(side("insert"))).cast("long").alias("grown"), ((side("delete") == F.col("b")) & (side("insert") == F.col("a"))).alias("rebuilt"))
+    shown = F.transform(diff.affix_spans(F.col("a"), F.col("b")), lambda s: F.concat(s["type"], F.lit(":"), s["text"]))
+    return d.select("doc_id", F.array_join(shown, "|").alias("spans"))
 
 
 @query()
@@ -353,17 +365,21 @@ def unit_requests(spark, sf_dir):
     return protocol.unit_requests(segment.units(docs, "paragraph"), segment.slots(docs))
 
 
-_RESPONSE = """CASE doc_id % 6 WHEN 0 THEN 'oops' WHEN 1 THEN '{"batchId":"x","results":[]}' WHEN 2 THEN '{"batchId":"b","results":[]}'
- WHEN 3 THEN '{"batchId":"b","results":[{"rewriteUnitId":"unit-1","updates":[]}]}'
- WHEN 4 THEN '{"batchId":"b","results":[{"rewriteUnitId":"unit-0","updates":[{"slotId":"s9","text":"t"}]}]}'
- ELSE '{"batchId":"b","results":[{"rewriteUnitId":"unit-0","updates":[{"slotId":"s0","text":"t"}]}]}' END"""
-
-
-@query("SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'not_json' WHEN 1 THEN 'batch_id' WHEN 2 THEN 'length' WHEN 3 THEN 'order' WHEN 4 THEN 'unknown_or_locked_slot' END AS problem FROM documents")
+@query(f"""
+WITH l AS ({LINES}), d AS (SELECT doc_id, list(length(line) % 50 ORDER BY i) AS k, count(*) AS n FROM l GROUP BY doc_id)
+SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'not_json' WHEN 1 THEN 'batch_id' WHEN 2 THEN 'length' WHEN 3 THEN 'order'
+  ELSE CASE WHEN len(list_distinct(k)) <> len(k) THEN 'repeated_slot' WHEN list_max(k) >= n THEN 'unknown_or_locked_slot' END END AS problem FROM d""")
 def response_problems(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.expr(_RESPONSE).alias("r"))
-    editable = F.create_map(F.lit("unit-0"), F.array(F.lit("s0"), F.lit("s1")))
-    return d.select("doc_id", protocol.response_problem(F.lit("b"), F.array(F.lit("unit-0")), editable, F.col("r")).alias("problem"))
+    """A line's answer goes to the slot whose number is the line's length modulo 50; there are as many slots as lines."""
+    d = texts(spark, sf_dir).withColumn("lines", F.split("text", "\n"))
+    updates = F.transform("lines", lambda x: F.struct(F.concat(F.lit("s"), (F.length(x) % 50).cast("string")).alias("slotId"), x.alias("text")))
+    k = F.col("doc_id") % 6
+    result = F.struct(F.when(k == 3, "unit-1").otherwise("unit-0").alias("rewriteUnitId"), updates.alias("updates"))
+    results = F.when(k == 2, F.array(result, result)).otherwise(F.array(result))
+    response = F.when(k == 0, F.col("text")).otherwise(F.to_json(F.struct(F.when(k == 1, "x").otherwise("b").alias("batchId"), results.alias("results"))))
+    slots = F.transform(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.concat(F.lit("s"), i.cast("string")))
+    editable = F.create_map(F.lit("unit-0"), slots)
+    return d.select("doc_id", protocol.response_problem(F.lit("b"), F.array(F.lit("unit-0")), editable, response).alias("problem"))
 
 
 @query(f"""WITH l AS ({LOG}) SELECT doc_id, count(*) AS n_actions, count(*) FILTER (WHERE action = 'apply') AS n_applied,

@@ -46,7 +46,7 @@ def _utf16_ok(content: Column, high: int) -> Column:
 def decoded(content: Column) -> Column:
     """Struct (text, encoding, error): UTF-8 with or without mark, or UTF-16 with a mark."""
     head = F.hex(F.substring(content, 1, 3))
-    rest = lambda n: F.substring(content, n + 1, 1 << 30)
+    rest = lambda n: F.substr(content, F.lit(n + 1))
     kind = F.when(head == "EFBBBF", "utf8-bom").when(F.startswith(head, F.lit("FFFE")), "utf16le").when(F.startswith(head, F.lit("FEFF")), "utf16be").otherwise("utf8")
     body = F.when(kind == "utf8-bom", rest(3)).when(kind.isin("utf16le", "utf16be"), rest(2)).otherwise(content)
     utf8 = F.when(F.is_valid_utf8(body.cast("string")), body.cast("string"))
