@@ -45,8 +45,8 @@ def _slots(lines: Column) -> Column:
     return F.transform(lines, slot)
 
 
-def _sessions(spark, sf_dir: str, expression: str = "text") -> DataFrame:
-    made = texts(spark, sf_dir, expression).withColumn("lines", _lines())
+def _sessions(spark, sf_dir: str) -> DataFrame:
+    made = texts(spark, sf_dir).withColumn("lines", _lines())
     return made.select("doc_id", "text", "lines", _units(F.col("lines")).alias("units"), _slots(F.col("lines")).alias("slots"))
 
 
@@ -240,14 +240,13 @@ def slot_hunks(spark, sf_dir):
     return found.withColumn("spans", F.array_join(F.transform("spans", lambda s: F.concat(s["type"], F.lit(":"), s["text"])), "|"))
 
 
-_BY_WORD = "replace(text, ' ', chr(10))"
-
-
-@query(f"""WITH {LINES.replace("string_split(text,", f"string_split({_BY_WORD},")}
-SELECT doc_id, 'rewrite-unit-unit-' || i AS hunk_id, 1 AS sequence, line || CASE WHEN n > 1 THEN chr(10) ELSE '' END AS before, '<<new>>' || line || CASE WHEN n > 1 THEN chr(10) ELSE '' END AS after, 7 AS inserted, 0 AS deleted
-FROM l WHERE i = 0""")
+@query(f"""WITH {LINES}, f AS (SELECT *, line || CASE WHEN i < n - 1 THEN chr(10) ELSE '' END AS t, length(regexp_replace(line, '\\s', '', 'g')) AS k FROM l WHERE i < 2),
+h AS (SELECT doc_id, any_value(n) AS n, max(t) FILTER (WHERE i = 0) AS t0, max(t) FILTER (WHERE i = 1) AS t1, max(k) FILTER (WHERE i = 0) AS k0, 2 * length(max(t) FILTER (WHERE i = 0)) + 7 > 8000 AS long FROM f GROUP BY doc_id)
+SELECT doc_id, 'rewrite-unit-unit-0' AS hunk_id, 1 AS sequence, t0 AS before, CASE WHEN long AND n > 1 THEN '' ELSE '<<new>>' || t0 END AS after,
+  CASE WHEN long AND n > 1 THEN 0 WHEN long THEN k0 + 7 ELSE 7 END::INT AS inserted, CASE WHEN long THEN k0 ELSE 0 END::INT AS deleted FROM h
+UNION ALL SELECT doc_id, 'rewrite-unit-unit-1', 2, t1, '<<new>>' || t0 || t1, (k0 + 7)::INT, 0 FROM h WHERE long AND n > 1""")
 def unit_hunks(spark, sf_dir):
-    d = _sessions(spark, sf_dir, _BY_WORD)
+    d = _sessions(spark, sf_dir)
     units = F.transform("slots", lambda s: struct(unit_id=F.concat(F.lit("unit-"), s["slot_order"].cast("string")), text=F.concat(s["text"], s["separator_after"])))
     found = editor.unit_hunks(d.select("doc_id", units.alias("units"), F.concat(F.lit("<<new>>"), "text").alias("text")))
     return found.drop("spans")

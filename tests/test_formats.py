@@ -96,7 +96,7 @@ def test_slots_of_all_formats(spark):
     for i, text, _ in rows:
         assert (got[i]["text"] or "") == (text or "") or i == 5
     words = lambda i: [s["text"] for s in got[i]["slots"] if s["editable"]]
-    assert words(1) == ["第一句，第二句"] == words(2) and words(3) == ["One!", "Two!", "Three"] and words(4) == ["a,", "b.", "c"]
+    assert words(1) == ["第一句，第二句"] == words(2) and words(3) == ["One!", "Two!", "Three"] and words(4) == ["a,", "b.", "  c"]
     assert [s["slot_order"] for s in got[4]["slots"]] == list(range(len(got[4]["slots"])))
     regions = template.regions(docs.filter("format <> 'plainText'")).filter("doc_id = 1").orderBy("region_order").collect()
     assert [(r["anchor"], r["role"], r["split_mode"]) for r in regions][:2] == [("md:b0:r0", "syntaxToken", "atomic"), ("md:b0:r1", "editableText", "atomic")]
