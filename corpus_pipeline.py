@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. run() writes each stage's
 result as Parquet in the shared folder and reads it again, so a lost executor costs no finished stage.
+
+Every stage tells rows apart by rows, never by doc_id: rows without id, repeated rows and rows that share an id are judged
+each by its own text. Columns of any name are carried, texts of any length are read whole, and an empty table stays
+empty. Null, empty and blank texts have no letter and go in the first stage.
 """
 
 from __future__ import annotations
@@ -48,7 +52,7 @@ STAGES = [
     ("mixing", mixture),
 ]
 
-#: Compression and hashed draws have no SQL form; tests/llm holds the stages against brute force.
+#: Compression and hashed draws have no SQL form; tests/llm holds run() against a plain version, row by row.
 ORACLE_SQL = None
 
 
