@@ -84,7 +84,12 @@ def _joined(flat: Column) -> Column:
 
 def slots(docs: DataFrame) -> DataFrame:
     """doc_id and one row for each slot of the texts; null texts have none."""
-    return docs.select("doc_id", slot_array(F.col("text")).alias("slots")).select("doc_id", F.inline("slots"))
+    return inlined(docs.select("doc_id", slot_array(F.col("text")).alias("slots")))
+
+
+def inlined(made: DataFrame) -> DataFrame:
+    """doc_id, slots as one row for each slot. A plain inline would add a filter that makes all slots a second time."""
+    return made.select("doc_id", F.inline_outer("slots")).filter("slot_order IS NOT NULL")
 
 
 def closes_unit(slot: Column, preset: str) -> Column:

@@ -17,7 +17,7 @@ from foliant.functions import text as t
 from foliant.functions.text import let
 from foliant.operators import markdown_blocks, markdown_regions, tex_blocks, tex_regions
 from foliant.operators.regions import KINDS, parted
-from foliant.operators.segment import SLOT, paragraph_pieces, slot_array, struct
+from foliant.operators.segment import SLOT, inlined, paragraph_pieces, slot_array, struct
 
 REGION = "struct<anchor:string,block_kind:string,text:string,separator_after:string,editable:boolean,role:string,split_mode:string>"
 
@@ -119,4 +119,4 @@ def slot_arrays(docs: DataFrame, headings: bool = False) -> DataFrame:
 
 def slots(docs: DataFrame, headings: bool = False) -> DataFrame:
     """doc_id and one row for each slot."""
-    return slot_arrays(docs, headings).select("doc_id", F.inline("slots"))
+    return inlined(slot_arrays(docs, headings))
