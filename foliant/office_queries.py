@@ -62,3 +62,13 @@ def office_rewritten(spark, sf_dir):
     new = F.transform("slots", lambda s: s.withField("text", F.when(s["editable"], F.replace(s["text"], F.lit("e"), F.lit("<É&"))).otherwise(drifted(s))))
     written = office.rewrite(made.filter("error IS NULL").withColumn("slots", new))
     return slots_of.slot_arrays(written).filter("error IS NULL").select("doc_id", slots_of.source_text(F.col("slots")).alias("text"))
+
+
+@query(f"""
+WITH {BLOCKS}
+SELECT doc_id, string_agg(CASE WHEN k = 3 THEN text ELSE marker || replace(line, 'a', 'aA') END, chr(10) || chr(10) ORDER BY i) AS text
+FROM b GROUP BY doc_id HAVING bool_or(trim(text, ' ' || chr(9)) <> '')""")
+def office_edited(spark, sf_dir):
+    made = slots_of.slot_arrays(files(spark, sf_dir)).filter("error IS NULL")
+    typed = made.withColumn("text", F.replace(slots_of.source_text(F.col("slots")), F.lit("a"), F.lit("aA")))
+    return slots_of.slot_arrays(office.edit(typed)).filter("error IS NULL").select("doc_id", slots_of.source_text(F.col("slots")).alias("text"))

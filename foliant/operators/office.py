@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from foliant.functions import boundaries as b
 from foliant.functions import text as t
 from foliant.functions.text import let
+from foliant.operators import writeback
 from foliant.operators.segment import SLOT, inlined, struct
 from foliant.sources import office
 
@@ -101,3 +102,11 @@ def slot_rows(files: DataFrame, headings: bool = False) -> DataFrame:
 def source_text(made: Column) -> Column:
     """The text of an array of slots."""
     return F.array_join(F.transform(made, lambda s: F.concat(s["text"], s["separator_after"])), "")
+
+
+def signed(files: DataFrame, headings: bool = False) -> DataFrame:
+    """doc_id, template_signature, structure_signature, error: of the blocks with their texts, and of the slots without. No shuffle."""
+    made = office.read(files).select("doc_id", F.struct("blocks", F.lit(headings)).alias("template"), slots(F.col("blocks"), headings).alias("slots"), "error")
+    known = F.col("error").isNull()
+    template = F.when(known, writeback.template_signature(F.lit("docx"), F.col("template")))
+    return made.select("doc_id", template.alias("template_signature"), F.when(known, writeback.slots_signature(F.col("slots"))).alias("structure_signature"), "error")

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from xml.parsers import expat
@@ -17,7 +18,10 @@ from xml.sax.saxutils import escape
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from foliant.operators.diff import DELETE, EQUAL, diff_texts
 
 # What stands in the text for what is not text, and the kind that protects it.
 TABLE = ("[表格]", "table")
@@ -506,14 +510,51 @@ class Document:
         shown = self.display()
         if [g[0] for g in groups] != [x[0] for x in shown]:
             raise OfficeError("structure_changed")
-        changed: dict[int, Node] = {}
+        new: list[tuple[Region, str]] = []
         for (_, texts, editable), (_, region, _, broken) in zip(groups, shown, strict=True):
             if region is None or not region.editable or not editable:
                 continue
             text = "".join(texts)
             if broken and not text.endswith(BREAK):
                 raise OfficeError("separator_lost")
-            text = text[: -len(BREAK)] if broken else text
+            new.append((region, text[: -len(BREAK)] if broken else text))
+        return self._spliced(new)
+
+    def edited(self, text: str) -> bytes:
+        """The XML with a whole new text: the paragraphs as shown, each with its new text dealt to its regions.
+
+        Another number of paragraphs, a locked text that is gone or that could be at more than one place, or text in an
+        empty paragraph is an error. What was typed over a locked block is dropped.
+        """
+        paragraphs: list[list[Region | None]] = [[]]
+        shown = self.display()
+        for _, region, _, broken in shown:
+            paragraphs[-1].append(region)
+            if broken:
+                paragraphs.append([])
+        plain = text.replace("\r\n", "\n").replace("\r", "\n")
+        parts = plain.split(BREAK) if shown or plain else []
+        if len(parts) != (len(paragraphs) if shown else 0):
+            raise OfficeError("paragraph_count")
+        new: list[tuple[Region, str]] = []
+        for (anchors, regions), part in zip(self._by_paragraph(shown, paragraphs), parts, strict=True):
+            if anchors.endswith(":break") and part:
+                raise OfficeError("empty_paragraph_changed")
+            if regions:
+                new += placed(regions, part)
+        return self._spliced(new)
+
+    @staticmethod
+    def _by_paragraph(shown: list, paragraphs: list[list[Region | None]]) -> Iterator[tuple[str, list[Region]]]:
+        """The first anchor and the regions of each display block; none for locked blocks and empty paragraphs."""
+        at = 0
+        for regions in paragraphs if shown else []:
+            yield shown[at][0], [r for r in regions if r is not None]
+            at += len(regions)
+
+    def _spliced(self, new: list[tuple[Region, str]]) -> bytes:
+        changed: dict[int, Node] = {}
+        for region, text in new:
             if text != region.text:
                 for k, piece in enumerate(region.pieces):
                     piece.text = text if k == 0 else ""
@@ -539,6 +580,84 @@ class Document:
         return b"".join([*parts, f"</{run.prefix}r>".encode()])
 
 
+def placed(regions: list[Region], text: str) -> list[tuple[Region, str]]:
+    """The editable regions of a paragraph with their parts of its new text; locked texts must stand between them, at one place only."""
+    gaps: list[list[Region]] = [[]]
+    fixed: list[str] = []
+    for region in regions:
+        if region.editable:
+            gaps[-1].append(region)
+        elif fixed and not gaps[-1]:
+            fixed[-1] += region.text
+        else:
+            fixed.append(region.text)
+            gaps.append([])
+    found: list[list[str]] = []
+    # Open states: the number of the next literal, where it may begin, and the parts so far with the states they came from.
+    # A state is left once it was tried, unless it led to the place that was found.
+    stack: list[tuple[int, int, tuple]] = [(0, 0, ())]
+    tried: set[tuple[int, int]] = set()
+    while stack and len(found) < 2:
+        k, at, parts = stack.pop()
+        if k == len(fixed):
+            if gaps[k] or at == len(text):
+                found.append(_unrolled(parts, text[at:], tried))
+        elif (k, at) not in tried:
+            tried.add((k, at))
+            stack += [(k + 1, place + len(fixed[k]), (parts, text[at:place], (k, at))) for place in _places(fixed[k], text, at, bool(gaps[k]))]
+    if not found:
+        raise OfficeError("crosses_boundary")
+    if len(found) > 1:
+        raise OfficeError("ambiguous")
+    return [pair for gap, part in zip(gaps, found[0], strict=True) for pair in owned(gap, part)]
+
+
+def _places(literal: str, text: str, at: int, free: bool) -> Iterator[int]:
+    if not free:
+        if text.startswith(literal, at):
+            yield at
+        return
+    while literal and (at := text.find(literal, at)) >= 0:
+        yield at
+        at += len(literal)
+
+
+def _unrolled(parts: tuple, last: str, tried: set[tuple[int, int]]) -> list[str]:
+    out = [last]
+    while parts:
+        parts, part, state = parts
+        out.append(part)
+        tried.discard(state)
+    return out[::-1]
+
+
+def owned(gap: list[Region], text: str) -> list[tuple[Region, str]]:
+    """Neighbouring editable regions with a new text: kept characters stay in theirs, an edit goes to the region it begins in."""
+    if len(gap) < 2:
+        return [(r, text) for r in gap]
+    ends: list[int] = []
+    for r in gap:
+        ends.append(len(r.text) + (ends[-1] if ends else 0))
+    out = [""] * len(gap)
+    at, owner = 0, None
+    for kind, part in diff_texts("".join(r.text for r in gap), text)[0]:
+        if kind == EQUAL:
+            owner = None
+            for k, end in enumerate(ends):
+                start = max(at, end - len(gap[k].text))
+                out[k] += part[start - at : max(0, end - at)] if start < at + len(part) else ""
+            at += len(part)
+            continue
+        if owner is None:
+            # an insertion between two regions belongs to the one on its left
+            owner = min(bisect_right(ends, at if kind == DELETE else max(at - 1, 0)), len(gap) - 1)
+        if kind == DELETE:
+            at += len(part)
+        else:
+            out[owner] += part
+    return list(zip(gap, out, strict=True))
+
+
 def run_content(text: str, prefix: str = "w:") -> str:
     """A text as the children of a run. Characters that XML cannot hold become U+FFFD."""
     clean = NO_XML.sub("\ufffd", text)
@@ -635,6 +754,16 @@ def _rewrite(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.string())], ["doc_id", "content", "error"])
 
 
+def _edit_one(content: bytes, text: str) -> bytes:
+    return with_document(content, Document(content).edited(text))
+
+
+def _edit(batches):
+    for batch in _some(batches):
+        made = [_tried(_edit_one, content or b"", text or "") for content, text in zip(batch.column("content").to_pylist(), batch.column("text").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.string())], ["doc_id", "content", "error"])
+
+
 def _export(batches):
     for batch in _some(batches):
         made = [exported((p["text"] or "", p["style"]) for p in paragraphs or []) for paragraphs in batch.column("paragraphs").to_pylist()]
@@ -658,6 +787,17 @@ def rewrite(files: DataFrame) -> DataFrame:
     return files.select("doc_id", "content", "slots").mapInArrow(_rewrite, f"doc_id {_id_kind(files)}, content binary, error string")
 
 
+def edit(files: DataFrame) -> DataFrame:
+    """doc_id, content, error: the files with whole new texts. files: doc_id, content, text (null counts as empty). No shuffle."""
+    return files.select("doc_id", "content", "text").mapInArrow(_edit, f"doc_id {_id_kind(files)}, content binary, error string")
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id (the path) and content of the docx files under a folder."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[dD][oO][cC][xX]").load(path)
+    return found.select(F.col("path").alias("doc_id"), "content")
+
+
 def export(docs: DataFrame) -> DataFrame:
     """doc_id, content: a new docx of each row. docs: doc_id, paragraphs (array of text and style, see exported()). No shuffle."""
     return docs.select("doc_id", "paragraphs").mapInArrow(_export, f"doc_id {_id_kind(docs)}, content binary")

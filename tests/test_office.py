@@ -191,3 +191,96 @@ def test_export_of_any_text_is_read_back(spark):
     empty = office.export(spark.createDataFrame([(None, None)], "doc_id long, paragraphs array<struct<text:string,style:string>>"))
     assert office.read(empty).select("error").collect()[0][0] == "no_visible_text"
     assert office.read(rows(spark).limit(0)).count() == 0
+
+
+def edited(body, text):
+    content, error = office._tried(office._edit_one, file(body), text)
+    return error or regions_of(content)
+
+
+STYLED = p(r("abc") + r("def", "<w:b/>") + "<w:r><w:br w:type='page'/></w:r>" + r("x"))
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("abcdef[分页符]x", ["abc", "def", "x"]),
+        ("abcZdef[分页符]x", ["abcZ", "def", "x"]),
+        ("Zabcdef[分页符]", ["Zabc", "def", ""]),
+        ("abZf[分页符]yx", ["abZ", "f", "yx"]),
+        ("abcdef!", "crosses_boundary"),
+        ("abc[分页符]def[分页符]x", "ambiguous"),
+        ("abcdef[分页符]x\n\nmore", "paragraph_count"),
+    ],
+)
+def test_edited_texts_go_to_their_regions(text, want):
+    got = edited(STYLED, text)
+    if isinstance(want, list):
+        got = [x for x, editable in got[0] if editable]
+        want = [x for x in want if x]
+    assert got == want
+
+
+def test_edited_blocks_and_headings():
+    body = p(r("h"), "<w:pStyle w:val='H'/>") + "<w:p/><w:tbl/>" + p(r("t"))
+    assert edited(body, "H\r\n\r\n\n\ntyped over\n\nT") == [[("H", True)], [], [("[表格]", False)], [("T", True)]]
+    assert edited(body, "h\n\nno\n\n[表格]\n\nt") == "empty_paragraph_changed"
+
+
+def test_places_against_all_ways():
+    import random
+
+    def ways(regions, text, free=False):
+        if not regions:
+            return int(free or not text)
+        if regions[0].editable:
+            return ways(regions[1:], text, True)
+        literal = regions[0].text
+        if not free:
+            return ways(regions[1:], text[len(literal) :]) if text.startswith(literal) else 0
+        found, at = 0, 0
+        while literal and (at := text.find(literal, at)) >= 0:
+            found += ways([r for r in regions[1:]], text[at + len(literal) :])
+            at += len(literal)
+        return found
+
+    rng = random.Random(11)
+    seen = set()
+    for _ in range(2000):
+        editable = [rng.random() < 0.5]
+        for _ in range(rng.randint(0, 4)):
+            editable.append(not editable[-1])
+        regions = [office.Region(rng.choice(["a", "b", "ab"]), e) for e in editable]
+        text = "".join(rng.choice("ab") for _ in range(rng.randint(0, 8)))
+        made, error = office._tried(office.placed, regions, text)
+        n = ways(regions, text)
+        assert error == {0: "crosses_boundary", 1: None}.get(n, "ambiguous")
+        seen.add(error)
+        if made is not None:
+            new = {id(r): x for r, x in made}
+            assert "".join(new.get(id(r), r.text) for r in regions) == text
+    assert len(seen) == 3
+    # many ways that all fail at the end take no more than their states
+    many = [office.Region("a", i % 2 == 0) for i in range(60)] + [office.Region("c", False)]
+    assert office._tried(office.placed, many, "a" * 200)[1] == "crosses_boundary"
+
+
+def test_owned_parts_make_the_text():
+    import random
+
+    rng = random.Random(5)
+    for _ in range(300):
+        word = lambda n: "".join(rng.choice("ab ") for _ in range(rng.randint(1, n)))
+        gap, new = [office.Region(word(4)) for _ in range(rng.randint(1, 4))], word(12)
+        assert "".join(x for _, x in office.owned(gap, new)) == new
+        same = "".join(r.text for r in gap)
+        assert [x for _, x in office.owned(gap, same)] == [r.text for r in gap]
+
+
+def test_signatures_and_loading(spark, tmp_path):
+    for name, body in (("a.docx", p(r("a"))), ("b.DOCX", p(r("b"))), ("c.docx", p(r("a")) + p(r("b"))), ("d.docx", "<w:p>"), ("e.txt", "")):
+        (tmp_path / name).write_bytes(file(body))
+    got = {x.doc_id[-6:-5]: x for x in slots_of.signed(office.load(spark, str(tmp_path))).collect()}
+    assert sorted(got) == ["a", "b", "c", "d"] and got["d"].error == "invalid_xml" and got["d"].template_signature is None and got["d"].structure_signature is None
+    assert got["a"].structure_signature == got["b"].structure_signature != got["c"].structure_signature
+    assert len({got[k].template_signature for k in "abc"}) == 3
