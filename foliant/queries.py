@@ -168,17 +168,56 @@ def rebuilt_texts(spark, sf_dir):
     return texts(spark, sf_dir, PARAGRAPHS).select("doc_id", segment.joined(segment.slot_array(F.col("text"))).alias("text"))
 
 
+# Slots and units of texts with paragraphs. Their white space is blanks and line feeds only.
+_BREAK = "\\n[ \\t]*\\n([ \\t]*\\n)*"
+_MASKED_BODY = _MASK.replace("(text,", "(body,")
+
+
+def _ends_sql(text: str, marks: str) -> str:
+    return f"regexp_matches({text}, '[{marks}]{_CLOSERS.replace('}}', '}')}*\\s*$')"
+
+
+SLOTS = f"""
+sp AS (SELECT doc_id, j - 1 AS j, l[j] AS p FROM (SELECT doc_id, list_filter(regexp_extract_all({PARAGRAPHS}, '(?s:.*?)({_BREAK}|$)'), lambda x: x <> '') AS l FROM documents), unnest(range(1, len(l) + 1)) AS u(j)),
+sb AS (SELECT doc_id, j, regexp_extract(p, '{_BREAK}$') AS sep, substr(p, 1, length(p) - length(regexp_extract(p, '{_BREAK}$'))) AS body FROM sp),
+sm AS (SELECT *, CASE WHEN body = '' THEN [''] ELSE regexp_extract_all({_MASKED_BODY}, '(?s:.*?)[。！？；!?;.，,]{_CLOSERS.replace("}}", "}")}*\\s*|(?s:.+)$') END AS l FROM sb),
+sx AS (SELECT doc_id, j, k - 1 AS k, CASE WHEN k = len(l) THEN sep ELSE '' END AS tail, replace(replace(l[k], chr(57344), '.'), chr(57345), ',') AS x FROM sm, unnest(range(1, len(l) + 1)) AS u(k)),
+st AS (SELECT *, CASE WHEN tail <> '' AND NOT {_ends_sql("x", boundaries.CLAUSE_MARKS)} THEN x ELSE regexp_replace(x, '\\s+$', '') END AS t FROM sx),
+so AS (SELECT doc_id, 'txt:p' || j || ':r0:s' || k AS slot_id, t AS text, substr(x, length(t) + 1) || tail AS sep, row_number() OVER w - 1 AS slot_order, count(*) OVER (PARTITION BY doc_id) AS n,
+  lead(t) OVER w AS next_text, lead(substr(x, length(t) + 1) || tail) OVER w AS next_sep FROM st WINDOW w AS (PARTITION BY doc_id ORDER BY j, k)),
+s0 AS (SELECT doc_id, slot_order, slot_id, text, CASE WHEN slot_order = n - 2 AND next_text = '' THEN sep || next_sep ELSE sep END AS sep FROM so WHERE NOT (slot_order = n - 1 AND n > 1 AND text = '')),
+s AS (SELECT *, regexp_matches(text, '\\S') AS editable, CASE WHEN regexp_matches(text, '\\S') THEN 'editableText' WHEN regexp_matches(sep, '{_BREAK}') THEN 'paragraphBreak' WHEN text <> '' THEN 'lockedText' ELSE 'editableText' END AS role FROM s0)"""
+
+
+def units_sql(preset: str) -> str:
+    """Common table expressions up to m (slots with their unit's number) and u (units)."""
+    close = f"role = 'paragraphBreak' OR regexp_matches(sep, '{_BREAK}')"
+    if preset != "paragraph":
+        close += f" OR contains(sep, chr(10)) OR {_ends_sql('text || sep', boundaries.CLAUSE_MARKS if preset == 'clause' else boundaries.SENTENCE_MARKS)}"
+    joins = "f.open IS NOT NULL" if preset != "paragraph" else "false"
+    return f"""{SLOTS},
+c AS (SELECT *, {close} AS closes FROM s),
+b AS (SELECT *, coalesce(sum(CASE WHEN closes THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY slot_order ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM c),
+a AS (SELECT doc_id, g, string_agg(text || sep, '' ORDER BY slot_order) AS shown, bool_or(editable) AS editable, count(*) = 1 AND bool_and(role = 'paragraphBreak' AND text = '') AS alone FROM b GROUP BY ALL),
+e AS MATERIALIZED (SELECT doc_id, g, shown, row_number() OVER (PARTITION BY doc_id ORDER BY g) AS r FROM a WHERE NOT (alone OR (NOT editable AND NOT regexp_matches(shown, '\\S')))),
+f AS (SELECT doc_id, g, r, 0 AS unit, CASE WHEN length(trim(shown, ' ' || chr(10) || chr(9))) < 4 THEN shown END AS open FROM e WHERE r = 1
+  UNION ALL SELECT e.doc_id, e.g, e.r, CASE WHEN {joins} THEN f.unit ELSE f.unit + 1 END, CASE WHEN length(trim(coalesce(f.open, '') || e.shown, ' ' || chr(10) || chr(9))) < 4 THEN coalesce(f.open, '') || e.shown END FROM f JOIN e ON e.doc_id = f.doc_id AND e.r = f.r + 1),
+m AS (SELECT b.*, unit FROM b JOIN f USING (doc_id, g)),
+u AS (SELECT doc_id, unit, string_agg(slot_id, ',' ORDER BY slot_order) AS slot_ids, string_agg(text || sep, '' ORDER BY slot_order) AS display_text, bool_or(editable) AS editable FROM m GROUP BY ALL)"""
+
+
 def _units(preset):
     def run(spark, sf_dir):
         made = segment.units(texts(spark, sf_dir, PARAGRAPHS), preset)
-        return made.select("doc_id", "preset", "unit_order", "unit_id", "slot_ids", "display_text", "status")
+        return made.select("doc_id", "preset", "unit_order", "unit_id", F.array_join("slot_ids", ",").alias("slot_ids"), "display_text", "status")
 
     run.__name__ = f"units_{preset}"
     return run
 
 
 for _preset in segment.PRESETS:
-    query()(_units(_preset))
+    query(f"""WITH RECURSIVE {units_sql(_preset)}
+SELECT doc_id, '{_preset}' AS preset, CAST(unit AS INT) AS unit_order, 'unit-' || unit AS unit_id, slot_ids, display_text, CASE WHEN editable THEN 'idle' ELSE 'done' END AS status FROM u""")(_units(_preset))
 
 
 _LINE = "regexp_extract(ltrim(c), '^[^\\n]*')"
@@ -195,9 +234,25 @@ def rewrite_problems(spark, sf_dir):
     return d.select("doc_id", validate.rewrite_problem(F.col("s"), F.col("c")).alias("problem"))
 
 
-@query()
+_UP = f"translate({{}}, '{validate.LOWER}', '{validate.UPPER}')"
+
+
+@query(f"""
+WITH l AS ({LINES}), b AS (SELECT *, regexp_replace(line, '[ \\t]+$', '') AS base, trim({_UP.format("line")}, ' ' || chr(9)) AS answer FROM l),
+p AS (SELECT *, regexp_extract(base, '{SKELETON}') AS prefix FROM b), m AS (SELECT *, ltrim(prefix, ' ' || chr(9)) AS marker FROM p),
+a AS (SELECT *, CASE WHEN marker <> '' AND starts_with(answer, marker) THEN trim(substr(answer, length(marker) + 1), ' ' || chr(9)) ELSE answer END AS body FROM m),
+o AS (SELECT *, CASE WHEN NOT regexp_matches(substr(base, length(prefix) + 1), '\\S') OR NOT regexp_matches(body, '\\S') THEN line ELSE prefix || body || substr(line, length(base) + 1) END AS made FROM a),
+d AS (SELECT doc_id, string_agg(made, chr(10) ORDER BY i) AS text, count(*) AS n, bool_or(regexp_matches(line, '\\S')) AS words, bool_or(i = 0 AND regexp_matches(line, '\\S')) AS starts FROM o GROUP BY doc_id),
+q AS (SELECT *, CASE WHEN NOT words THEN 'empty' WHEN n > 1 AND doc_id % 4 = 1 THEN 'lines' WHEN n > 1 AND doc_id % 4 = 3 AND starts THEN 'blanks' END AS problem FROM d)
+SELECT doc_id, CASE WHEN problem IS NULL THEN text END AS text, problem FROM q""")
 def finalized_candidates(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("s"), F.expr("upper(text)").alias("c"))
+    """Answers in capitals. By doc_id: as they are, without the last line, with numbered lines, with the first numbered line empty."""
+    k, lines = F.col("doc_id") % 4, F.split(F.expr(_UP.format("text")), "\n")
+    number = lambda i: F.concat(F.lit("@@@"), (i + 1).cast("string"), F.lit("@@@"))
+    some = F.when(k == 0, lines).when(k == 1, F.slice(lines, F.lit(1), F.size(lines) - 1)).when(k == 2, F.transform(lines, lambda x, i: F.concat(number(i), x)))
+    some = some.otherwise(F.transform(lines, lambda x, i: F.when(i == 0, number(i)).otherwise(F.concat(number(i), x))))
+    answer = F.array_join(F.when(F.size(lines) > 1, some).otherwise(lines), "\n")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("s"), answer.alias("c"))
     return d.select("doc_id", validate.finalize(F.col("s"), F.col("c")).alias("f")).select("doc_id", "f.text", "f.problem")
 
 
@@ -330,7 +385,9 @@ def written_back_texts(spark, sf_dir):
     return writeback.written_texts(review.projected_slots(slots, first.union(older)), docs)
 
 
-@query()
+@query(f"""
+WITH {SLOTS}
+SELECT doc_id, sha256(string_agg(CAST(to_json({{'slot_order': slot_order, 'editable': editable, 'role': role, 'slot_id': slot_id, 'separator_after': sep}}) AS VARCHAR), ',' ORDER BY slot_order)) AS signature FROM s GROUP BY doc_id""")
 def structure_signatures(spark, sf_dir):
     return writeback.structure_signature(segment.slots(texts(spark, sf_dir, PARAGRAPHS)))
 
@@ -359,7 +416,12 @@ def affix_diffs(spark, sf_dir):
     return d.select("doc_id", F.array_join(shown, "|").alias("spans"))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {units_sql("paragraph")},
+j AS (SELECT doc_id, unit, list({{'slotId': slot_id, 'text': text, 'editable': editable, 'role': role}} ORDER BY slot_order) AS slots FROM m GROUP BY ALL)
+SELECT doc_id, 'unit-' || unit AS unit_id, CAST(unit AS INT) AS unit_order,
+  CASE WHEN editable THEN CAST(to_json({{'rewriteUnitId': 'unit-' || unit, 'displayText': display_text, 'slots': slots}}) AS VARCHAR) END AS request,
+  CASE WHEN NOT editable THEN 'protected_unit' END AS error FROM u JOIN j USING (doc_id, unit)""")
 def unit_requests(spark, sf_dir):
     docs = texts(spark, sf_dir, PARAGRAPHS)
     return protocol.unit_requests(segment.units(docs, "paragraph"), segment.slots(docs))
