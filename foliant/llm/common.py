@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,15 +24,37 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(names: Iterable[str], wish: str) -> str:
+    """wish, or wish with underscores before it, whichever no name of names is, in any case of letters."""
+    taken = {n.lower() for n in names}
+    while wish.lower() in taken:
+        wish = f"_{wish}"
+    return wish
+
+
 #: The column that with_row_key() adds.
 ROW = "_row_key"
 
 
 def with_row_key(df: DataFrame) -> DataFrame:
-    """df with a key of its own for each row, written once so that every later read sees the same keys."""
+    """df, whose columns are the library's own, with ROW: a key for each row, written once so that every read sees the same."""
     return stored(df.withColumn(ROW, F.monotonically_increasing_id()), "rows")
 
 
+def keyed_rows(docs: DataFrame) -> DataFrame:
+    """ROW and the columns of a user's table in one struct, `kept`, so that no name can clash; written once, as above."""
+    return stored(docs.select(F.monotonically_increasing_id().alias(ROW), packed(docs).alias("kept")), "rows")
+
+
+def packed(df: DataFrame) -> Column:
+    """All columns of df as one struct; unpacked() takes it apart again."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns)) if df.columns else F.struct(F.lit(None).alias("_"))
+
+
+def unpacked(df: DataFrame, names: list[str], column: str = "kept") -> DataFrame:
+    return df.select(*(F.col(column).getField(c).alias(c) for c in names))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only."""
     return F.translate(text, UPPER, LOWER)
@@ -64,6 +86,28 @@ def without_rows(df: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
     return df.join(F.broadcast(dropped) if small(dropped) else dropped, key, "left_anti")
 
 
+def join_salted(left: DataFrame, right: DataFrame, key: str, by: str, counted: DataFrame | None = None) -> DataFrame:
+    """left joined (inner) to right on one key, where right has few rows for a key, each too large to broadcast.
+
+    by: a column that differs among left's rows of a key. counted: a stored table with left's keys, left itself if not given.
+
+    Of a heavy key, one of under HEAVY_PART that have over a HEAVY_PART-th of left's rows, left's rows are dealt to parts of about
+    that size and right's are copied to each part: fewer than 2 * HEAVY_PART copies in all.
+    """
+    counted = left if counted is None else counted
+    total = counted.count()
+    if total <= HEAVY_LEAST:
+        return left.join(right, key)
+    heavy = counted.groupBy(key).agg(F.count("*").alias("n")).filter((F.col("n") > HEAVY_LEAST) & (F.col("n") * HEAVY_PART > total))
+    heavy = stored(heavy.select(key, F.ceil(F.col("n") * HEAVY_PART / F.lit(total)).cast("int").alias("salts")), "heavy")
+    if heavy.isEmpty():
+        return left.join(right, key)
+    salts = F.coalesce("salts", F.lit(1))
+    dealt = left.join(F.broadcast(heavy), key, "left").withColumn("salt", F.pmod(F.xxhash64(by), salts).cast("int")).drop("salts")
+    copied = right.join(F.broadcast(heavy), key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    return dealt.join(copied, [key, "salt"]).drop("salt")
+
+
 def join_weighted(left: DataFrame, right: DataFrame, on: list[str], weight: str, how: str = "left") -> DataFrame:
     """left joined to right, a stored slim table with one row for each key and the number of left's rows that have it.
 

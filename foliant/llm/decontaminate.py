@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import ROW, ascii_lower, stored, with_row_key
+from foliant.llm.common import ROW, ascii_lower, packed, stored, with_row_key
 
 #: Keeps 0-9, a-z and all bytes of non-ASCII characters, lower-cases A-Z, turns the rest into spaces.
 WORD_BYTES = bytes(
@@ -294,12 +294,11 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, m
     Each row is judged by itself, so repeated rows and rows without id stay or go alike; null texts stay. Columns
     of any name are carried; an empty table stays empty.
     """
-    rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
-    found = match_items(docs, items, window, max_words, carry=(F.struct(F.lit(0).alias("_"), *rest).alias("rest"),))
+    found = match_items(docs, items, window, max_words, carry=(packed(docs.drop("text")).alias("rest"),))
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + (s[1] - s[0]))
     kept = found.filter(~((hit > 0) & (20 * hit >= F.col("n_words"))))
     return kept.select(
-        *(F.col("bytes").cast("string").alias(c) if c == "text" else F.col("rest")[c].alias(c) for c in docs.columns)
+        *(F.col("bytes").cast("string").alias(c) if c == "text" else F.col("rest").getField(c).alias(c) for c in docs.columns)
     )
 
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import ROW, join_weighted, small, stored, with_row_key, without_rows
+from foliant.llm.common import ROW, join_weighted, keyed_rows, small, stored, unpacked, without_rows
 
 WHITESPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 REMAINDER_BITS = 40
@@ -195,9 +195,10 @@ def drop_exact_copies(docs: DataFrame) -> DataFrame:
     missing doc_ids neither save a copy nor take a row of another group along. Null, empty and blank texts are one
     group; an empty table stays empty; the texts are only moved where there are too many copies to broadcast their keys.
     """
-    keyed = with_row_key(docs)
+    rows = keyed_rows(docs)
+    keyed = rows.select(ROW, *(F.col("kept").getField(c).alias(c) for c in ("doc_id", "text")))
     digests = stored(digest_table(keyed, ("doc_id", ROW)), "digests")
     groups = verified_groups(keyed, digests, ROW).select("fingerprint", "sha", "n_rows", F.col("best.row").alias("best_row"))
     found = join_weighted(digests, stored(groups, "groups"), ["fingerprint", "sha"], "n_rows", "inner")
     copies = stored(found.filter(F.col(ROW) != F.col("best_row")).select(ROW), "copies")
-    return without_rows(keyed, copies, ROW).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return unpacked(without_rows(rows, copies, ROW), docs.columns)

@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import BROADCAST_ROWS, ROW, join_weighted, small, stored, with_row_key, without_rows
+from foliant.llm.common import BROADCAST_ROWS, ROW, join_salted, join_weighted, keyed_rows, small, stored, unpacked, without_rows
 from foliant.llm.components import connected_components
 
 #: A-Z lower-cased, ASCII white space as space, all other bytes as they are.
@@ -266,8 +266,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     right = sets.select(F.col("cls").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb")).cast("long")
     union = F.size("sa") + F.size("sb") - F.col("both")
+    # a pivot's pairs are as many as its group or list has classes: its set is copied to several parts of them
+    pairs = stored(pairs, "pairs")
     return (
-        pairs.join(left, "a").join(right, "b").select("a", "b", both.alias("both"), "sa", "sb")
+        join_salted(join_salted(pairs, left, "a", "b"), right, "b", "a", pairs).select("a", "b", both.alias("both"), "sa", "sb")
         .filter(F.col("both") * den >= union * num).select("a", "b")
     )
 
@@ -340,14 +342,17 @@ def _star_pairs(comp: DataFrame, postings: DataFrame, k: int, num: int, den: int
     """
     first = F.col("rare") if k == 0 else F.lit(0).cast("long")
     key = F.struct(first.alias("rare"), F.xxhash64("cls", F.lit(k)).alias("h"), "cls", "component", "n_shingles")
-    heads = comp.groupBy("grp").agg(F.min(key).alias("head"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    mixed = heads.filter("lo <> hi").select("grp", "head")
-    inner = comp.join(mixed, "grp").filter(F.col("component") != F.col("head.component"))
+    heads = comp.groupBy("grp").agg(F.min(key).alias("head"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"))
+    heads = stored(heads, "heads")
+    inner = join_weighted(comp, heads.filter("lo <> hi").select("grp", "head", "n"), ["grp"], "n", "inner").filter(F.col("component") != F.col("head.component"))
     inner = inner.select(*_ordered(F.col("cls"), F.col("head.cls")))
+    # a group has as many entries as its prefix has open shingles
     entries = postings.select("shingle", "band", "grp").join(heads.select("grp", "head"), "grp")
-    pivots = entries.groupBy("shingle", "band").agg(F.min("head").alias("pivot"), F.min("head.component").alias("lo"), F.max("head.component").alias("hi"))
-    pivots = pivots.filter("lo <> hi").select("shingle", "band", "pivot")
-    outer = entries.join(pivots, ["shingle", "band"]).filter(
+    pivots = entries.groupBy("shingle", "band").agg(
+        F.min("head").alias("pivot"), F.min("head.component").alias("lo"), F.max("head.component").alias("hi"), F.count("*").alias("n")
+    )
+    pivots = stored(pivots.filter("lo <> hi").select("shingle", "band", "pivot", "n"), "pivots")
+    outer = join_weighted(entries, pivots, ["shingle", "band"], "n", "inner").filter(
         (F.col("head.component") != F.col("pivot.component")) & _size_ok(F.col("head.n_shingles"), F.col("pivot.n_shingles"), num, den)
     )
     return inner.union(outer.select(*_ordered(F.col("head.cls"), F.col("pivot.cls")))).distinct()
@@ -396,10 +401,11 @@ def _compared(num: int, den: int):
 def _cross_pairs(comp: DataFrame, postings: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """All pairs of classes of one group or posting list that lie in different components and may link."""
     crowded = comp.select(F.col("grp").alias("key"), F.lit(-1).cast("long").alias("band"), "cls", "component", "n_shingles")
-    listed = postings.select("grp", F.col("shingle").alias("key"), "band").join(comp.select("grp", "cls", "component", "n_shingles"), "grp")
+    listed = join_salted(comp.select("grp", "cls", "component", "n_shingles"), postings.select("grp", F.col("shingle").alias("key"), "band"), "grp", "cls")
     entries = crowded.unionByName(listed.drop("grp"))
     spread = entries.groupBy("key", "band").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    entries = stored(entries.join(spread.filter("lo <> hi").select("key", "band", "n"), ["key", "band"]), "spread")
+    spread = stored(spread.filter("lo <> hi").select("key", "band", "n"), "lists")
+    entries = stored(join_weighted(entries, spread, ["key", "band"], "n", "inner"), "spread")
     # a class stands in as many lists as its prefix has open shingles, so few classes are broadcast and not dealt
     parities = sets.select("cls", "parity")
     entries = stored(entries.join(F.broadcast(parities) if small(sets, BROADCAST_ROWS // 2) else parities, "cls"), "entries")
@@ -440,7 +446,8 @@ def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
     repeated rows one stays. An empty table stays empty; the texts are only moved where there are too many copies to
     broadcast their keys.
     """
-    keyed = with_row_key(docs)
+    rows = keyed_rows(docs)
+    keyed = rows.select(ROW, *(F.col("kept").getField(c).alias(c) for c in ("doc_id", "text")))
     found = jaccard_components(keyed.select(F.col(ROW).alias("doc_id"), "text"), **options)
     linked = stored(found.filter("n_shingles > 0").select(F.col("doc_id").alias(ROW), "component_id"), "linked")
     crowded = stored(linked.groupBy("component_id").agg(F.count("*").alias("n")).filter("n > 1"), "crowded")
@@ -450,4 +457,4 @@ def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
     place = F.struct(F.col("id").isNull().alias("none"), "id", ROW)
     best = members.groupBy("component_id").agg(F.min(place).alias("best")).select(F.col(f"best.{ROW}").alias(ROW))
     copies = stored(without_rows(members.select(ROW), stored(best, "best"), ROW), "copies")
-    return without_rows(keyed, copies, ROW).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return unpacked(without_rows(rows, copies, ROW), docs.columns)

@@ -18,6 +18,9 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from foliant.llm.common import packed, unpacked
 
 UNKNOWN = "und"
 #: Bounds of the training sample for each language: texts, and characters taken from one text.
@@ -108,14 +111,13 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], carry: list[Column
     """
     judged = F.when(F.col("text").rlike(r"\p{L}"), F.col("text"))  # null if there is nothing to judge
     slim = docs.select(*carry, judged.alias("text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema if f.name != "text")
+    schema = StructType([f for f in slim.schema if f.name != "text"]).add("lang_pred", "string").add("score", "double").add("margin", "double")
     model = docs.sparkSession.sparkContext.broadcast(dictionaries)
-    out = slim.mapInArrow(_judge(model), f"{schema}, lang_pred string, score double, margin double")
+    out = slim.mapInArrow(_judge(model), schema)
     return out.withColumn("rejected", (F.col("lang_pred") == UNKNOWN) | (F.col("margin") < min_margin))
 
 
 def keep_identified(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float = MIN_MARGIN) -> DataFrame:
     """docs without the rejected rows; same columns, no shuffle."""
-    rest = F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in docs.columns)).alias("row")
-    found = identify(docs, dictionaries, [rest], min_margin).filter(~F.col("rejected"))
-    return found.select(*(F.col("row")[c].alias(c) for c in docs.columns))
+    found = identify(docs, dictionaries, [packed(docs).alias("row")], min_margin).filter(~F.col("rejected"))
+    return unpacked(found, docs.columns, "row")

@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.common import let, small, stored
+from foliant.llm.common import free_name, let, small, stored
 
 WEIGHTS = (5, 2, 1)
 LIMIT = 3
@@ -139,6 +139,23 @@ def targets(totals: DataFrame, weights=WEIGHTS, limit: int = LIMIT) -> DataFrame
     return one.select("e.idx", "e.x.src", "e.x.source", "e.x.total", F.coalesce(F.least(cap, F.col("level") * F.col("e.w")), cap).alias("target"))
 
 
+def _dealt_words(rows: DataFrame, words: Column) -> DataFrame:
+    """rows with extra: what each gives of its source's words, dealt in the order of key and place of reading.
+
+    A key's rows are summed for each partition they were read in before anything is sorted, so a row that is repeated a billion
+    times is one sum for each partition; row by row, only rows of one key and partition are summed.
+    """
+    rows = rows.withColumn("read_in", F.shiftright("at", 33))
+    sums = rows.groupBy("src", "key", "read_in").agg(F.sum("size").alias("own"))
+    before = F.sum("own").over(Window.partitionBy("src").orderBy("key", "read_in").rowsBetween(Window.unboundedPreceding, -1))
+    sums = stored(sums.select("src", "key", "read_in", F.coalesce(before, F.lit(0)).alias("before")), "edges")
+    rows = rows.join(F.broadcast(sums) if small(sums) else sums, ["src", "key", "read_in"])
+    run = F.sum("size").over(Window.partitionBy("src", "key", "read_in").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("run", run)
+    left = words - F.col("before") - (F.col("run") - F.col("size"))
+    return rows.withColumn("extra", F.greatest(F.lit(0).cast("long"), F.least("size", left))).drop("read_in", "before", "run")
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, limit: int = LIMIT, cells: int = CELLS, shards: int = SHARDS, seed: int = SEED, carry: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, source, size, source_size, target, taken, draws; with carry also row, all of its columns.
 
@@ -158,7 +175,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, limit: int = LIMIT, cells: int = CELLS
         F.coalesce(F.concat(F.lit("0"), "source"), F.lit("1")).alias("src"), *row,
     )
     cell = lambda shift: F.pmod(F.shiftrightunsigned("key", shift).bitwiseAND(F.lit((1 << 30) - 1)), F.lit(cells)).cast("int")
-    sized = stored(sized.select("*", cell(34).alias("c0"), cell(4).alias("c1")), "sized")
+    sized = stored(sized.select("*", cell(34).alias("c0"), cell(4).alias("c1"), F.monotonically_increasing_id().alias("at")), "sized")
 
     by_cell = sized.groupBy("src", "source", "c0").agg(F.sum("size").alias("words"))
     by_source = by_cell.groupBy("src", "source").agg(
@@ -207,9 +224,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, limit: int = LIMIT, cells: int = CELLS
     )
     edge, before = (F.coalesce(x, F.lit(False)) for x in (edge, before))
     outer = rows.filter(~edge).withColumn("extra", F.when(before, F.col("size")).otherwise(0).cast("long"))
-    run = F.sum("size").over(Window.partitionBy("src").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    left = F.col("edge1.words") - (F.col("run") - F.col("size"))
-    last = rows.filter(edge).withColumn("run", run).withColumn("extra", F.greatest(F.lit(0).cast("long"), F.least("size", left))).drop("run")
+    last = _dealt_words(rows.filter(edge), F.col("edge1.words"))
     rows = outer.unionByName(last)
 
     def drawn(shard: Column, words: Column, p: Column) -> Column:
@@ -240,7 +255,7 @@ def sharded(docs: DataFrame, **options) -> DataFrame:
     """
     drawn = mix(docs, carry=True, **options).select("row", "size", F.inline("draws"))
     text = F.when(F.col("words") < F.col("size"), first_words(F.col("row.text"), F.col("words"))).otherwise(F.col("row.text"))
-    own = [(text if c == "text" else F.col("row")[c]).alias(f"doc_{c}" if c in ("shard", "place", "words") else c) for c in docs.columns]
+    own = [(text if c == "text" else F.col("row").getField(c)).alias(free_name(docs.columns, f"doc_{c}") if c.lower() in ("shard", "place", "words") else c) for c in docs.columns]
     # the draws are many more rows than partitions of the mix, and their number is only known to Spark
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return drawn.select("shard", "place", "words", *own).repartitionByRange(parts, "shard", "place").sortWithinPartitions("shard", "place")
