@@ -10,10 +10,13 @@ from foliant.llm.chat_repair import repair_chats
 from foliant.llm.common import id_crc, read_table
 from foliant.llm.decontaminate import contamination
 from foliant.llm.exact_dedup import exact_groups
+from foliant.llm.filter_audit import audit
 from foliant.llm.jaccard_join import jaccard_components
 from foliant.llm.license_scan import licenses
 from foliant.llm.mixing import mix
 from foliant.llm.pii import personal_data
+from foliant.llm.sharding import assign
+from foliant.llm.token_alignment import align
 from foliant.llm.url_filter import judge_urls
 
 
@@ -64,8 +67,26 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses(read_table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(read_table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assign(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_mixing, op3_decontamination, op4_ngram_jaccard, op5_url_filter, op6_quality, op7_exact_dedup, op8_chat_format, op9_personal_data, op10_licenses)}
+    return {
+        f.__name__: f
+        for f in (
+            op1_language_id, op2_mixing, op3_decontamination, op4_ngram_jaccard, op5_url_filter, op6_quality, op7_exact_dedup, op8_chat_format,
+            op9_personal_data, op10_licenses, op11_token_alignment, op12_filter_audit, op13_sharding,
+        )
+    }
 
 
 ALPHA = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -130,5 +151,46 @@ FROM norm JOIN grp USING (text_sha256)
 """
 
 
+OP12 = r"""
+WITH doc AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+failing AS (
+  SELECT doc_id, part, concat(
+    CASE WHEN len(w) < 200 THEN 'A' ELSE '' END,
+    CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END,
+    CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 'C' ELSE '' END,
+    CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END,
+    CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END) AS f
+  FROM doc
+),
+lab AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id),
+cell AS (
+  SELECT part, f, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+  FROM failing LEFT JOIN lab USING (doc_id) GROUP BY part, f
+),
+letter AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letter a, letter b, letter c, letter d, letter e
+  WHERE a.x NOT IN (b.x, c.x, d.x, e.x) AND b.x NOT IN (c.x, d.x, e.x) AND c.x NOT IN (d.x, e.x) AND d.x <> e.x
+),
+place AS (
+  SELECT filter_order, CAST(step AS INT) AS step, filter_order[step] AS x, left(filter_order, CAST(step AS INT) - 1) AS earlier
+  FROM orders, unnest(range(1, 6)) AS u(step)
+),
+asked AS (
+  SELECT part, filter_order, step, x, n, good, toxic, f, contains(f, x) AS own, translate(earlier, f, '') = earlier AS came FROM place, cell
+),
+answer AS (
+  SELECT part, filter_order, step, x, coalesce(sum(n) FILTER (WHERE came AND NOT own), 0) AS kept, coalesce(sum(n) FILTER (WHERE came AND own), 0) AS removed,
+    coalesce(sum(n) FILTER (WHERE own AND NOT came), 0) AS redundant, coalesce(sum(n) FILTER (WHERE f = x), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (WHERE came AND own), 0) AS good_lost, coalesce(sum(toxic) FILTER (WHERE came AND own), 0) AS toxic_lost
+  FROM asked GROUP BY part, filter_order, step, x
+)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley
+FROM answer
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": OP3, "op4_ngram_jaccard": OP4, "op7_exact_dedup": OP7}
+    return {"op3_decontamination": OP3, "op4_ngram_jaccard": OP4, "op7_exact_dedup": OP7, "op12_filter_audit": OP12}
