@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm import decontaminate, exact_dedup, jaccard_join, language_id, mixing
-from foliant.llm.common import id_crc, read_table, stored
+from foliant.llm.common import free_name, id_crc, read_table, stored
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,9 +39,13 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The drawn documents with their words, taken words and draws (shard, words, place in the shard)."""
+    """The drawn documents with their words, taken words and draws (shard, words, place in the shard).
+
+    Where docs has a column of such a name, the new one gets an underscore before it.
+    """
     drawn = mixing.mix(docs, carry=True).filter("taken > 0")
-    return drawn.select(*(F.col("row")[c].alias(c) for c in docs.columns), "size", "source_size", "target", "taken", "draws")
+    new = [F.col(c).alias(free_name(docs.columns, c)) for c in ("size", "source_size", "target", "taken", "draws")]
+    return drawn.select(*(F.col("row").getField(c).alias(c) for c in docs.columns), *new)
 
 
 STAGES = [
