@@ -25,7 +25,7 @@ def fence_marker(line: Column) -> Column:
 
 def is_table_delimiter(line: Column) -> Column:
     dashes = t.count(line, "-")
-    return line.rlike(rf"^(?:[|:-]|{S})+\z") & F.contains(line, F.lit("|")) & (dashes >= 3)
+    return line.rlike(r"^(?U:[|:\s-]++)\z") & F.contains(line, F.lit("|")) & (dashes >= 3)
 
 
 def is_reference_definition(line: Column) -> Column:
@@ -37,7 +37,7 @@ def is_html(line: Column) -> Column:
 
 
 def is_rule(line: Column) -> Column:
-    return line.rlike(rf"^{S}*([-*_])(?:{S}*\1){{2,}}{S}*\z")
+    return line.rlike(rf"^{S}*+([-*_])(?:{S}*+\1){{2,}}+{S}*+\z")
 
 
 def is_heading(line: Column) -> Column:

@@ -15,6 +15,8 @@ from foliant.functions.text import let
 
 PRESETS = ("clause", "sentence", "paragraph")
 LEAST_UNIT_CHARS = 4
+#: Steps of a fold whose result is gathered at once.
+BLOCK = 256
 
 
 SLOT = "struct<slot_order:int,slot_id:string,text:string,separator_after:string,editable:boolean,role:string>"
@@ -127,25 +129,62 @@ def _units(slots: Column, ends: Column, preset: str) -> Column:
     groups = F.filter(F.transform(ends, group), lambda g: ~(g["alone"] | (~g["editable"] & t.is_blank(g["shown"]))))
     groups = F.transform(groups, lambda g: struct(ids=g["ids"], shown=g["shown"], editable=g["editable"]))
     if preset != "paragraph":
-        kind = "struct<ids:array<string>,shown:string,editable:boolean>"
-        none = F.lit(None).cast(kind)
-        start = struct(done=F.array().cast(f"array<{kind}>"), open=none)
-
-        def add(a: Column, g: Column) -> Column:
-            both = struct(ids=F.concat(a["open"]["ids"], g["ids"]), shown=F.concat(a["open"]["shown"], g["shown"]), editable=a["open"]["editable"] | g["editable"])
-            return let(F.when(a["open"].isNull(), g).otherwise(both), lambda now: place(a, now))
-
-        def place(a: Column, now: Column) -> Column:
-            short = F.length(t.trim(now["shown"])) < LEAST_UNIT_CHARS
-            return F.when(short, struct(done=a["done"], open=now)).otherwise(struct(done=F.concat(a["done"], F.array(now)), open=none))
-
-        groups = F.aggregate(groups, start, add, lambda a: F.when(a["open"].isNull(), a["done"]).otherwise(F.concat(a["done"], F.array(a["open"]))))
+        groups = let(groups, lambda g: let(_full_ends(g), lambda e: _joined_groups(g, e)))
     return F.transform(
         groups,
         lambda g, i: struct(unit_order=i, unit_id=F.concat(F.lit("unit-"), i.cast("string")), slot_ids=g["ids"], display_text=g["shown"], status=F.when(g["editable"], "idle").otherwise("done")),
     )
 
 
+def _full_ends(groups: Column) -> Column:
+    """Where units end: the places of the groups with which a unit reaches its least length, and of the last group.
+
+    A fold that carries numbers only: the length of the trimmed text so far, and of the white space after it. An array that
+    grows inside a fold is copied at every step, so the fold runs over blocks, and each block has an array of its own.
+    """
+
+    def measured(shown: Column) -> Column:
+        lead, core = F.length(shown) - F.length(t.ltrim(shown)), F.length(t.trim(shown))
+        return struct(lead=lead, core=core, trail=F.length(shown) - lead - core)
+
+    def step(a: Column, x: Column) -> Column:
+        core = F.when(a["core"] == 0, x["core"]).otherwise(a["core"] + a["tail"] + x["lead"] + x["core"])
+        return let(core, lambda c: closed(a, x, c))
+
+    def closed(a: Column, x: Column, core: Column) -> Column:
+        full = core >= LEAST_UNIT_CHARS
+        ends = F.when(full, F.concat(a["ends"], F.array(a["at"]))).otherwise(a["ends"])
+        return struct(ends=ends, at=a["at"] + 1, core=F.when(full, F.lit(0)).otherwise(core), tail=x["trail"])
+
+    def fold(sizes: Column) -> Column:
+        none = F.array().cast("array<int>")
+
+        def block(a: Column, start: Column) -> Column:
+            state = struct(ends=none, at=start, core=a["core"], tail=a["tail"])
+            found = F.aggregate(F.slice(sizes, start + 1, F.lit(BLOCK)), state, step)
+            return let(found, lambda f: struct(blocks=F.concat(a["blocks"], F.array(f["ends"])), core=f["core"], tail=f["tail"]))
+
+        starts = F.sequence(F.lit(0), F.size(sizes) - 1, F.lit(BLOCK))
+        begin = struct(blocks=F.array().cast("array<array<int>>"), core=F.lit(0), tail=F.lit(0))
+        return F.aggregate(starts, begin, block, lambda a: F.concat(F.flatten(a["blocks"]), F.when(a["core"] > 0, F.array(F.size(sizes) - 1)).otherwise(none)))
+
+    sizes = F.transform(groups, lambda g: measured(g["shown"]))
+    return F.when(F.size(groups) == 0, F.array().cast("array<int>")).otherwise(let(sizes, fold))
+
+
+def _joined_groups(groups: Column, ends: Column) -> Column:
+    def own(end: Column, k: Column) -> Column:
+        start = F.coalesce(F.when(k > 0, F.get(ends, k - 1)), F.lit(-1)) + 1
+        return let(F.slice(groups, start + 1, end - start + 1), joined_group)
+
+    def joined_group(some: Column) -> Column:
+        return struct(
+            ids=F.flatten(F.transform(some, lambda g: g["ids"])), shown=F.array_join(F.transform(some, lambda g: g["shown"]), ""), editable=F.exists(some, lambda g: g["editable"])
+        )
+
+    return F.transform(ends, own)
+
+
 def units(docs: DataFrame, preset: str) -> DataFrame:
     """doc_id, preset and one row for each unit."""
     made = docs.select("doc_id", slot_array(F.col("text")).alias("slots")).withColumn("units", unit_array(F.col("slots"), preset))
