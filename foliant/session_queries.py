@@ -158,25 +158,28 @@ _LIVES = f"""g AS ({_LOG}), b AS (SELECT doc_id, unit_id, suggestion_id, min("at
 v AS (SELECT b.*, (SELECT min("at") FROM g WHERE g.doc_id = b.doc_id AND g.unit_id = b.unit_id AND g.suggestion_id = b.suggestion_id AND action = 'delete' AND "at" > born) AS died FROM b)"""
 
 
-def _actions(spark, sf_dir: str) -> DataFrame:
+def actions(spark, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").selectExpr("user_id AS doc_id", "concat('unit-', event_id % 3) AS unit_id", "concat('s', event_id % 15) AS suggestion_id", "event_id AS at", f"{ACTIONS} AS action")
 
 
-@query(f"""
+REPLAYED = f"""
 WITH {_LIVES}, a AS (SELECT g.*, born, died FROM g JOIN v USING (doc_id, unit_id, suggestion_id) WHERE "at" >= born AND (died IS NULL OR "at" < died) AND action IN ('apply', 'dismiss')),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, unit_id, suggestion_id ORDER BY "at" DESC) AS own FROM a),
 w AS (SELECT doc_id, unit_id, max("at") AS unit_at FROM a WHERE action = 'apply' GROUP BY ALL)
 SELECT v.doc_id, v.unit_id, v.suggestion_id, born AS sequence,
   CASE WHEN r."at" IS NULL THEN 'proposed' WHEN r.action = 'apply' AND r."at" = unit_at THEN 'applied' ELSE 'dismissed' END AS decision
-FROM v LEFT JOIN (SELECT doc_id, unit_id, suggestion_id, "at", action FROM r WHERE own = 1) r USING (doc_id, unit_id, suggestion_id) LEFT JOIN w USING (doc_id, unit_id) WHERE died IS NULL""")
+FROM v LEFT JOIN (SELECT doc_id, unit_id, suggestion_id, "at", action FROM r WHERE own = 1) r USING (doc_id, unit_id, suggestion_id) LEFT JOIN w USING (doc_id, unit_id) WHERE died IS NULL"""
+
+
+@query(REPLAYED)
 def replayed_suggestions(spark, sf_dir):
-    return review.replayed(_actions(spark, sf_dir))
+    return review.replayed(actions(spark, sf_dir))
 
 
 @query(f"""WITH {_LIVES} SELECT g.doc_id, g.unit_id, g.suggestion_id, "at", action, 'unknown_suggestion' AS error FROM g LEFT JOIN v USING (doc_id, unit_id, suggestion_id)
 WHERE born IS NULL OR "at" < born OR coalesce("at" > died, false)""")
 def log_errors(spark, sf_dir):
-    return review.action_errors(_actions(spark, sf_dir))
+    return review.action_errors(actions(spark, sf_dir))
 
 
 _UNIT = "CASE event_id % 2 WHEN 0 THEN 'done' ELSE 'failed' END"
@@ -187,7 +190,7 @@ u AS (SELECT DISTINCT user_id AS doc_id, 'unit-' || (event_id % 3) AS unit_id, C
 SELECT u.doc_id, u.unit_id, CASE WHEN status = 'done' AND x.doc_id IS NOT NULL THEN 'idle' ELSE status END AS status FROM u LEFT JOIN x USING (doc_id, unit_id)""")
 def reset_units(spark, sf_dir):
     units = table(spark, sf_dir, "events").selectExpr("user_id AS doc_id", "concat('unit-', event_id % 3) AS unit_id", "CASE (user_id + event_id % 3) % 2 WHEN 0 THEN 'done' ELSE 'failed' END AS status").distinct()
-    return review.reset_units(units, _actions(spark, sf_dir))
+    return review.reset_units(units, actions(spark, sf_dir))
 
 
 @query("SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r <= 30")
