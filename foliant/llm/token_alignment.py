@@ -19,6 +19,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,13 +33,14 @@ FOLDER = "/opt/tokenizers"
 FILE_A, FILE_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Tokens of A and B together in one piece.
 PIECE = 1 << 16
-#: Characters that are encoded at once, where a text has a place to be cut; and of a batch's texts together.
-CHUNK_CHARS = 1 << 16
-SLICE_CHARS = 1 << 20
+#: Bytes of a batch's texts that are encoded together.
+SLICE_BYTES = 1 << 20
+#: Words, and tokens of theirs, that a worker keeps before it begins anew; new words that are encoded as one text.
+CACHE_WORDS, CACHE_TOKENS, JOINED_WORDS = 500_000, 6_000_000, 500
 #: Tokens of pieces that are aligned in one go.
 SLICE_TOKENS = 1 << 20
 #: Neither tokenizer has a token over this place: A starts a word there, and no piece of B holds a space but at its start.
-SAFE_CUT = re.compile(r"(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])")
+SAFE_CUT = re.compile(r"(?<=[^\s\u180e\u200b\ufeff])(?= \w)")
 #: Bytes between the pieces' ends when many are searched together, over the bytes of any text.
 APART = 1 << 40
 
@@ -51,7 +53,10 @@ def _byte_alphabet() -> dict[str, int]:
 
 
 class Encoders:
-    """Both tokenizers of a Python worker, and the bytes of their tokens."""
+    """Both tokenizers of a Python worker, the bytes of their tokens, and the tokens of the words met so far.
+
+    good[k] tells whether the tokens of word k give its bytes.
+    """
 
     def __init__(self, file_a: bytes, file_b: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -69,36 +74,85 @@ class Encoders:
         pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(pieces)]
         self.cuttable = not any("▁" in p.lstrip("▁") for p in pieces)
+        self.lengths = tuple(np.array([len(x) for x in v], np.int64) for v in (self.bytes_a, self.bytes_b))
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words: dict[str, int] = {}
+        self.good = np.empty(0, bool)
+        self.pools = [np.empty(0, np.int32)] * 2
+        self.ends = [np.zeros(1, np.int64)] * 2  # word k has pool[ends[k] : ends[k + 1]]
+
+    def parts(self, text: str) -> list[str]:
+        """text after a space, in words that both tokenizers encode as they do the whole."""
+        return SAFE_CUT.split(" " + text) if self.cuttable else [" " + text]
+
+    def _both(self, text: str) -> tuple[list[int], list[int], bool]:
+        """Ids of A and of B for a text that begins with a space, and whether both give its bytes."""
+        a, b = self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.b.encode(text[1:], num_threads=1)
+        return a, b, b"".join([self.bytes_a[i] for i in a]) == b"".join([self.bytes_b[i] for i in b]) == text.encode("utf-8", "surrogatepass")
+
+    def _learn(self, words: list[str]) -> None:
+        """Adds words. Those that can follow each other are encoded as one text, and its tokens dealt to them by their bytes."""
+        fit = re.compile(r" \w")
+        plain = [w for w in words if self.cuttable and fit.match(w) and not w[-1].isspace() and w[-1] not in "\u180e\u200b\ufeff"]
+        rest = set(words).difference(plain)
+        blocks = [plain[k : k + JOINED_WORDS] for k in range(0, len(plain), JOINED_WORDS)] + [[w] for w in sorted(rest)]
+        pools, sizes, good = ([], []), ([], []), []
+        while blocks:
+            block = blocks.pop()
+            *ids, same = self._both("".join(block))
+            if not same and len(block) > 1:
+                blocks += [[w] for w in block]
+                continue
+            ends = np.cumsum([len(w.encode("utf-8", "surrogatepass")) for w in block])
+            for side, (own, length) in enumerate(zip(ids, self.lengths, strict=True)):
+                own = np.array(own, np.int32)
+                pools[side].append(own)
+                if len(block) > 1:
+                    cuts = np.searchsorted(np.cumsum(length[own]), ends, side="right")
+                    sizes[side].append(np.diff(cuts, prepend=0))
+                else:
+                    sizes[side].append(np.array([len(own)]))
+            self.words.update(zip(block, range(len(self.words), len(self.words) + len(block)), strict=True))
+            good.append(np.full(len(block), same))
+        if good:
+            self.good = np.concatenate([self.good, *good])
+            for side in (0, 1):
+                self.pools[side] = np.concatenate([self.pools[side], *pools[side]])
+                self.ends[side] = np.concatenate([self.ends[side], self.ends[side][-1] + np.cumsum(np.concatenate(sizes[side]))])
+
+    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids of A and of B for each text; none where a text is empty or the tokens do not give its bytes."""
+        if len(self.words) > CACHE_WORDS or len(self.pools[0]) > CACHE_TOKENS:
+            self._forget()
+        parts = [self.parts(t) if t else [] for t in texts]
+        self._learn(sorted(set().union(*parts) - self.words.keys()))
+        sizes = [len(x) for x in parts]
+        numbers = np.fromiter(map(self.words.__getitem__, chain.from_iterable(parts)), np.int64, sum(sizes))
+        ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        bad = np.concatenate([[0], np.cumsum(~self.good[numbers])])
+        whole = bad[ends[1:]] == bad[ends[:-1]]
+        out = []
+        for pool, own in zip(self.pools, self.ends, strict=True):
+            starts, lengths = own[numbers], own[numbers + 1] - own[numbers]
+            at = np.concatenate([[0], np.cumsum(lengths)])
+            flat = pool[np.arange(at[-1]) + np.repeat(starts - at[:-1], lengths)]
+            cuts = at[ends]
+            out.append([flat[lo:hi] if ok else flat[:0] for lo, hi, ok in zip(cuts[:-1], cuts[1:], whole, strict=True)])
+        return tuple(out)
+
+
+#: Of this Python worker, which Spark keeps for later tasks: by the content of the files.
+_KEPT: dict[int, Encoders] = {}
+
 
-    def chunks(self, text: str) -> list[str]:
-        """text after a space, in parts that both tokenizers encode as they do the whole."""
-        whole, at, out = " " + text, 0, []
-        while self.cuttable and len(whole) - at > CHUNK_CHARS:
-            found = SAFE_CUT.search(whole, at + CHUNK_CHARS)
-            if not found:
-                break
-            out.append(whole[at : found.start()])
-            at = found.start()
-        return [*out, whole[at:]]
-
-    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Ids of A and B for each text; none where a text is empty or the tokens do not give its bytes."""
-        parts = [self.chunks(t) if t else [] for t in texts]
-        flat = [p for x in parts for p in x]
-        ids_a = [e.ids for e in self.a.encode_batch_fast(flat, add_special_tokens=False)]
-        ids_b = self.b.encode([p[1:] for p in flat], num_threads=1)
-        out, k, none = [], 0, np.empty(0, np.int32)
-        for x in parts:
-            own = range(k, k + len(x))
-            k += len(x)
-            same = all(
-                b"".join([self.bytes_a[i] for i in ids_a[c]]) == b"".join([self.bytes_b[i] for i in ids_b[c]]) == flat[c].encode("utf-8", "surrogatepass") for c in own
-            )
-            if x and same:
-                out.append((np.concatenate([np.array(ids_a[c], np.int32) for c in own]), np.concatenate([np.array(ids_b[c], np.int32) for c in own])))
-            else:
-                out.append((none, none))
-        return out
+def _encoders(files: tuple[bytes, bytes]) -> Encoders:
+    key = hash(files)
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = Encoders(*files)
+    return _KEPT[key]
 
 
 def crossing(ends_a: np.ndarray, ends_b: np.ndarray, diagonal: int) -> tuple[int, int]:
@@ -154,26 +208,26 @@ PIECES = "piece int, pieces int, start_a long, start_b long, ids_a array<int>, i
 
 def _tokenise(files, work: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoders = Encoders(*files.value)
-        length_a, length_b = (np.array([len(x) for x in v], np.int64) for v in (encoders.bytes_a, encoders.bytes_b))
+        encoders = _encoders(files.value)
+        lengths = encoders.lengths
         for batch in batches:
             at = batch.schema.get_field_index("text")
-            texts, rest = _texts(batch.column(at)), [k for k in range(batch.num_columns) if k != at]
-            for lo, hi in _slices([len(t) for t in texts], SLICE_CHARS):
+            rest = [k for k in range(batch.num_columns) if k != at]
+            for lo, hi in _slices(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_pylist(), SLICE_BYTES):
                 rows, piece, pieces, starts, lists = [], [], [], ([], []), ([], [])
-                for row, (a, b) in enumerate(encoders.encode(texts[lo:hi]), lo):
-                    ends_a, ends_b = np.cumsum(length_a[a]), np.cumsum(length_b[b])
-                    own = cut_pieces(ends_a, ends_b, work)
+                both = encoders.encode(_texts(batch.column(at).slice(lo, hi - lo)))
+                for row, ids in enumerate(zip(*both, strict=True), lo):
+                    ends = [np.cumsum(length[x]) for length, x in zip(lengths, ids, strict=True)] if len(ids[0]) + len(ids[1]) > work else None
+                    own = cut_pieces(*ends, work) if ends else [(0, len(ids[0]), 0, len(ids[1]))]
                     for k, (i, j, p, q) in enumerate(own):
                         rows.append(row)
                         piece.append(k)
                         pieces.append(len(own))
-                        for side, (ends, ids, x, y) in enumerate(((ends_a, a, i, j), (ends_b, b, p, q))):
-                            starts[side].append(int(ends[x - 1]) if x else 0)
-                            lists[side].append(ids[x:y])
-                arrays = [_list(x) for x in lists]
+                        for side, (x, y) in enumerate(((i, j), (p, q))):
+                            starts[side].append(int(ends[side][x - 1]) if x else 0)
+                            lists[side].append(ids[side][x:y])
                 taken = [batch.column(k).take(pa.array(rows, pa.int64())) for k in rest]
-                columns = [*taken, pa.array(piece, pa.int32()), pa.array(pieces, pa.int32()), *(pa.array(x, pa.int64()) for x in starts), *arrays]
+                columns = [*taken, pa.array(piece, pa.int32()), pa.array(pieces, pa.int32()), *(pa.array(x, pa.int64()) for x in starts), *(_list(x) for x in lists)]
                 yield pa.RecordBatch.from_arrays(columns, names=[*(batch.schema.names[k] for k in rest), "piece", "pieces", "start_a", "start_b", "ids_a", "ids_b"])
 
     return run
@@ -233,10 +287,9 @@ def align_pieces(ids_a: pa.ListArray, ids_b: pa.ListArray, start_a: np.ndarray,
     ]
 
 
-def _align(files):
+def _align(tables):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoders = Encoders(*files.value)
-        lengths = tuple(np.array([len(x) for x in v], np.int64) for v in (encoders.bytes_a, encoders.bytes_b))
+        lengths = tables.value
         names = pa.array([str(k) for k in range(max(map(len, lengths)))])
         for batch in batches:
             carried = [n for n in batch.schema.names if n not in ("start_a", "start_b", "ids_a", "ids_b")]
@@ -273,12 +326,12 @@ def _stitch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.string())], names=["row", "groups_sha256"])
 
 
-def _files(docs: DataFrame, file_a: str, file_b: str):
+def _read(*paths: str) -> tuple[bytes, ...]:
     content = []
-    for path in (file_a, file_b):
+    for path in paths:
         with open(path, "rb") as f:
             content.append(f.read())
-    return docs.sparkSession.sparkContext.broadcast(tuple(content))
+    return tuple(content)
 
 
 def tokens(docs: DataFrame, file_a: str = f"{FOLDER}/{FILE_A}", file_b: str = f"{FOLDER}/{FILE_B}", key: str = "doc_id", work: int = PIECE) -> DataFrame:
@@ -289,7 +342,8 @@ def tokens(docs: DataFrame, file_a: str = f"{FOLDER}/{FILE_A}", file_b: str = f"
     """
     slim = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{key}`").alias("key"), F.col("text").cast("string").alias("text"))
     kind = slim.schema["key"].dataType.simpleString()
-    return stored(slim.mapInArrow(_tokenise(_files(docs, file_a, file_b), work), f"row long, key {kind}, {PIECES}"), "tokens")
+    files = docs.sparkSession.sparkContext.broadcast(_read(file_a, file_b))
+    return stored(slim.mapInArrow(_tokenise(files, work), f"row long, key {kind}, {PIECES}"), "tokens")
 
 
 def aligned_pieces(docs: DataFrame, file_a: str = f"{FOLDER}/{FILE_A}", file_b: str = f"{FOLDER}/{FILE_B}", key: str = "doc_id", work: int = PIECE) -> DataFrame:
@@ -297,8 +351,8 @@ def aligned_pieces(docs: DataFrame, file_a: str = f"{FOLDER}/{FILE_A}", file_b:
     made = tokens(docs, file_a, file_b, key, work)
     long = made.filter("pieces > 1").repartition("row", "piece")
     kind = made.schema["key"].dataType.simpleString()
-    files = _files(docs, file_a, file_b)
-    run = lambda x: x.mapInArrow(_align(files), f"row long, key {kind}, piece int, pieces int, {ALIGNED}")
+    tables = docs.sparkSession.sparkContext.broadcast(_encoders(_read(file_a, file_b)).lengths)
+    run = lambda x: x.mapInArrow(_align(tables), f"row long, key {kind}, piece int, pieces int, {ALIGNED}")
     return stored(run(made.filter("pieces = 1")).union(run(long)), "aligned")
 
 
@@ -331,8 +385,8 @@ def align(docs: DataFrame, file_a: str = f"{FOLDER}/{FILE_A}", file_b: str = f"{
     """One row for each row of docs: the key column, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256.
 
     Texts that are null, empty, or whose tokens do not give back a space and the text (one that holds U+2581, say) have no tokens:
-    zeros and an empty digest. Token bytes are never empty, so ends rise strictly and each group has one link. A long text is
-    encoded in parts, cut where that changes no token; a text with no such place is encoded whole. The stitch of one
+    zeros and an empty digest. Token bytes are never empty, so ends rise strictly and each group has one link. Texts are
+    encoded word by word, cut where that changes no token; a text with no such place is encoded whole. The stitch of one
     document holds the names of its groups, about its tokens' ids as text. An empty table gives none; other columns are ignored.
     """
     pieces = aligned_pieces(docs, file_a, file_b, key, work)

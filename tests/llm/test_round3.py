@@ -107,12 +107,21 @@ def test_alignment_supplied(spark, encoders):
     assert sorted(map(tuple, got.collect()), key=repr) == plain_alignment(encoders, [tuple(r) for r in table.select("doc_id", "text").collect()])
 
 
-def test_alignment_long_texts_in_parts(encoders, monkeypatch):
-    whole = encoders.encode([LONG, ROWS[3][1]])
-    monkeypatch.setattr(token_alignment, "CHUNK_CHARS", 50)
-    assert len(encoders.chunks(LONG)) > 1000 and "".join(encoders.chunks(LONG)) == " " + LONG
-    for x, y in zip(whole, encoders.encode([LONG, ROWS[3][1]]), strict=True):
-        assert all((p == q).all() for p, q in zip(x, y, strict=True))
+def test_alignment_words_as_the_whole(spark, encoders, monkeypatch):
+    """Ids of texts cut into words are those of the whole text, with and without kept words."""
+    table = [r[0] for r in common.read_table(spark, SF, "documents").select("text").collect()]
+    odd = ["a  b   c", " a b", "a \u0301b c", "x\u00a0y z", "l'été est là. Oui, 3.5 €!", "don't  stop 'til\n\n it's 12 %", "日本 語 x", "\u200b a \ufeff b", "a _b __c", "tab\tq w", "x" * 500 + " " + "y" * 500]
+    texts = [*table, *odd, LONG, *(r[1] for r in ROWS if r[1])]
+    assert len(encoders.parts(LONG)) > 1000 and "".join(encoders.parts(LONG)) == " " + LONG
+    for kept in (token_alignment.CACHE_WORDS, 0):
+        monkeypatch.setattr(token_alignment, "CACHE_WORDS", kept)
+        for lo in range(0, len(texts), 50):
+            some = texts[lo : lo + 50]
+            for text, a, b in zip(some, *encoders.encode(some), strict=True):
+                if "▁" in text:
+                    assert len(a) == len(b) == 0
+                else:
+                    assert a.tolist() == encoders.a.encode(" " + text, add_special_tokens=False).ids and b.tolist() == encoders.b.encode(text)
 
 
 def test_alignment_pieces_even(docs):
