@@ -43,3 +43,44 @@ def test_owners(spark):
     assert {(r["doc_id"], r["offset"]): r["unit_id"] for r in found} == {(r["doc_id"], r["offset"]): want.get((r["doc_id"], r["offset"])) for r in found}
     marks = offsets.marks(docs, ".;,").collect()
     assert sorted((r["doc_id"], r["offset"], r["mark"]) for r in marks) == [(d, i, c) for d, t in texts for i, c in enumerate(t or "") if c in ".;,"]
+
+
+def plain_hunks(spans, context=80, most=120):
+    """One pass with a list of hunks, the open one and the text before it."""
+    head = lambda s: s[: s.index("\n") + 1] if 0 <= s.find("\n") < context else s[:context]
+    tail = lambda s: s.rsplit("\n", 1)[-1][-context:] if context else ""
+    out, open_, before = [], None, ""
+    for k, (kind, text) in enumerate(spans):
+        if kind != "unchanged":
+            if open_ is None:
+                open_ = [("unchanged", tail(before))] if tail(before) else []
+            open_.append((kind, text))
+        elif open_ is None:
+            before = text
+        elif k == len(spans) - 1 or len(text) > 2 * context:
+            out.append([*open_, *([("unchanged", head(text))] if head(text) else [])])
+            open_, before = None, text[len(head(text)) :]
+        else:
+            open_.append((kind, text))
+    return (out + ([open_] if open_ else []))[:most]
+
+
+@pytest.mark.parametrize("context, most", [(80, 120), (3, 4), (0, 120)])
+def test_hunks(spark, context, most):
+    from foliant.operators import hunks
+
+    rng, rows = random.Random(4), [(-1, []), (-2, [("unchanged", "only")]), (-3, None)]
+    for i in range(200):
+        spans = []
+        for _ in range(rng.randint(1, 14)):
+            kind = rng.choice([k for k in ("unchanged", "insert", "delete") if not spans or k != spans[-1][0]])
+            spans.append((kind, "".join(rng.choice("ab \n\U0001f600") for _ in range(rng.choice([1, 3, 7, 100, 200])))))
+        rows.append((i, spans))
+    df = spark.createDataFrame(rows, "hunk long, spans array<struct<type:string,text:string>>")
+    got = {}
+    for r in hunks.hunks(df, context, most).orderBy("hunk", "sequence").collect():
+        own = [(s["type"], s["text"]) for s in r["spans"]]
+        assert r["before"] == "".join(t for k, t in own if k != "insert") and r["after"] == "".join(t for k, t in own if k != "delete")
+        assert r["inserted"] == sum(len("".join(t.split())) for k, t in own if k == "insert") and r["hunk_id"] == f"hunk-{r['sequence']}"
+        got.setdefault(r["hunk"], []).append(own)
+    assert got == {k: plain_hunks(s, context, most) for k, s in rows if s and plain_hunks(s, context, most)}
