@@ -36,7 +36,7 @@ PIECE = 1 << 16
 #: Bytes of a batch's texts that are encoded together.
 SLICE_BYTES = 1 << 20
 #: Words, and tokens of theirs, that a worker keeps before it begins anew; new words that are encoded as one text.
-CACHE_WORDS, CACHE_TOKENS, JOINED_WORDS = 500_000, 6_000_000, 500
+CACHE_WORDS, CACHE_TOKENS, JOINED_WORDS = 300_000, 4_000_000, 500
 #: Tokens of pieces that are aligned in one go.
 SLICE_TOKENS = 1 << 20
 #: Neither tokenizer has a token over this place: A starts a word there, and no piece of B holds a space but at its start.
@@ -204,12 +204,14 @@ def _slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
 
 
 PIECES = "piece int, pieces int, start_a long, start_b long, ids_a array<int>, ids_b array<int>"
+ALIGNED = "n_a long, n_b long, link_a array<int>, link_b array<int>"
+SIDES = ["start_a", "start_b", "ids_a", "ids_b"]
 
 
 def _tokenise(files, work: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoders = _encoders(files.value)
-        lengths = encoders.lengths
+        lengths, names = encoders.lengths, _names(encoders.lengths)
         for batch in batches:
             at = batch.schema.get_field_index("text")
             rest = [k for k in range(batch.num_columns) if k != at]
@@ -226,9 +228,19 @@ def _tokenise(files, work: int):
                         for side, (x, y) in enumerate(((i, j), (p, q))):
                             starts[side].append(int(ends[side][x - 1]) if x else 0)
                             lists[side].append(ids[side][x:y])
+                cut = pa.array([n > 1 for n in pieces], pa.bool_())
+                sides = [*(pa.array(x, pa.int64()) for x in starts), *(_list(x) for x in lists)]
+                # a piece that is a whole document is aligned here; the pieces of longer ones are dealt to other tasks
+                alone = pc.indices_nonzero(pc.invert(cut))
+                made = align_pieces(*(x.take(alone) for x in sides), lengths, names)
+                digest = pa.array([hashlib.sha256(g.encode()).hexdigest() if g else "" for g in made.pop("body").to_pylist()], pa.string())
+                back = pa.array(np.where(cut.to_numpy(zero_copy_only=False), 0, np.cumsum(~cut.to_numpy(zero_copy_only=False)) - 1), pa.int64(), mask=cut.to_numpy(zero_copy_only=False))
+                told = [x.take(back) for x in (made["n_a"], made["n_b"], made["link_a"], made["link_b"], digest)]
+                # null where not needed, so that only long documents' ids are written
+                kept = [x.take(pa.array(range(len(rows)), pa.int64(), mask=~cut.to_numpy(zero_copy_only=False))) for x in sides]
                 taken = [batch.column(k).take(pa.array(rows, pa.int64())) for k in rest]
-                columns = [*taken, pa.array(piece, pa.int32()), pa.array(pieces, pa.int32()), *(pa.array(x, pa.int64()) for x in starts), *(_list(x) for x in lists)]
-                yield pa.RecordBatch.from_arrays(columns, names=[*(batch.schema.names[k] for k in rest), "piece", "pieces", "start_a", "start_b", "ids_a", "ids_b"])
+                columns = [*taken, pa.array(piece, pa.int32()), pa.array(pieces, pa.int32()), *kept, *told]
+                yield pa.RecordBatch.from_arrays(columns, names=[*(batch.schema.names[k] for k in rest), "piece", "pieces", *SIDES, "n_a", "n_b", "link_a", "link_b", "groups_sha256"])
 
     return run
 
@@ -248,56 +260,62 @@ def _grouped(names: pa.Array, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), names.take(pa.array(ids))), ",")
 
 
-ALIGNED = "n_a long, n_b long, links array<long>, body string, head_a string, head_b string, tail_a string, tail_b string"
+def _names(lengths) -> pa.Array:
+    """Ids as text."""
+    return pa.array([str(k) for k in range(max(map(len, lengths)))])
 
 
-def align_pieces(ids_a: pa.ListArray, ids_b: pa.ListArray, start_a: np.ndarray, start_b: np.ndarray, lengths: tuple[np.ndarray, np.ndarray], names: pa.Array) -> list[pa.Array]:
-    """The columns ALIGNED of some pieces, each found for itself, all in one go.
+def align_pieces(start_a: pa.Array, start_b: pa.Array, ids_a: pa.ListArray, ids_b: pa.ListArray, lengths: tuple[np.ndarray, np.ndarray], names: pa.Array) -> dict[str, pa.Array]:
+    """n_a, n_b, link_a, link_b, body, head_a, head_b, tail_a, tail_b of some pieces, each found for itself, all in one go.
 
-    links: A's id in the upper, B's in the lower 32 bits of a long, for each shared end. head: up to the first shared end; tail:
-    after the last one (all, if there is none); body: the groups between, as text.
+    links: A's and B's id at each shared end. head: ids up to the first shared end; tail: those after the last one (all, if there is
+    none); both as text. body: the groups between, as text; of a piece whose tail is empty and which begins a document, all groups.
     """
     (a, from_a), (b, from_b) = _flat(ids_a), _flat(ids_b)
-    rows = len(start_a)
+    rows = len(ids_a)
 
-    def ends(ids: np.ndarray, offsets: np.ndarray, starts: np.ndarray, length: np.ndarray) -> np.ndarray:
+    def ends(ids: np.ndarray, offsets: np.ndarray, starts: pa.Array, length: np.ndarray) -> np.ndarray:
         runs = np.concatenate([[0], np.cumsum(length[ids])])
-        return runs[1:] + np.repeat(starts - runs[offsets[:-1]] + APART * np.arange(rows), np.diff(offsets))
+        return runs[1:] + np.repeat(starts.to_numpy() - runs[offsets[:-1]] + APART * np.arange(rows), np.diff(offsets))
 
     ends_a, ends_b = ends(a, from_a, start_a, lengths[0]), ends(b, from_b, start_b, lengths[1])
     at = np.searchsorted(ends_b, ends_a)
     shared = np.flatnonzero((at < len(b)) & (ends_b[np.minimum(at, len(b) - 1)] == ends_a)) if len(b) else np.empty(0, np.int64)
     pair = at[shared]
     linked = np.searchsorted(shared, from_a)  # where each piece's links begin
-    links = pa.ListArray.from_arrays(pa.array(linked.astype(np.int32)), pa.array((a[shared].astype(np.int64) << 32) | b[pair]))
+    offsets = pa.array(linked.astype(np.int32))
+    link_a, link_b = (pa.ListArray.from_arrays(offsets, pa.array(ids[k])) for ids, k in ((a, shared), (b, pair)))
     # every piece has one group more than links: what follows the last one
     first = linked + np.arange(rows + 1)
-    cuts = [np.sort(np.concatenate([x, offsets])) for x, offsets in ((shared + 1, from_a), (pair + 1, from_b))]
+    cuts = [np.sort(np.concatenate([x, cut])) for x, cut in ((shared + 1, from_a), (pair + 1, from_b))]
     joined_a, joined_b = (_grouped(names, ids, cut) for ids, cut in zip((a, b), cuts, strict=True))
     groups = pc.binary_join_element_wise(joined_a, joined_b, "|")
     few = np.diff(linked) == 0
     heads, tails = first[:-1], first[1:] - 1
-    between = np.concatenate([np.arange(lo + 1, hi) for lo, hi in zip(heads, tails, strict=True)]) if rows else np.empty(0, np.int64)
-    sizes = np.concatenate([[0], np.cumsum(np.maximum(tails - heads - 1, 0))])
+    closed = (np.diff(from_a) > 0) & (start_a.to_numpy() == 0) & (start_b.to_numpy() == 0) & ~few
+    lows = np.where(closed, heads, np.minimum(heads + 1, tails))
+    sizes = np.concatenate([[0], np.cumsum(tails - lows)])
+    between = np.arange(sizes[-1]) + np.repeat(lows - sizes[:-1], tails - lows)
     body = pc.binary_join(pa.ListArray.from_arrays(pa.array(sizes.astype(np.int32)), groups.take(pa.array(between, pa.int64()))), ";")
-    at_head = pa.array(np.where(few, -1, heads), pa.int64(), mask=few)
-    return [
-        pa.array(np.diff(from_a)), pa.array(np.diff(from_b)), links, body,
-        *(pc.fill_null(x.take(at_head), "") for x in (joined_a, joined_b)), *(x.take(pa.array(tails, pa.int64())) for x in (joined_a, joined_b)),
-    ]
+    at_head = pa.array(heads, pa.int64(), mask=few | closed)
+    return {
+        "n_a": pa.array(np.diff(from_a)), "n_b": pa.array(np.diff(from_b)), "link_a": link_a, "link_b": link_b, "body": body,
+        "head_a": pc.fill_null(joined_a.take(at_head), ""), "head_b": pc.fill_null(joined_b.take(at_head), ""),
+        "tail_a": joined_a.take(pa.array(tails, pa.int64())), "tail_b": joined_b.take(pa.array(tails, pa.int64())),
+    }
 
 
 def _align(tables):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths = tables.value
-        names = pa.array([str(k) for k in range(max(map(len, lengths)))])
+        names = _names(lengths)
         for batch in batches:
-            carried = [n for n in batch.schema.names if n not in ("start_a", "start_b", "ids_a", "ids_b")]
             weights = (pc.list_value_length(batch.column("ids_a")).to_numpy() + pc.list_value_length(batch.column("ids_b")).to_numpy()).tolist()
+            carried = [n for n in batch.schema.names if n not in SIDES]
             for lo, hi in _slices(weights, SLICE_TOKENS):
                 some = batch.slice(lo, hi - lo)
-                made = align_pieces(some.column("ids_a"), some.column("ids_b"), some.column("start_a").to_numpy(), some.column("start_b").to_numpy(), lengths, names)
-                yield pa.RecordBatch.from_arrays([*(some.column(n) for n in carried), *made], names=[*carried, "n_a", "n_b", "links", "body", "head_a", "head_b", "tail_a", "tail_b"])
+                made = align_pieces(*(some.column(n) for n in SIDES), lengths, names)
+                yield pa.RecordBatch.from_arrays([*(some.column(n) for n in carried), *made.values()], names=[*carried, *made])
 
     return run
 
@@ -316,7 +334,8 @@ def _stitch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
             for p in pieces.as_py():
                 if p["n_links"]:
-                    tell("|".join(",".join(filter(None, [*x, p[k]])) for x, k in ((open_a, "head_a"), (open_b, "head_b"))))
+                    if open_a or open_b:  # else the piece begins the document, and its body has all of its groups
+                        tell("|".join(",".join(filter(None, [*x, p[k]])) for x, k in ((open_a, "head_a"), (open_b, "head_b"))))
                     if p["body"]:
                         tell(p["body"])
                     open_a, open_b = [], []
@@ -335,39 +354,44 @@ def _read(*paths: str) -> tuple[bytes, ...]:
 
 
 def tokens(docs: DataFrame, file_a: str = f"{FOLDER}/{FILE_A}", file_b: str = f"{FOLDER}/{FILE_B}", key: str = "doc_id", work: int = PIECE) -> DataFrame:
-    """The pieces of every row's tokens, as a stored table: row, key, piece, pieces, where they start in bytes, and ids.
+    """The pieces of every row's tokens, as a stored table: row, key, piece, pieces, and what PIECES and ALIGNED name.
 
-    row is a number of its own for each row of docs, so rows without id, repeated ids and repeated rows stay apart. A row without
-    tokens has one piece without any.
+    row is a number of its own for each row of docs, so rows without id, repeated ids and repeated rows stay apart. A document of
+    one piece is aligned already and has a digest of its groups; pieces of longer ones have their ids, and where they start in bytes.
     """
     slim = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{key}`").alias("key"), F.col("text").cast("string").alias("text"))
     kind = slim.schema["key"].dataType.simpleString()
     files = docs.sparkSession.sparkContext.broadcast(_read(file_a, file_b))
-    return stored(slim.mapInArrow(_tokenise(files, work), f"row long, key {kind}, {PIECES}"), "tokens")
+    return stored(slim.mapInArrow(_tokenise(files, work), f"row long, key {kind}, {PIECES}, {ALIGNED}, groups_sha256 string"), "tokens")
 
 
-def aligned_pieces(docs: DataFrame, file_a: str = f"{FOLDER}/{FILE_A}", file_b: str = f"{FOLDER}/{FILE_B}", key: str = "doc_id", work: int = PIECE) -> DataFrame:
-    """A stored table of row, key, piece, pieces and ALIGNED for each piece. Pieces of long documents are dealt anew, one by one."""
-    made = tokens(docs, file_a, file_b, key, work)
-    long = made.filter("pieces > 1").repartition("row", "piece")
+def aligned_pieces(made: DataFrame, file_a: str = f"{FOLDER}/{FILE_A}", file_b: str = f"{FOLDER}/{FILE_B}") -> DataFrame:
+    """tokens() of long documents, dealt anew piece by piece and aligned, as a stored table: row, key, piece, the columns of align_pieces()."""
     kind = made.schema["key"].dataType.simpleString()
-    tables = docs.sparkSession.sparkContext.broadcast(_encoders(_read(file_a, file_b)).lengths)
-    run = lambda x: x.mapInArrow(_align(tables), f"row long, key {kind}, piece int, pieces int, {ALIGNED}")
-    return stored(run(made.filter("pieces = 1")).union(run(long)), "aligned")
+    tables = made.sparkSession.sparkContext.broadcast(_encoders(_read(file_a, file_b)).lengths)
+    texts = ", ".join(f"{c} string" for c in ("body", "head_a", "head_b", "tail_a", "tail_b"))
+    long = made.filter("pieces > 1").select("row", "key", "piece", *SIDES).repartition("row", "piece")
+    return stored(long.mapInArrow(_align(tables), f"row long, key {kind}, piece int, {ALIGNED}, {texts}"), "aligned")
+
+
+def links(pieces: DataFrame) -> DataFrame:
+    """row, pair of every link: A's id in the upper, B's in the lower 32 bits."""
+    both = pieces.select("row", F.explode(F.arrays_zip("link_a", "link_b")).alias("l"))
+    return both.select("row", F.shiftleft(F.col("l.link_a").cast("long"), 32).bitwiseOR(F.col("l.link_b").cast("long")).alias("pair"))
 
 
-def link_counts(pieces: DataFrame) -> DataFrame:
+def link_counts(linked: DataFrame) -> DataFrame:
     """pair, n (its links in all documents), best (n is the highest of its B id), as a stored table."""
-    counts = stored(pieces.select(F.explode("links").alias("pair")).groupBy("pair").agg(F.count("*").alias("n")), "pairs")
+    counts = stored(linked.groupBy("pair").agg(F.count("*").alias("n")), "pairs")
     own = F.col("pair").bitwiseAND(F.lit((1 << 32) - 1))
     most = counts.groupBy(own.alias("b")).agg(F.max("n").alias("most"))  # at most one row for each id of B
     return stored(counts.withColumn("b", own).join(F.broadcast(most), "b").select("pair", "n", (F.col("n") == F.col("most")).alias("best")), "counts")
 
 
-def with_counts(links: DataFrame, counts: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """links (a column pair) with n and best. The commonest pairs, `rows` at most, are broadcast; only links of rarer ones are shuffled."""
+def with_counts(linked: DataFrame, counts: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """linked (a column pair) with n and best. The commonest pairs, `rows` at most, are broadcast; only links of rarer ones are shuffled."""
     if counts.count() <= rows:
-        return links.join(F.broadcast(counts), "pair")
+        return linked.join(F.broadcast(counts), "pair")
     # of all counts of 1, 2, ... the least from which on no more than `rows` pairs are left
     by_count = counts.groupBy("n").agg(F.count("*").alias("pairs")).withColumn("step", F.floor(F.log2("n") * 16))
     steps = sorted(((r[0], r[1]) for r in by_count.groupBy("step").agg(F.sum("pairs")).collect()), reverse=True)  # 16 * 63 at most
@@ -378,7 +402,7 @@ def with_counts(links: DataFrame, counts: DataFrame, rows: int = BROADCAST_ROWS)
         common, bound = common + pairs, step
     is_common = F.floor(F.log2("n") * 16) >= bound
     hot, rare = F.broadcast(counts.filter(is_common)), counts.filter(~is_common)
-    return links.join(hot, "pair").unionByName(links.join(hot.select("pair"), "pair", "left_anti").join(rare, "pair"), allowMissingColumns=True)
+    return linked.join(hot, "pair").unionByName(linked.join(hot.select("pair"), "pair", "left_anti").join(rare, "pair"), allowMissingColumns=True)
 
 
 def align(docs: DataFrame, file_a: str = f"{FOLDER}/{FILE_A}", file_b: str = f"{FOLDER}/{FILE_B}", key: str = "doc_id", work: int = PIECE) -> DataFrame:
@@ -389,23 +413,26 @@ def align(docs: DataFrame, file_a: str = f"{FOLDER}/{FILE_A}", file_b: str = f"{
     encoded word by word, cut where that changes no token; a text with no such place is encoded whole. The stitch of one
     document holds the names of its groups, about its tokens' ids as text. An empty table gives none; other columns are ignored.
     """
-    pieces = aligned_pieces(docs, file_a, file_b, key, work)
-    counted = with_counts(pieces.select("row", F.explode("links").alias("pair")), link_counts(pieces))
+    made = tokens(docs, file_a, file_b, key, work)
+    long = aligned_pieces(made, file_a, file_b)
+    short = ["row", "key", "n_a", "n_b", "link_a", "link_b"]
+    pieces = made.filter("pieces = 1").select(*short, "groups_sha256").unionByName(long.select(*short), allowMissingColumns=True)
+    linked = links(pieces)
+    counted = with_counts(linked, link_counts(linked))
     looked = counted.groupBy("row").agg(F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("n").alias("count_sum"))
-    alone = F.when(F.size("links") > 0, F.sha2(F.concat_ws(";", *(F.when(x != "", x) for x in (F.concat("head_a", F.lit("|"), "head_b"), F.col("body")))), 256)).otherwise("")
-    told = pieces.select(
-        "row", "key", "n_a", "n_b", F.size("links").cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_best"), F.lit(0).cast("long").alias("count_sum"),
-        F.when(F.col("pieces") == 1, alone).alias("groups_sha256"),
-    )
-    part = F.struct("piece", F.size("links").alias("n_links"), "body", "head_a", "head_b", "tail_a", "tail_b")
-    long = pieces.filter("pieces > 1").groupBy("row").agg(F.sort_array(F.collect_list(part)).alias("parts"))
-    stitched = long.mapInArrow(_stitch, "row long, groups_sha256 string")
+    zero = F.lit(0).cast("long")
+    told = pieces.select("row", "key", "n_a", "n_b", F.size("link_a").cast("long").alias("n_links"), zero.alias("n_best"), zero.alias("count_sum"), "groups_sha256")
+    part = F.struct("piece", F.size("link_a").alias("n_links"), "body", "head_a", "head_b", "tail_a", "tail_b")
+    stitched = long.groupBy("row").agg(F.sort_array(F.collect_list(part)).alias("parts")).mapInArrow(_stitch, "row long, groups_sha256 string")
     every = told.unionByName(looked, allowMissingColumns=True).unionByName(stitched, allowMissingColumns=True)
     total = lambda c: F.sum(c).alias(c)
     out = every.groupBy("row").agg(F.max("key").alias(key), total("n_a"), total("n_b"), F.sum("n_links").alias("n_groups"), total("n_links"), total("n_best"), total("count_sum"), F.max("groups_sha256").alias("groups_sha256"))
     return out.drop("row")
 
 
-def groups(docs: DataFrame, file_a: str = f"{FOLDER}/{FILE_A}", file_b: str = f"{FOLDER}/{FILE_B}", key: str = "doc_id", work: int = PIECE) -> DataFrame:
-    """The groups themselves, in their pieces: row, key, piece, n_a, n_b, links, body, head_a, head_b, tail_a, tail_b (see align_pieces)."""
-    return aligned_pieces(docs, file_a, file_b, key, work).drop("pieces")
+def linked_ids(docs: DataFrame, file_a: str = f"{FOLDER}/{FILE_A}", file_b: str = f"{FOLDER}/{FILE_B}", key: str = "doc_id", work: int = PIECE) -> DataFrame:
+    """The corpus-wide dictionary of the two tokenizers: a, b (ids), n (links), best (whether no other A id has more with that B id)."""
+    made = tokens(docs, file_a, file_b, key, work)
+    pieces = made.filter("pieces = 1").select("row", "link_a", "link_b").unionByName(aligned_pieces(made, file_a, file_b).select("row", "link_a", "link_b"))
+    counts = link_counts(links(pieces))
+    return counts.select(F.shiftright("pair", 32).cast("int").alias("a"), F.col("pair").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("b"), "n", "best")

@@ -125,18 +125,25 @@ def test_alignment_words_as_the_whole(spark, encoders, monkeypatch):
 
 
 def test_alignment_pieces_even(docs):
-    pieces = token_alignment.tokens(docs, work=5000).collect()
+    pieces = token_alignment.tokens(docs, work=5000).filter("pieces > 1").collect()
     sizes = [len(p["ids_a"]) + len(p["ids_b"]) for p in pieces if p["key"] == 8]
     assert len(sizes) > 10 and all(4999 <= s <= 5001 for s in sizes[:-1]) and sizes[-1] <= 5001
 
 
 def test_alignment_rare_pairs_shuffled(docs):
-    pieces = token_alignment.aligned_pieces(docs)
-    links, counts = pieces.select("row", F.explode("links").alias("pair")), token_alignment.link_counts(pieces)
+    links = token_alignment.links(token_alignment.tokens(docs))
+    counts = token_alignment.link_counts(links)
     rows = lambda df: sorted(map(tuple, df.select("row", "pair", "n", "best").collect()))
     assert rows(token_alignment.with_counts(links, counts)) == rows(token_alignment.with_counts(links, counts, 20)) == rows(token_alignment.with_counts(links, counts, 0))
 
 
+def test_alignment_dictionary(docs, encoders):
+    counts = Counter(x for r in ROWS for x in plain_groups(encoders, r[1])[3])
+    got = token_alignment.linked_ids(docs).collect()
+    assert {(r["a"], r["b"]): r["n"] for r in got} == counts
+    assert all(r["best"] == (r["n"] == max(n for (_, b), n in counts.items() if b == r["b"])) for r in got)
+
+
 def test_alignment_empty(none):
     assert token_alignment.align(none).count() == 0
 
