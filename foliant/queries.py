@@ -177,8 +177,10 @@ def _ends_sql(text: str, marks: str) -> str:
     return f"regexp_matches({text}, '[{marks}]{_CLOSERS.replace('}}', '}')}*\\s*$')"
 
 
-SLOTS = f"""
-sp AS (SELECT doc_id, j - 1 AS j, l[j] AS p FROM (SELECT doc_id, list_filter(regexp_extract_all({PARAGRAPHS}, '(?s:.*?)({_BREAK}|$)'), lambda x: x <> '') AS l FROM documents), unnest(range(1, len(l) + 1)) AS u(j)),
+def slots_sql(source: str = "documents") -> str:
+    """Common table expressions up to s (slots) of a table with doc_id and text."""
+    return f"""
+sp AS (SELECT doc_id, j - 1 AS j, l[j] AS p FROM (SELECT doc_id, list_filter(regexp_extract_all({PARAGRAPHS}, '(?s:.*?)({_BREAK}|$)'), lambda x: x <> '') AS l FROM {source}), unnest(range(1, len(l) + 1)) AS u(j)),
 sb AS (SELECT doc_id, j, regexp_extract(p, '{_BREAK}$') AS sep, substr(p, 1, length(p) - length(regexp_extract(p, '{_BREAK}$'))) AS body FROM sp),
 sm AS (SELECT *, CASE WHEN body = '' THEN [''] ELSE regexp_extract_all({_MASKED_BODY}, '(?s:.*?)[。！？；!?;.，,]{_CLOSERS.replace("}}", "}")}*\\s*|(?s:.+)$') END AS l FROM sb),
 sx AS (SELECT doc_id, j, k - 1 AS k, CASE WHEN k = len(l) THEN sep ELSE '' END AS tail, replace(replace(l[k], chr(57344), '.'), chr(57345), ',') AS x FROM sm, unnest(range(1, len(l) + 1)) AS u(k)),
@@ -189,13 +191,13 @@ s0 AS (SELECT doc_id, slot_order, slot_id, text, CASE WHEN slot_order = n - 2 AN
 s AS (SELECT *, regexp_matches(text, '\\S') AS editable, CASE WHEN regexp_matches(text, '\\S') THEN 'editableText' WHEN regexp_matches(sep, '{_BREAK}') THEN 'paragraphBreak' WHEN text <> '' THEN 'lockedText' ELSE 'editableText' END AS role FROM s0)"""
 
 
-def units_sql(preset: str) -> str:
+def units_sql(preset: str, source: str = "documents") -> str:
     """Common table expressions up to m (slots with their unit's number) and u (units)."""
     close = f"role = 'paragraphBreak' OR regexp_matches(sep, '{_BREAK}')"
     if preset != "paragraph":
         close += f" OR contains(sep, chr(10)) OR {_ends_sql('text || sep', boundaries.CLAUSE_MARKS if preset == 'clause' else boundaries.SENTENCE_MARKS)}"
     joins = "f.open IS NOT NULL" if preset != "paragraph" else "false"
-    return f"""{SLOTS},
+    return f"""{slots_sql(source)},
 c AS (SELECT *, {close} AS closes FROM s),
 b AS (SELECT *, coalesce(sum(CASE WHEN closes THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY slot_order ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM c),
 a AS (SELECT doc_id, g, string_agg(text || sep, '' ORDER BY slot_order) AS shown, bool_or(editable) AS editable, count(*) = 1 AND bool_and(role = 'paragraphBreak' AND text = '') AS alone FROM b GROUP BY ALL),
@@ -386,7 +388,7 @@ def written_back_texts(spark, sf_dir):
 
 
 @query(f"""
-WITH {SLOTS}
+WITH {slots_sql()}
 SELECT doc_id, sha256(string_agg(CAST(to_json({{'slot_order': slot_order, 'editable': editable, 'role': role, 'slot_id': slot_id, 'separator_after': sep}}) AS VARCHAR), ',' ORDER BY slot_order)) AS signature FROM s GROUP BY doc_id""")
 def structure_signatures(spark, sf_dir):
     return writeback.structure_signature(segment.slots(texts(spark, sf_dir, PARAGRAPHS)))

@@ -84,3 +84,29 @@ def test_hunks(spark, context, most):
         assert r["inserted"] == sum(len("".join(t.split())) for k, t in own if k == "insert") and r["hunk_id"] == f"hunk-{r['sequence']}"
         got.setdefault(r["hunk"], []).append(own)
     assert got == {k: plain_hunks(s, context, most) for k, s in rows if s and plain_hunks(s, context, most)}
+
+
+def test_refresh(spark):
+    from foliant.operators import refresh
+
+    text = "One, two. Three!\n\nFour."
+    docs = [(k, text, f"h{k}") for k in range(8)]
+    now = spark.createDataFrame(docs, "doc_id long, text string, h string").drop("h").withColumns({c: F.lit("x") for c in ("template_kind", "template_signature", "structure_signature")})
+    slots, units = segment.slots(now), segment.units(now, "clause")
+    sessions = now.select(
+        "doc_id", F.when(F.col("doc_id") == 1, "other").otherwise(F.sha2("text", 256)).alias("snapshot"), (F.col("doc_id") % 2 == 1).alias("clean"), F.lit("clause").alias("preset"),
+        F.when(F.col("doc_id") == 6, None).otherwise(F.lit(False)).alias("rewrite_headings"), "template_kind", F.when(F.col("doc_id") == 7, "y").otherwise(F.col("template_signature")).alias("template_signature"), "structure_signature",
+    )
+    slots = slots.withColumn("separator_after", F.when((F.col("doc_id") == 2) & (F.col("slot_order") >= 1), "?").otherwise(F.col("separator_after"))).filter("doc_id <> 3 OR slot_order > 0")
+    units = units.withColumn("status", F.lit("done")).unionByName(units.filter("doc_id = 4 AND unit_order = 0").withColumn("unit_order", F.lit(99)))
+    suggestions = spark.createDataFrame([(k, "s") for k in (0, 2, 3)], "doc_id long, suggestion_id string")
+    done = refresh.refresh(sessions, slots, units, suggestions, now.filter("doc_id <> 5"), "clause")
+    assert {r["doc_id"]: (r["decision"], r["difference"]) for r in done.decisions.collect()} == {
+        0: ("keep", None), 1: ("rebuild", "source"), 2: ("block", "slot 1: separator_after"), 3: ("rebuild", "slot 0: added"), 4: ("block", "unit 99: gone"), 5: ("missing", "document"),
+        6: ("block", "rewrite_headings"), 7: ("rebuild", "template_signature"),
+    }
+    count = lambda df: {r[0]: r[1] for r in df.groupBy("doc_id").count().collect()}
+    n_slots, n_units = count(segment.slots(now))[0], count(segment.units(now, "clause"))[0]
+    assert count(done.slots) == dict.fromkeys(range(8), n_slots) and count(done.units) == dict.fromkeys(range(8), n_units) | {4: n_units + 1}
+    assert {r["doc_id"] for r in done.units.filter("status = 'idle'").collect()} == {1, 3, 4, 7} and count(done.suggestions) == {0: 1, 2: 1}
+    assert done.slots.filter("doc_id = 2 AND separator_after = '?'").count() == n_slots - 1
