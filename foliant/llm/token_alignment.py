@@ -14,6 +14,8 @@ that table. The tokenizers' files are read by the driver and sent to the executo
 from __future__ import annotations
 
 import bisect
+import ctypes
+import gc
 import hashlib
 import json
 import os
@@ -36,11 +38,15 @@ PIECE = 1 << 16
 #: Bytes of a batch's texts that are encoded together.
 SLICE_BYTES = 1 << 20
 #: Words, and tokens of theirs, that a worker keeps before it begins anew; new words that are encoded as one text.
-CACHE_WORDS, CACHE_TOKENS, JOINED_WORDS = 300_000, 4_000_000, 500
+CACHE_WORDS, CACHE_TOKENS, JOINED_WORDS = 200_000, 4_000_000, 500
 #: Tokens of pieces that are aligned in one go.
 SLICE_TOKENS = 1 << 20
 #: Neither tokenizer has a token over this place: A starts a word there, and no piece of B holds a space but at its start.
 SAFE_CUT = re.compile(r"(?<=[^\s\u180e\u200b\ufeff])(?= \w)")
+#: A word between two such places.
+INNER = re.compile(r" \w(?s:.*)(?<=[^\s\u180e\u200b\ufeff])")
+#: Fixed value: how the byte-level tokenizer cuts a text into words.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes between the pieces' ends when many are searched together, over the bytes of any text.
 APART = 1 << 40
 
@@ -67,16 +73,33 @@ class Encoders:
         self.a.encode_special_tokens = True
         self.b = SentencePieceProcessor(model_proto=file_b)
         alphabet = _byte_alphabet()
-        special = {t["id"] for t in json.loads(file_a).get("added_tokens", []) if t.get("special")}
+        self.special = special = {t["id"] for t in json.loads(file_a).get("added_tokens", []) if t.get("special")}
         self.bytes_a = [b""] * self.a.get_vocab_size()
         for token, k in self.a.get_vocab().items():
             self.bytes_a[k] = token.encode() if k in special else bytes(alphabet[c] for c in token)
+        self.ascii_a = self._ranked(json.loads(file_a))
         pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(pieces)]
         self.cuttable = not any("▁" in p.lstrip("▁") for p in pieces)
         self.lengths = tuple(np.array([len(x) for x in v], np.int64) for v in (self.bytes_a, self.bytes_b))
         self._forget()
 
+    def _ranked(self, content: dict):
+        """A faster encoder of the same vocabulary, for ASCII texts; none where the file's merges are not in the order of their ids.
+
+        Classes of other characters may differ between the libraries' Unicode tables, those of ASCII do not.
+        """
+        merges = [m.split(" ") if isinstance(m, str) else m for m in content["model"]["merges"]]
+        made = [content["model"]["vocab"].get("".join(m)) for m in merges]
+        if None in made or made != sorted(made) or content.get("normalizer") or (content.get("pre_tokenizer") or {}).get("type") != "ByteLevel" or content["pre_tokenizer"].get("add_prefix_space"):
+            return None
+        import tiktoken
+
+        ranks = {b: k for k, b in enumerate(self.bytes_a) if k not in self.special}
+        if len(ranks) + len(self.special) != len(self.bytes_a):
+            return None
+        return tiktoken.Encoding("own", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
+
     def _forget(self) -> None:
         self.words: dict[str, int] = {}
         self.good = np.empty(0, bool)
@@ -89,15 +112,20 @@ class Encoders:
 
     def _both(self, text: str) -> tuple[list[int], list[int], bool]:
         """Ids of A and of B for a text that begins with a space, and whether both give its bytes."""
-        a, b = self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.b.encode(text[1:], num_threads=1)
+        a = self.ascii_a.encode_ordinary(text) if self.ascii_a and text.isascii() else self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        b = self.b.encode(text[1:], num_threads=1)
         return a, b, b"".join([self.bytes_a[i] for i in a]) == b"".join([self.bytes_b[i] for i in b]) == text.encode("utf-8", "surrogatepass")
 
-    def _learn(self, words: list[str]) -> None:
-        """Adds words. Those that can follow each other are encoded as one text, and its tokens dealt to them by their bytes."""
-        fit = re.compile(r" \w")
-        plain = [w for w in words if self.cuttable and fit.match(w) and not w[-1].isspace() and w[-1] not in "\u180e\u200b\ufeff"]
-        rest = set(words).difference(plain)
-        blocks = [plain[k : k + JOINED_WORDS] for k in range(0, len(plain), JOINED_WORDS)] + [[w] for w in sorted(rest)]
+    def _learn(self, words: set[str], edges: set[str]) -> None:
+        """Adds words; edges: those that may begin or end a text.
+
+        Words from within texts can follow each other, so many are encoded as one text, and its tokens dealt to them by their bytes.
+        """
+        odd = {w for w in edges if not INNER.fullmatch(w)}
+        kinds: tuple[list[str], list[str]] = [], []
+        for w in words - odd:
+            kinds[w.isascii()].append(w)
+        blocks = [some[k : k + JOINED_WORDS] for some in kinds for k in range(0, len(some), JOINED_WORDS)] + [[w] for w in odd]
         pools, sizes, good = ([], []), ([], []), []
         while blocks:
             block = blocks.pop()
@@ -127,7 +155,8 @@ class Encoders:
         if len(self.words) > CACHE_WORDS or len(self.pools[0]) > CACHE_TOKENS:
             self._forget()
         parts = [self.parts(t) if t else [] for t in texts]
-        self._learn(sorted(set().union(*parts) - self.words.keys()))
+        known = self.words.keys()
+        self._learn(set().union(*parts) - known, {w for x in parts if x for w in (x[0], x[-1])} - known)
         sizes = [len(x) for x in parts]
         numbers = np.fromiter(map(self.words.__getitem__, chain.from_iterable(parts)), np.int64, sum(sizes))
         ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
@@ -143,16 +172,13 @@ class Encoders:
         return tuple(out)
 
 
-#: Of this Python worker, which Spark keeps for later tasks: by the content of the files.
-_KEPT: dict[int, Encoders] = {}
-
-
-def _encoders(files: tuple[bytes, bytes]) -> Encoders:
-    key = hash(files)
-    if key not in _KEPT:
-        _KEPT.clear()
-        _KEPT[key] = Encoders(*files)
-    return _KEPT[key]
+def _give_back() -> None:
+    """Returns freed memory to the machine: Spark keeps a Python worker for later tasks, beside whose JVM it would stay otherwise."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
 
 
 def crossing(ends_a: np.ndarray, ends_b: np.ndarray, diagonal: int) -> tuple[int, int]:
@@ -210,7 +236,7 @@ SIDES = ["start_a", "start_b", "ids_a", "ids_b"]
 
 def _tokenise(files, work: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoders = _encoders(files.value)
+        encoders = Encoders(*files.value)
         lengths, names = encoders.lengths, _names(encoders.lengths)
         for batch in batches:
             at = batch.schema.get_field_index("text")
@@ -241,6 +267,8 @@ def _tokenise(files, work: int):
                 taken = [batch.column(k).take(pa.array(rows, pa.int64())) for k in rest]
                 columns = [*taken, pa.array(piece, pa.int32()), pa.array(pieces, pa.int32()), *kept, *told]
                 yield pa.RecordBatch.from_arrays(columns, names=[*(batch.schema.names[k] for k in rest), "piece", "pieces", *SIDES, "n_a", "n_b", "link_a", "link_b", "groups_sha256"])
+        del encoders
+        _give_back()
 
     return run
 
@@ -368,7 +396,7 @@ def tokens(docs: DataFrame, file_a: str = f"{FOLDER}/{FILE_A}", file_b: str = f"
 def aligned_pieces(made: DataFrame, file_a: str = f"{FOLDER}/{FILE_A}", file_b: str = f"{FOLDER}/{FILE_B}") -> DataFrame:
     """tokens() of long documents, dealt anew piece by piece and aligned, as a stored table: row, key, piece, the columns of align_pieces()."""
     kind = made.schema["key"].dataType.simpleString()
-    tables = made.sparkSession.sparkContext.broadcast(_encoders(_read(file_a, file_b)).lengths)
+    tables = made.sparkSession.sparkContext.broadcast(Encoders(*_read(file_a, file_b)).lengths)
     texts = ", ".join(f"{c} string" for c in ("body", "head_a", "head_b", "tail_a", "tail_b"))
     long = made.filter("pieces > 1").select("row", "key", "piece", *SIDES).repartition("row", "piece")
     return stored(long.mapInArrow(_align(tables), f"row long, key {kind}, piece int, {ALIGNED}, {texts}"), "aligned")
