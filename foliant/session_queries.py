@@ -45,7 +45,7 @@ def _slots(lines: Column) -> Column:
     return F.transform(lines, slot)
 
 
-def _sessions(spark, sf_dir: str) -> DataFrame:
+def session_rows(spark, sf_dir: str) -> DataFrame:
     made = texts(spark, sf_dir).withColumn("lines", _lines())
     return made.select("doc_id", "text", "lines", _units(F.col("lines")).alias("units"), _slots(F.col("lines")).alias("slots"))
 
@@ -62,7 +62,7 @@ SELECT doc_id, count(*) FILTER (WHERE i % 3 = 0) AS total, count(*) FILTER (WHER
   CASE WHEN count(*) FILTER (WHERE i % 3 = 0 AND status <> 'done') = 0 THEN 'nothing_to_do' END AS error
 FROM (SELECT *, sum(CASE WHEN i % 3 = 0 AND status IN ('idle', 'failed') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM l) GROUP BY doc_id""")
 def job_targets(spark, sf_dir):
-    d = _sessions(spark, sf_dir).withColumn("ids", _every(3))
+    d = session_rows(spark, sf_dir).withColumn("ids", _every(3))
     units, ids = F.col("units"), F.col("ids")
     counts, found = targets.counts(units, ids), targets.resolved(units, ids)
     return d.select(
@@ -77,7 +77,7 @@ SELECT doc_id, string_agg(CASE WHEN i % 3 = 0 THEN 'failed' WHEN status = 'runni
   string_agg(CASE WHEN i % 2 = 0 THEN 'running' ELSE status END, ',' ORDER BY i) AS started FROM l GROUP BY doc_id""")
 def unit_states(spark, sf_dir):
     shown = lambda made: F.array_join(F.transform(made["units"], lambda u: u["status"]), ",")
-    d = _sessions(spark, sf_dir)
+    d = session_rows(spark, sf_dir)
     return d.select("doc_id", shown(targets.failed(F.col("units"), _every(3))).alias("failed"), shown(targets.started(F.col("units"), _every(2))).alias("started"))
 
 
@@ -91,7 +91,7 @@ SELECT doc_id,
   coalesce(arg_min(unit_id, i) FILTER (WHERE status = 'failed'), arg_min(unit_id, i) FILTER (WHERE status = 'running'), arg_min(unit_id, i) FILTER (WHERE status = 'idle'), arg_min(unit_id, i)) AS shown
 FROM g GROUP BY doc_id""")
 def selections(spark, sf_dir):
-    d = _sessions(spark, sf_dir).withColumn("selected", _every(2))
+    d = session_rows(spark, sf_dir).withColumn("selected", _every(2))
     units, selected = F.col("units"), F.col("selected")
     joined = lambda c, name: F.array_join(c, ",").alias(name)
     return d.select(
@@ -108,7 +108,7 @@ SELECT doc_id, CASE WHEN NOT editor THEN 'none' WHEN backend <> 'textual' OR kin
   source AS ai_allowed, CASE WHEN NOT source THEN 'closed' END AS ai_reason, editor AND quiet AS entry_allowed,
   CASE WHEN NOT editor THEN 'no_reason' WHEN NOT quiet THEN 'dirty_session' END AS entry_reason FROM d""")
 def session_capabilities(spark, sf_dir):
-    d = _sessions(spark, sf_dir)
+    d = session_rows(spark, sf_dir)
     k = F.col("doc_id")
     backend = F.when(k % 4 == 0, "docx").when(k % 4 == 1, "pdf").otherwise("textual")
     kind = F.when(k % 5 == 0, "markdown").when(k % 5 == 1, "tex")
@@ -123,7 +123,7 @@ def session_capabilities(spark, sf_dir):
 
 def _batches(spark, sf_dir: str) -> DataFrame:
     """A batch for every document: each editable line gets an X in front; some answers are spoilt."""
-    d = _sessions(spark, sf_dir).withColumn("unit_ids", targets.ids_of(F.filter("units", lambda u: u["editable"])))
+    d = session_rows(spark, sf_dir).withColumn("unit_ids", targets.ids_of(F.filter("units", lambda u: u["editable"])))
     changed = F.filter("slots", lambda s: s["editable"])
     results = F.transform(changed, lambda s: F.struct(F.concat(F.lit("unit-"), s["slot_order"].cast("string")).alias("rewriteUnitId"), F.array(F.struct(F.when(F.col("doc_id") % 7 == 1, "s0").otherwise(s["slot_id"]).alias("slotId"), F.concat(F.lit("X"), s["text"]).alias("text"))).alias("updates")))
     asked = F.when(F.col("doc_id") % 7 == 2, F.slice(results, F.lit(2), F.size(results))).otherwise(results)
@@ -202,7 +202,7 @@ def newest_records(spark, sf_dir):
 SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'missing_snapshot' WHEN 1 THEN 'source_changed' WHEN 2 THEN 'missing_signature' WHEN 3 THEN 'structure_changed' WHEN 4 THEN CASE WHEN any_value(n) > 1 THEN 'anchor_order' END END AS error,
   CASE WHEN doc_id % 6 = 5 OR (doc_id % 6 = 4 AND any_value(n) = 1) THEN string_agg('X' || line, chr(10) ORDER BY i) END AS text FROM l GROUP BY doc_id""")
 def gated_writeback(spark, sf_dir):
-    d = _sessions(spark, sf_dir).withColumn("anchored", F.transform("slots", lambda s: s.withField("slot_id", F.concat(F.lit("txt:p"), s["slot_order"].cast("string"), F.lit(":r0:s0")))))
+    d = session_rows(spark, sf_dir).withColumn("anchored", F.transform("slots", lambda s: s.withField("slot_id", F.concat(F.lit("txt:p"), s["slot_order"].cast("string"), F.lit(":r0:s0")))))
     k, now = F.col("doc_id") % 6, F.sha2("text", 256)
     anchors = F.transform("slots", lambda s: F.concat(F.lit("txt:p"), s["slot_order"].cast("string"), F.lit(":r0")))
     rows = d.select(
@@ -224,7 +224,7 @@ SELECT doc_id, string_agg(CASE WHEN i % 3 = 0 THEN line || ' new' ELSE line END,
   CASE WHEN doc_id % 3 = 0 AND count(*) FILTER (WHERE editable) > 0 THEN 'count' END AS error,
   CASE WHEN NOT (doc_id % 3 = 0 AND count(*) FILTER (WHERE editable) > 0) THEN string_agg(CASE WHEN i % 3 = 0 AND editable THEN line || ' new' ELSE line END, chr(10) ORDER BY i) END AS saved FROM l GROUP BY doc_id""")
 def editor_edits(spark, sf_dir):
-    d = _sessions(spark, sf_dir).withColumn("overrides", _overrides())
+    d = session_rows(spark, sf_dir).withColumn("overrides", _overrides())
     edits = editor.slot_edits(F.col("slots"), F.col("overrides"))
     d = d.withColumn("edits", edits)
     given = F.when(F.col("doc_id") % 3 == 0, F.slice("edits", F.lit(2), F.size("edits"))).otherwise(F.col("edits"))
@@ -239,7 +239,7 @@ SELECT doc_id, 'slot-s' || i AS hunk_id, CAST(row_number() OVER (PARTITION BY do
   CASE WHEN 2 * length(line) + 4 > 8000 THEN length(regexp_replace(line, '\\s', '', 'g')) ELSE 0 END::INT AS deleted,
   CASE WHEN 2 * length(line) + 4 > 8000 THEN 'delete:' || line || '|insert:' || line || ' new' WHEN line = '' THEN 'insert: new' ELSE 'unchanged:' || line || '|insert: new' END AS spans FROM l WHERE editable AND i % 3 = 0""")
 def slot_hunks(spark, sf_dir):
-    found = editor.slot_hunks(_sessions(spark, sf_dir).withColumn("overrides", _overrides()).select("doc_id", "slots", "overrides"))
+    found = editor.slot_hunks(session_rows(spark, sf_dir).withColumn("overrides", _overrides()).select("doc_id", "slots", "overrides"))
     return found.withColumn("spans", F.array_join(F.transform("spans", lambda s: F.concat(s["type"], F.lit(":"), s["text"])), "|"))
 
 
@@ -249,7 +249,7 @@ SELECT doc_id, 'rewrite-unit-unit-0' AS hunk_id, 1 AS sequence, t0 AS before, CA
   CASE WHEN long AND n > 1 THEN 0 WHEN long THEN k0 + 7 ELSE 7 END::INT AS inserted, CASE WHEN long THEN k0 ELSE 0 END::INT AS deleted FROM h
 UNION ALL SELECT doc_id, 'rewrite-unit-unit-1', 2, t1, '<<new>>' || t0 || t1, (k0 + 7)::INT, 0 FROM h WHERE long AND n > 1""")
 def unit_hunks(spark, sf_dir):
-    d = _sessions(spark, sf_dir)
+    d = session_rows(spark, sf_dir)
     units = F.transform("slots", lambda s: struct(unit_id=F.concat(F.lit("unit-"), s["slot_order"].cast("string")), text=F.concat(s["text"], s["separator_after"])))
     found = editor.unit_hunks(d.select("doc_id", units.alias("units"), F.concat(F.lit("<<new>>"), "text").alias("text")))
     return found.drop("spans")

@@ -1,6 +1,6 @@
 import pytest
 
-from foliant import office_queries, place_queries, queries, session_queries, stream_queries  # noqa: F401
+from foliant import office_queries, output_queries, place_queries, queries, session_queries, stream_queries  # noqa: F401
 from tests.oracle import check
 
 SF = "/root/testdata/sf0.001"
