@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.operators import finalize, page_chunks, preview, regroup, segment, template, writeback
+from foliant.operators import display, finalize, page_chunks, preview, regroup, segment, template, writeback
 from foliant.operators.segment import struct
 from foliant.plans.scratch import scratch_path
 from foliant.queries import PARAGRAPHS, query, slots_sql, texts
@@ -128,3 +128,33 @@ SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY min(slot_ord
   CASE WHEN bool_or(editable) THEN 'editableText' ELSE 'lockedText' END AS role, CAST(count(*) AS INT) AS n_slots FROM g GROUP BY doc_id, anchor""")
 def regrouped_regions(spark, sf_dir):
     return regroup.regions(texts(spark, sf_dir, PARAGRAPHS).select("doc_id", segment.slot_array(F.col("text")).alias("slots")))
+
+
+# Every line of a text in one of ten kinds of markup; characters that are markup themselves are changed first.
+_PLAIN = "replace(replace(translate(line, '`[]<$' || chr(92) || chr(13), '____S//'), 'http', 'hxxp'), 'www.', 'vvv.')"
+_MARKS = [
+    [("", "'a '"), ("code", "'`' || x || 'x`'"), ("", "' b'")],
+    [("", "'see '"), ("link", "'[' || x || '](x(y)z)'"), ("", "' end'")],
+    [("link", "'![' || x || '] [ref]'")],
+    [("", "'q'"), ("footnote", "'[^' || x || ']'")],
+    [("citation", "'[@' || x || ']'")],
+    [("autolink", "'<https://e.org/' || i || '>'"), ("", "x")],
+    [("html-tag", "'<b>'"), ("", "x"), ("html-tag", "'</b>'")],
+    [("", "x || ' '"), ("url", "'https://e.org/a?b=1'"), ("", "'.'")],
+    [("math-block", "'$$' || chr(10) || x || chr(10) || '$$'")],
+    [("", "x || ' '"), ("math", "'$a' || chr(92) || '$b$'"), ("", "' '"), ("html-comment", "'<!-- ' || i || ' -->'")],
+]
+_MARKED_LINE = "CASE (doc_id + i) % 10 " + " ".join(f"WHEN {k} THEN {' || '.join(x for _, x in parts)}" for k, parts in enumerate(_MARKS)) + " END"
+_MARK_ROWS = " UNION ALL ".join(f"SELECT doc_id, i, {o} AS o, '{kind}' AS k, {x} AS t FROM x WHERE (doc_id + i) % 10 = {m}" for m, parts in enumerate(_MARKS) for o, (kind, x) in enumerate(parts))
+
+
+@query(f"""WITH {LINES}, x AS (SELECT doc_id, i, n, {_PLAIN} AS x FROM l), y AS ({_MARK_ROWS}),
+e AS (SELECT doc_id, i, 9 AS o, CASE WHEN (doc_id + i) % 10 = 8 THEN 'math-block' ELSE '' END AS k, chr(10) AS t FROM x WHERE i < n - 1),
+z AS (SELECT * FROM (SELECT * FROM y UNION ALL SELECT * FROM e) WHERE t <> ''),
+g AS (SELECT *, sum(CASE WHEN k = before AND (k = '' OR (k = 'math-block' AND o = 9)) THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i, o) AS run FROM (SELECT *, lag(k) OVER (PARTITION BY doc_id ORDER BY i, o) AS before FROM z))
+SELECT doc_id, CAST(run - 1 AS INT) AS segment, CASE WHEN any_value(k) = '' THEN 'text' ELSE 'protected' END AS kind, string_agg(t, '' ORDER BY i, o) AS text, nullif(any_value(k), '') AS protect_kind FROM g GROUP BY doc_id, run""")
+def display_segments(spark, sf_dir):
+    """Every text with all of its lines, marked up line by line, cut into what is shown as text and as protected."""
+    lines = session_rows(spark, sf_dir).select("doc_id", F.posexplode("slots").alias("i", "s")).select("doc_id", "i", F.col("s.text").alias("line")).withColumn("x", F.expr(_PLAIN))
+    whole = lines.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", F.expr(_MARKED_LINE).alias("m")))), lambda r: r["m"]), "\n").alias("text"))
+    return display.segments(whole).drop("label")
