@@ -399,3 +399,39 @@ def test_mix_edge_among_repeated_rows(spark):
     again = mixing.mix(docs.repartition(3)).collect()
     key = lambda r: (r["source"], r["doc_id"], r["size"], r["taken"])
     assert sorted(map(key, got)) == sorted(map(key, again))
+
+
+# Quality against a plain Bradley-Terry fit
+
+
+def test_quality_is_plain_bradley_terry(spark):
+    """The same pairs, by small steps up the gradient of the log likelihood instead of Newton's; whole texts scored by the formula."""
+    import math
+
+    from foliant.llm import quality
+
+    docs, labels = (common.read_table(spark, SF, t) for t in ("documents", "labels"))
+    known = sorted((r["doc_id"], r["text"], r["quality"]) for r in docs.join(labels, "doc_id").filter("quality IS NOT NULL").collect())
+    rows = np.array([quality.features(t.encode()) for _, t, _ in known])
+    good = np.array([q == 1 for *_, q in known])
+    pairs = 400
+    model = quality.fit(rows, good, pairs)
+    center, scale = rows.mean(0), np.maximum(rows.std(0), 1e-9)
+    z = np.array([[*(v := [max(-6.0, min(6.0, (x - c) / s)) for x, c, s in zip(row, center, scale, strict=True)]), *(x * x for x in v)] for row in rows])
+    rng = np.random.default_rng(quality.SEED)
+    winners, losers = rng.choice(np.flatnonzero(good), pairs), rng.choice(np.flatnonzero(~good), pairs)
+    differ = z[winners] - z[losers]
+    ridge = pairs / 2000
+    steep = np.linalg.norm(differ, 2) ** 2 / 4 + ridge
+    w = ahead = np.zeros(z.shape[1])
+    momentum = (1 - math.sqrt(ridge / steep)) / (1 + math.sqrt(ridge / steep))
+    for _ in range(20_000):
+        new = ahead + (differ.T @ (1 / (1 + np.exp(differ @ ahead))) - ridge * ahead) / steep
+        w, ahead = new, new + momentum * (new - w)
+    utility = z @ w
+    assert np.abs(utility - model.utility(rows)).max() < 0.02 * np.abs(utility).max()
+    cut = float(np.quantile(utility, 1 - good.mean()))
+    odds = math.log(quality.CUT_SCORE / (1 - quality.CUT_SCORE))
+    want = [1 / (1 + math.exp(-max(-40, min(40, model.slope * (u - cut) + odds)))) for u in utility]
+    got = {r["doc_id"]: r["score"] for r in quality.score(docs, model).collect()}
+    assert max(abs(got[k] - s) for (k, *_), s in zip(known, want, strict=True)) < 0.05
