@@ -120,6 +120,11 @@ def script_counts(text: Column) -> dict[str, Column]:
     return out | {"total": out["cjk"] + out["latin"] + out["digits"]}
 
 
+def mostly_of(count: Column, total: Column, script: str) -> Column:
+    """mostly() from columns that script_counts() has already given."""
+    return (total >= 20) & (F.floor(count * 100 / F.greatest(total, F.lit(1))) >= {"cjk": 40, "latin": 60}[script])
+
+
 def mostly(text: Column, script: str) -> Column:
     """At least 40 % CJK or 60 % Latin of 20 or more counted characters."""
     counts = F.array(*script_counts(text).values())

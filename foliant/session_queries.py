@@ -255,9 +255,15 @@ def unit_hunks(spark, sf_dir):
     return found.drop("spans")
 
 
-@query("SELECT doc_id, trim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS text, CASE WHEN trim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') = '' THEN 'empty' END AS error, CASE doc_id % 4 WHEN 0 THEN 'whole' WHEN 1 THEN 'events' WHEN 2 THEN 'lines' ELSE 'parts' END AS shape FROM documents WHERE trim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') <> ''")
+#: Every ninth text is empty, every ninth blank; a reply to every ninth other one is none.
+_REPLY = "CASE doc_id % 9 WHEN 0 THEN '' WHEN 1 THEN ' ' || chr(10) ELSE text END"
+
+
+@query(f"""WITH d AS (SELECT doc_id, {_REPLY} AS text FROM documents), r AS (SELECT *, trim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS words FROM d),
+e AS (SELECT *, CASE WHEN doc_id % 9 = 2 THEN CASE WHEN doc_id % 4 IN (0, 3) THEN 'not_json' ELSE 'no_data' END WHEN doc_id % 4 = 3 AND text = '' THEN 'no_text' WHEN words = '' THEN 'empty' END AS error FROM r)
+SELECT doc_id, CASE WHEN error IS NULL THEN words END AS text, error, CASE doc_id % 4 WHEN 0 THEN 'whole' WHEN 1 THEN 'events' WHEN 2 THEN 'lines' ELSE 'parts' END AS shape FROM e""")
 def model_replies(spark, sf_dir):
-    d = texts(spark, sf_dir).filter(~t.is_blank(F.col("text")))
+    d = texts(spark, sf_dir, _REPLY)
     k = F.col("doc_id") % 4
     choice = lambda body: F.to_json(F.struct(F.array(body).alias("choices")))
     halves = F.array(F.substr("text", F.lit(1), (F.length("text") / 2).cast("int")), F.substr("text", (F.length("text") / 2).cast("int") + 1))
@@ -266,7 +272,7 @@ def model_replies(spark, sf_dir):
     rows = F.array_join(F.transform(halves, delta), "\n")
     whole = choice(F.struct(F.struct(F.col("text").alias("content")).alias("message")))
     parts = choice(F.struct(F.struct(F.transform(halves, lambda x: F.struct(x.alias("text"))).alias("content")).alias("message")))
-    d = d.select("doc_id", F.when(k == 0, whole).when(k == 1, events).when(k == 2, rows).otherwise(parts).alias("body"), k.alias("k"))
+    d = d.select("doc_id", F.when(F.col("doc_id") % 9 == 2, F.concat(F.lit("no reply: "), "text")).when(k == 0, whole).when(k == 1, events).when(k == 2, rows).otherwise(parts).alias("body"), k.alias("k"))
     found = F.when(k.isin(0, 3), protocol.reply(F.col("body"))).otherwise(protocol.stream(F.col("body")))
     shape = F.when(k == 0, "whole").when(k == 1, "events").when(k == 2, "lines").otherwise("parts")
     return d.select("doc_id", found.alias("r"), shape.alias("shape")).select("doc_id", "r.text", "r.error", "shape")
@@ -274,14 +280,13 @@ def model_replies(spark, sf_dir):
 
 @query("""WITH c AS (SELECT doc_id, text, CAST(pow(length(text), doc_id % 5) AS DOUBLE) AS n FROM documents),
 k AS (SELECT *, CASE WHEN n >= 1099511627776 THEN 4 WHEN n >= 1073741824 THEN 3 WHEN n >= 1048576 THEN 2 WHEN n >= 1024 THEN 1 ELSE 0 END AS k FROM c), v AS (SELECT *, n / pow(1024, k) AS v FROM k)
-SELECT doc_id, regexp_replace(substr(text, 1, 30), '[<>:"/\\\\|?*\\x00-\\x1f]', '_', 'g') AS file_name,
+SELECT doc_id, coalesce(nullif(regexp_replace(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '[<>:"/\\\\|?*\\x00-\\x1f]', '_', 'g'), ''), 'result') AS file_name,
   CASE WHEN n <= 0 THEN '0 B' ELSE CASE WHEN v >= 100 OR k = 0 THEN format('{:.0f}', round(v)) WHEN v >= 10 THEN format('{:.1f}', round(v, 1)) ELSE format('{:.2f}', round(v, 2)) END || ' ' || ['B', 'KB', 'MB', 'GB', 'TB'][k + 1] END AS size,
   lower(hex(abs(CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END))) AS hash
 FROM (SELECT *, coalesce(list_reduce(list_transform(string_split(text, ''), lambda c: CAST(ord(c) AS BIGINT)), lambda h, c: (h * 31 + c) % 4294967296), 0) AS h FROM v)""")
 def names_and_sizes(spark, sf_dir):
     d = texts(spark, sf_dir).withColumn("n", F.pow(F.length("text"), F.col("doc_id") % 5))
-    name = F.regexp_replace(F.substr("text", F.lit(1), F.lit(30)), r'[<>:"/\\|?*\x00-\x1f]', "_")
-    return d.select("doc_id", name.alias("file_name"), names.byte_size(F.col("n")).alias("size"), names.short_hash(F.col("text")).alias("hash"))
+    return d.select("doc_id", names.file_name(F.col("text")).alias("file_name"), names.byte_size(F.col("n")).alias("size"), names.short_hash(F.col("text")).alias("hash"))
 
 
 NAMESPACE = bytes(range(16))
@@ -362,7 +367,7 @@ def tex_slots(spark, sf_dir):
     return template.slots(_marked(spark, sf_dir, "\\textbf{", "} $x$ \\cite{en}\n", "tex"))
 
 
-@query(f"""WITH {_CLEAN} SELECT doc_id, coalesce(sum(8), 0)::BIGINT AS n_regions, coalesce(count(*), 0) AS n_editable, coalesce(string_agg('- ' || w || ' <b> `x`' || chr(10), '' ORDER BY j), '') AS text FROM w GROUP BY doc_id""".replace("sum(8)", "sum(5)"))
+@query(f"""WITH {_CLEAN} SELECT doc_id, coalesce(sum(5), 0)::BIGINT AS n_regions, coalesce(count(*), 0) AS n_editable, coalesce(string_agg('- ' || w || ' <b> `x`' || chr(10), '' ORDER BY j), '') AS text FROM w GROUP BY doc_id""")
 def markdown_regions(spark, sf_dir):
     found = template.region_arrays(_marked(spark, sf_dir, "- ", " <b> `x`\n", "markdown")).filter("size(regions) > 0")
     whole = F.array_join(F.transform("regions", lambda r: F.concat(r["text"], r["separator_after"])), "")
