@@ -2,7 +2,8 @@ import random
 
 import pytest
 
-from foliant.operators.markdown_blocks import blocks_of, markdown_blocks
+from foliant.operators.markdown_blocks import markdown_blocks
+from tests.plain_markdown import blocks_of
 
 
 @pytest.mark.parametrize(
@@ -38,3 +39,17 @@ def test_lossless(spark):
     for r in markdown_blocks(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id", "block_idx").collect():
         got[r["doc_id"]] = got.get(r["doc_id"], "") + r["text"]
     assert got == {k: x for k, x in rows if x}
+
+
+def test_automaton_is_the_plain_one(spark):
+    """Random lines of all kinds, texts over several stretches of the fold, front matter early and late."""
+    rng = random.Random(9)
+    bits = ["# a", "#b", "```", "````", "```py", "~~~", "$$", " $$ ", "- x", "  - y", "12. z", "> y", "  > w", "a | b", "--- | ---", "|---|", "---", "===", "...", "    c", "\tc", "text", "", " ", "[a]: b", "<p>", "* * *", "\ufeff---", "   "]
+    ends = ["\n", "\n", "\n", "\r\n", "\r"]
+    lines = lambda n: "".join(rng.choice(bits) + rng.choice(ends) for _ in range(n))
+    texts = [lines(rng.randint(0, 30)) + rng.choice(bits) for _ in range(500)] + [lines(1000) for _ in range(5)] + ["---\n" + "k\n" * n + "---\nx" for n in (0, 198, 199, 200, 201)] + ["\n \n\ufeff---\na\n...\n\n# h", "---"]
+    got = {}
+    for r in markdown_blocks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id", "block_idx").collect():
+        got.setdefault(r["doc_id"], []).append((r["kind"], r["text"]))
+    for k, text in enumerate(texts):
+        assert got.get(k, []) == blocks_of(text), repr(text)[:300]
