@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +58,15 @@ def unpacked(df: DataFrame, names: list[str], column: str = "kept") -> DataFrame
     return df.select(*(F.col(column).getField(c).alias(c) for c in names))
 
 
+def give_back() -> None:
+    """Returns freed memory to the machine, at the end of a task: Spark keeps a Python worker for later tasks, beside whose JVM it would stay."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only."""
     return F.translate(text, UPPER, LOWER)

@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import BROADCAST_ROWS, ROW, join_salted, join_weighted, keyed_rows, small, stored, unpacked, without_rows
+from foliant.llm.common import BROADCAST_ROWS, ROW, give_back, join_salted, join_weighted, keyed_rows, small, stored, unpacked, without_rows
 from foliant.llm.components import connected_components
 
 #: A-Z lower-cased, ASCII white space as space, all other bytes as they are.
@@ -132,6 +132,8 @@ def _blocks(n: int, range_bits: int):
                     held, size = [], 0
         if size:
             yield cut(held)
+        held = batch = None
+        give_back()
 
     return run
 
@@ -216,6 +218,8 @@ def _prefixes(n: int, num: int, den: int, bitmaps):
                 ],
                 ["doc_id", "n_shingles", "rare", "cls", "grp", "pos", "shingle"],
             )
+        batch = sizes = rare = classes = groups = places = prefixes = None
+        give_back()
 
     return run
 
@@ -246,6 +250,8 @@ def _sets(n: int, wanted, wanted_bits: int):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(classes, pa.binary()), pa.array(sets, pa.list_(pa.int64())), pa.array(parities, pa.binary())], ["cls", "shingles", "parity"]
             )
+        batch = classes = sets = parities = seen = bits = None
+        give_back()
 
     return run
 

@@ -14,8 +14,6 @@ that table. The tokenizers' files are read by the driver and sent to the executo
 from __future__ import annotations
 
 import bisect
-import ctypes
-import gc
 import hashlib
 import json
 import os
@@ -29,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import BROADCAST_ROWS, stored
+from foliant.llm.common import BROADCAST_ROWS, give_back, stored
 
 FOLDER = "/opt/tokenizers"
 FILE_A, FILE_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -172,15 +170,6 @@ class Encoders:
         return tuple(out)
 
 
-def _give_back() -> None:
-    """Returns freed memory to the machine: Spark keeps a Python worker for later tasks, beside whose JVM it would stay otherwise."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
-    if trim:
-        trim(0)
-
-
 def crossing(ends_a: np.ndarray, ends_b: np.ndarray, diagonal: int) -> tuple[int, int]:
     """How many of A's and B's ends are the first `diagonal` of their merged order; an end they share is never parted.
 
@@ -268,7 +257,7 @@ def _tokenise(files, work: int):
                 columns = [*taken, pa.array(piece, pa.int32()), pa.array(pieces, pa.int32()), *kept, *told]
                 yield pa.RecordBatch.from_arrays(columns, names=[*(batch.schema.names[k] for k in rest), "piece", "pieces", *SIDES, "n_a", "n_b", "link_a", "link_b", "groups_sha256"])
         del encoders
-        _give_back()
+        give_back()
 
     return run
 
