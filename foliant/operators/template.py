@@ -1,7 +1,8 @@
 """One way from the texts of every textual format to slots: blocks, regions, slots.
 
-Markdown and TeX texts are scanned into regions in Arrow batches; plain texts have one region for each paragraph. Slots
-are made from the regions by expressions inside the row, for all formats alike.
+Blocks of Markdown texts are native expressions; inline markup of Markdown, and TeX texts, are scanned into regions in Arrow
+batches; plain texts have one region for each paragraph. Slots are made from the regions by expressions inside the row, for all
+formats alike.
 """
 
 from __future__ import annotations
@@ -22,11 +23,11 @@ from foliant.operators.segment import SLOT, inlined, paragraph_pieces, slot_arra
 REGION = "struct<anchor:string,block_kind:string,text:string,separator_after:string,editable:boolean,role:string,split_mode:string>"
 
 
-def _blocks(text: str, kind: str, headings: bool):
-    """(anchor, kind, regions) of each block."""
-    if kind == "markdown":
-        for i, (block, x) in enumerate(markdown_blocks.blocks_of(text)):
-            yield f"md:b{i}", block, markdown_regions.regions_of(x, block, headings)
+def _blocks(text: str, blocks: list[dict] | None, headings: bool):
+    """(anchor, kind, regions) of each block: those that are given, of Markdown, or those of a TeX text."""
+    if blocks is not None:
+        for i, b in enumerate(blocks):
+            yield f"md:b{i}", b["kind"], markdown_regions.regions_of(b["text"], b["kind"], headings)
     else:
         for i, (block, x) in enumerate(tex_blocks.blocks_of(text)):
             yield f"tex:b{i}", block, tex_regions.regions_of(x, headings)
@@ -39,9 +40,9 @@ def _scan(headings: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text, kind in zip(batch.column("text").to_pylist(), batch.column("format").to_pylist(), strict=True):
+            for text, blocks in zip(batch.column("text").to_pylist(), batch.column("blocks").to_pylist(), strict=True):
                 found = []
-                for anchor, block, regions in _blocks(text or "", kind, headings):
+                for anchor, block, regions in _blocks(text or "", blocks, headings):
                     for j, (code, body) in enumerate(regions):
                         role, editable, split = KINDS[code]
                         found.append(dict(zip(names, (f"{anchor}:r{j}", block, *parted(body), editable, role, split), strict=True)))
@@ -54,7 +55,9 @@ def _scan(headings: bool):
 def region_arrays(docs: DataFrame, headings: bool = False) -> DataFrame:
     """doc_id, regions of Markdown and TeX texts. docs: doc_id, text, format (markdown or tex). No shuffle."""
     id_kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", "format").mapInArrow(_scan(headings), f"doc_id {id_kind}, regions array<{REGION}>")
+    is_markdown = F.col("format") == "markdown"
+    blocks = F.when(is_markdown, markdown_blocks.block_array(F.col("text")))
+    return docs.select("doc_id", F.when(~is_markdown, F.col("text")).alias("text"), blocks.alias("blocks")).mapInArrow(_scan(headings), f"doc_id {id_kind}, regions array<{REGION}>")
 
 
 def regions(docs: DataFrame, headings: bool = False) -> DataFrame:

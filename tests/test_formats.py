@@ -6,16 +6,17 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliant.functions import names
-from foliant.operators import commit, diff, editor, markdown_blocks, markdown_regions, targets, template, tex_blocks, tex_regions, writeback
+from foliant.operators import commit, diff, editor, markdown_regions, targets, template, tex_blocks, tex_regions, writeback
 from foliant.operators.segment import joined, struct
 from foliant.plans import protocol
+from tests import plain_markdown
 
 CODES = "TALSO"
 
 
 def markdown(text, headings=False):
     out = []
-    for kind, block in markdown_blocks.blocks_of(text):
+    for kind, block in plain_markdown.blocks_of(text):
         out += markdown_regions.regions_of(block, kind, headings)
     assert "".join(x for _, x in out) == text
     return [(CODES[k], x) for k, x in out]
