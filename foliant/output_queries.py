@@ -158,3 +158,28 @@ def display_segments(spark, sf_dir):
     lines = session_rows(spark, sf_dir).select("doc_id", F.posexplode("slots").alias("i", "s")).select("doc_id", "i", F.col("s.text").alias("line")).withColumn("x", F.expr(_PLAIN))
     whole = lines.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", F.expr(_MARKED_LINE).alias("m")))), lambda r: r["m"]), "\n").alias("text"))
     return display.segments(whole).drop("label")
+
+
+_TEX_PLAIN = "translate(line, '%$[]{}|' || chr(92) || chr(13), '_________') || 'x'"
+_TEX_MARKS = [
+    [("", "'a '"), ("tex-comment", "'% ' || x")],
+    [("tex-command", "'@emph{'"), ("", "x"), ("tex-command", "'}'")],
+    [("tex-math", "'$a$'"), ("", "' ' || x")],
+    [("tex-raw-env", "'@begin{verbatim}' || x || '@end{verbatim}'"), ("", "'.'")],
+    [("tex-math-block", "'$$' || x || '$$'"), ("", "' t'")],
+    [("tex-verbatim", "'@verb|' || x || '|'"), ("", "'.'")],
+    [("tex-command", "'@cite{' || x || '}'"), ("", "'. ' || x")],
+]
+_SLASHED = lambda x: f"replace({x}, '@', chr(92))" if "'@" in x else x
+_TEX_LINE = f"CASE (doc_id + i) % {len(_TEX_MARKS)} " + " ".join(f"WHEN {k} THEN {' || '.join(_SLASHED(x) for _, x in parts)}" for k, parts in enumerate(_TEX_MARKS)) + " END"
+_TEX_ROWS = " UNION ALL ".join(f"SELECT doc_id, i, {o} AS o, '{kind}' AS k, {_SLASHED(x)} AS t FROM x WHERE (doc_id + i) % {len(_TEX_MARKS)} = {m}" for m, parts in enumerate(_TEX_MARKS) for o, (kind, x) in enumerate(parts))
+
+
+@query(f"""WITH {LINES}, x AS (SELECT doc_id, i, n, replace({_TEX_PLAIN}, '@', '_') AS x FROM l), z AS ({_TEX_ROWS} UNION ALL SELECT doc_id, i, 9, '', chr(10) FROM x WHERE i < n - 1),
+g AS (SELECT *, sum(CASE WHEN k = '' AND before = '' THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i, o) AS run FROM (SELECT *, lag(k) OVER (PARTITION BY doc_id ORDER BY i, o) AS before FROM z))
+SELECT doc_id, CAST(run - 1 AS INT) AS segment, CASE WHEN any_value(k) = '' THEN 'text' ELSE 'protected' END AS kind, string_agg(t, '' ORDER BY i, o) AS text, nullif(any_value(k), '') AS protect_kind FROM g GROUP BY doc_id, run""")
+def display_segments_tex(spark, sf_dir):
+    """As display_segments, in TeX."""
+    lines = session_rows(spark, sf_dir).select("doc_id", F.posexplode("slots").alias("i", "s")).select("doc_id", "i", F.col("s.text").alias("line")).withColumn("x", F.expr(f"replace({_TEX_PLAIN}, '@', '_')"))
+    whole = lines.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", F.expr(_TEX_LINE).alias("m")))), lambda r: r["m"]), "\n").alias("text"))
+    return display.segments(whole, "tex").drop("label")

@@ -1,4 +1,4 @@
-"""Sessions as JSON: reading with the migration of older files, saving, deleting, finalizing."""
+"""Sessions as JSON: reading with the migration of older files, saving, deleting. Finalizing is in operators.finalize."""
 
 from __future__ import annotations
 

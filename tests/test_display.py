@@ -127,3 +127,129 @@ def test_long_texts(spark):
     back = df.select("doc_id", F.aggregate(display.markdown_segments(F.col("text")), F.lit(0), lambda a, s: a + F.length(s["text"])).alias("n")).collect()
     assert {r["doc_id"]: r["n"] for r in back} == {k: len(t) for k, t in enumerate(texts)}
     assert time.perf_counter() - began < 120
+
+
+def plain_tex(x):
+    """(protect_kind or None, text) by scanning; as the markup's own grammar reads it."""
+    out, k, text = [], 0, ""
+
+    def white(k):
+        while k < len(x) and x[k] in "\t\n\r ":
+            k += 1
+        return k
+
+    def braces(k):
+        depth = 0
+        while k < len(x):
+            if x[k] == "\\":
+                k += 2
+                continue
+            depth += (x[k] == "{") - (x[k] == "}")
+            k += 1
+            if depth == 0:
+                return k
+        return len(x)
+
+    def options(k):
+        k = white(k)
+        while x[k : k + 1] == "[":
+            end = group_end(x, k, "[", "]")
+            if end is None:
+                return len(x)
+            k = white(end)
+        return k
+
+    def name(k):
+        m = re.compile(r"\\([A-Za-z]+)(\*?)").match(x, k)
+        return (m[1], m.end()) if m else (None, k + 2)
+
+    def line_break(k):
+        k = white(k + 2 + (x[k + 2 : k + 3] == "*"))
+        return k if x[k : k + 1] != "[" else group_end(x, k, "[", "]") or len(x)
+
+    def part(k):
+        free = len(re.search(r"\\*\Z", x[:k])[0]) % 2 == 0
+        if free and x[k] == "%":
+            return "tex-comment", re.compile(r"[^\r\n]*").match(x, k).end()
+        if free and x.startswith("\\\\", k):
+            return "tex-linebreak", line_break(k)
+        m = re.compile(r"\\begin\{([^}]+)\}").match(x, k)
+        if free and m and m[1] in display.MATH_ENVIRONMENTS + display.RAW_ENVIRONMENTS:
+            end = x.find(f"\\end{{{m[1]}}}", m.end())
+            return "tex-math-block" if m[1] in display.MATH_ENVIRONMENTS else "tex-raw-env", len(x) if end < 0 else end + len(m[1]) + 6
+        if free and x.startswith("$$", k):
+            for e in range(k + 2, len(x) - 1):
+                if x[e : e + 2] == "$$" and len(re.search(r"\\*\Z", x[:e])[0]) % 2 == 0:
+                    return "tex-math-block", e + 2
+        elif free and x[k] == "$":
+            m = re.compile(r"\$(?:[^$\\\r\n]|\\[^\r\n])+\$").match(x, k)
+            if m:
+                return "tex-math", m.end()
+        for opening, closing, kind, line in (("\\(", "\\)", "tex-math", True), ("\\[", "\\]", "tex-math-block", False)):
+            if free and x.startswith(opening, k):
+                end = x.find(closing, k + 2)
+                if end >= 0 and not (line and re.search(r"[\r\n]", x[k:end])):
+                    return kind, end + 2
+        for command, kind in (("\\verb", "tex-verbatim"), ("\\lstinline", "tex-inline-code"), ("\\path", "tex-path")):
+            if x.startswith(command, k):
+                at = k + len(command)
+                at += x[at : at + 1] == "*"
+                at = at if kind == "tex-verbatim" else options(at)
+                if at < len(x) and not x[at].isspace() and (kind == "tex-verbatim" or x[at] not in "{}"):
+                    end = x.find(x[at], at + 1)
+                    return kind, len(x) if end < 0 else end + 1
+        if x[k] == "\\" and k + 1 < len(x):
+            own, at = name(k)
+            if own is None:
+                return "tex-command", line_break(k) if x.startswith("\\\\", k) else at
+            while True:
+                at = options(at)
+                if x[at : at + 1] != "{":
+                    return "tex-command", at
+                at = braces(at)
+        return None
+
+    def text_command(k):
+        if x[k] != "\\":
+            return None
+        own, at = name(k)
+        if own not in display.TEXT_COMMANDS:
+            return None
+        at = options(at)
+        return (at, braces(at)) if x[at : at + 1] == "{" and braces(at) > at + 1 else None
+
+    while k < len(x):
+        inner, found = text_command(k), part(k)
+        if (inner or found) and text:
+            out.append((None, text))
+            text = ""
+        if inner:
+            at, end = inner
+            out += [("tex-command", x[k : at + 1]), *plain_tex(x[at + 1 : end - 1]), ("tex-command", x[end - 1 : end])]
+            k = end
+        elif found:
+            out.append((found[0], x[k : found[1]]))
+            k = found[1]
+        else:
+            text += x[k]
+            k += 1
+    return out + ([(None, text)] if text or not out else [])
+
+
+TEX_BITS = ["\\emph", "\\textbf*", "\\cite", "\\verb", "\\verb*", "\\lstinline", "\\path", "\\begin{align}", "\\end{align}", "\\begin{verbatim}", "\\end{verbatim}", "\\begin{x}", "{", "}", "{", "}", "[", "]", "a", "b c", "%", "\\%", "$", "$$", "\\$", "\\\\", "\\", "\\(", "\\)", "\\[", "\\]", "|", "\n", " ", "*", "汉"]
+
+
+def test_random_tex(spark):
+    rng = random.Random(10)
+    cases = ["", "\\emph{a \\textbf{b $c$} d} e", "\\footnote[1]{x", "\\emph", "\\cite [a] {b} c", "a % b\nc", *("".join(rng.choice(TEX_BITS) for _ in range(rng.randint(1, 14))) for _ in range(800))]
+    got = {}
+    for r in display.segments(spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string"), "tex").orderBy("doc_id", "segment").collect():
+        got.setdefault(r["doc_id"], []).append((r["protect_kind"], r["text"]))
+    deep = 0
+    for k, text in enumerate(cases):
+        assert "".join(t for _, t in got[k]) == text
+        if len(re.findall(r"\\emph|\\textbf", text)) > display.TEXT_DEPTH:
+            deep += 1
+        else:
+            assert got[k] == plain_tex(text), repr(text)
+    assert deep < 100
