@@ -111,9 +111,11 @@ def join_salted(left: DataFrame, right: DataFrame, key: str, by: str, counted: D
     if total <= HEAVY_LEAST:
         return left.join(right, key)
     heavy = counted.groupBy(key).agg(F.count("*").alias("n")).filter((F.col("n") > HEAVY_LEAST) & (F.col("n") * HEAVY_PART > total))
-    heavy = stored(heavy.select(key, F.ceil(F.col("n") * HEAVY_PART / F.lit(total)).cast("int").alias("salts")), "heavy")
-    if heavy.isEmpty():
+    found = heavy.select(key, F.ceil(F.col("n") * HEAVY_PART / F.lit(total)).cast("int").alias("salts"))
+    rows = found.collect()  # fewer than HEAVY_PART
+    if not rows:
         return left.join(right, key)
+    heavy = left.sparkSession.createDataFrame(rows, found.schema)
     salts = F.coalesce("salts", F.lit(1))
     dealt = left.join(F.broadcast(heavy), key, "left").withColumn("salt", F.pmod(F.xxhash64(by), salts).cast("int")).drop("salts")
     copied = right.join(F.broadcast(heavy), key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")

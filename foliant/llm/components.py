@@ -5,19 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import join_weighted, stored
+from foliant.llm.common import BROADCAST_ROWS, join_weighted, stored
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _with_least(edges: DataFrame, least: DataFrame, many: bool) -> DataFrame:
+    """edges joined to least (a, m, n), their node's least neighbour; where there are many, nodes with very many edges are split off."""
+    return join_weighted(edges, stored(least, "least"), ["a"], "n", "inner") if many else edges.join(least, "a")
+
+
+def _large_star(edges: DataFrame, many: bool) -> DataFrame:
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n")), "least")
-    return join_weighted(both.filter("b > a"), least, ["a"], "n", "inner").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+    return _with_least(both.filter("b > a"), least, many).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, many: bool) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = stored(down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "least")
-    moved = join_weighted(down, least, ["a"], "n", "inner").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    moved = _with_least(down, least, many).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
@@ -25,14 +30,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node) of every node that has an edge.
 
     edges: columns a and b of one orderable type; direction and repeats do not matter, loops are dropped.
-    The edges of a node with very many are split off before they are joined to it. Every round is written to the shared folder, so a lost executor costs one round at most. The rounds end when one
-    changes nothing; they grow with the logarithm of the longest chain.
+    Beyond BROADCAST_ROWS edges, those of a node with very many are split off before they are joined to it; fewer are little for one
+    task. Every round is written to the shared folder, so a lost executor costs one round at most. The rounds end when one changes
+    nothing; they grow with the logarithm of the longest chain.
     """
     down = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now = stored(down, "edges")
     before, mark = None, _mark(now)
     while mark != before:
-        now = stored(_small_star(stored(_large_star(now), "edges")), "edges")
+        many = mark[0] > BROADCAST_ROWS
+        large = _large_star(now, many)
+        now = stored(_small_star(stored(large, "edges") if many else large, many), "edges")
         before, mark = mark, _mark(now)
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
         now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()

@@ -369,6 +369,7 @@ def test_near_copies_with_hot_groups(spark, monkeypatch, least):
         monkeypatch.setattr(common, "HEAVY_PART", 20)
         monkeypatch.setattr(common, "small", lambda df, rows=0: False)
         monkeypatch.setattr(jaccard_join, "small", lambda df, rows=0: False)
+        monkeypatch.setattr(components, "BROADCAST_ROWS", 0)
     sets = {i: {tuple(t.split()[k : k + 3]) for k in range(len(t.split()) - 2)} for i, t in texts}
     label = {i: i for i in sets}
     changed = True
