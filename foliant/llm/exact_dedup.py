@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import ROW, join_weighted, keyed_rows, small, stored, unpacked, without_rows
+from foliant.llm.common import ROW, give_back, join_weighted, keyed_rows, sliced, small, stored, unpacked, without_rows
 
 WHITESPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 REMAINDER_BITS = 40
@@ -40,7 +40,7 @@ def _normalised(text: bytes | None) -> bytes:
 
 def _digests(texts: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             prints, shas, norms = [], [], []
             for text in batch.column("bytes"):
                 norm = _normalised(text.as_py())
@@ -53,6 +53,8 @@ def _digests(texts: bool):
                 [*batch.columns[:-2], pa.array(prints, pa.int64()), pa.array(shas, pa.binary()), *more],
                 [*batch.schema.names[:-2], "fingerprint", "sha", "norm" if texts else "n_points"],
             )
+        batch = prints = shas = norms = norm = text = more = None
+        give_back()
 
     return run
 

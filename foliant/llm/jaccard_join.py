@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import BROADCAST_ROWS, ROW, give_back, join_salted, join_weighted, keyed_rows, small, stored, unpacked, without_rows
+from foliant.llm.common import BROADCAST_ROWS, ROW, give_back, join_salted, join_weighted, keyed_rows, sliced, small, stored, unpacked, without_rows
 from foliant.llm.components import connected_components
 
 #: A-Z lower-cased, ASCII white space as space, all other bytes as they are.
@@ -106,33 +106,34 @@ def _unpacked(data: bytes) -> np.ndarray:
 def _blocks(n: int, range_bits: int):
     """Distinct shingles of a block of texts with their counts, by hash range; 32 bits below those of the range."""
 
-    def cut(held: list[np.ndarray]) -> pa.RecordBatch:
-        values = np.sort(np.concatenate(held) >> np.uint64(32 - range_bits))
-        first = _firsts(values)
-        values, counts = values[first], np.diff(first, append=len(values))
-        ranges = (values >> np.uint64(32)).astype(np.int64)
-        cuts = np.flatnonzero(np.r_[True, ranges[1:] != ranges[:-1], True])
-        low, counts = values.astype(np.uint32), np.minimum(counts, (1 << 32) - 1).astype(np.uint32)
-        spans = list(zip(cuts[:-1], cuts[1:], strict=True))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(ranges[cuts[:-1]]), pa.array([_packed(low[a:b]) for a, b in spans], pa.binary()), pa.array([zstandard.compress(counts[a:b].tobytes(), 1) for a, b in spans], pa.binary())],
-            ["range", "low", "counts"],
-        )
+    def cut(values: np.ndarray) -> pa.RecordBatch:
+        # in place, and each range by itself: all but the block is a 2 ** range_bits-th of it
+        values >>= np.uint64(32 - range_bits)
+        values.sort()
+        bounds = np.searchsorted(values, np.arange((1 << range_bits) + 1, dtype=np.uint64) << np.uint64(32))
+        ranges = np.flatnonzero(bounds[1:] > bounds[:-1])
+        lows, counts = [], []
+        for part in (values[bounds[r] : bounds[r + 1]] for r in ranges):
+            first = _firsts(part)
+            lows.append(_packed(part[first].astype(np.uint32)))
+            counts.append(zstandard.compress(np.diff(first, append=len(part)).astype(np.uint32).tobytes(), 1))
+        return pa.RecordBatch.from_arrays([pa.array(ranges), pa.array(lows, pa.binary()), pa.array(counts, pa.binary())], ["range", "low", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        block, size = np.empty(BLOCK, np.uint64), 0
         for batch in batches:
             for x in batch.column(0):
                 s = shingles(x.as_py(), n)
-                if len(s):
-                    held.append(s)
-                    size += len(s)
-                if size >= BLOCK:
-                    yield cut(held)
-                    held, size = [], 0
+                while len(s):
+                    part, s = s[: BLOCK - size], s[BLOCK - size :]
+                    block[size : size + len(part)] = part
+                    size += len(part)
+                    if size == BLOCK:
+                        yield cut(block)
+                        size = 0
         if size:
-            yield cut(held)
-        held = batch = None
+            yield cut(block[:size])
+        block = batch = s = part = None
         give_back()
 
     return run
@@ -193,7 +194,7 @@ def frequency_class(found: np.ndarray, bitmaps: list[np.ndarray]) -> np.ndarray:
 
 def _prefixes(n: int, num: int, den: int, bitmaps):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             sizes, rare, classes, groups, places, prefixes = [], [], [], [], [], []
             for x in batch.column("bytes"):
                 s = shingles(x.as_py(), n)
@@ -235,7 +236,7 @@ def _sets(n: int, wanted, wanted_bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = wanted.value
-        for batch in batches:
+        for batch in sliced(batches):
             classes, sets, parities, seen = [], [], [], set()
             for x in batch.column(0):
                 s = shingles(x.as_py(), n)
@@ -384,8 +385,8 @@ def _compared(num: int, den: int):
             same = keys[2][lo] == keys[3][lo]
             left = np.arange(lo, hi) if same else lo + np.flatnonzero(block[lo:hi] == keys[2][lo])
             right = left if same else lo + np.flatnonzero(block[lo:hi] == keys[3][lo])
-            for at in range(0, len(left), 256):
-                rows = left[at : at + 256]
+            for at in range(0, len(left), 64):
+                rows = left[at : at + 64]
                 total = sizes[rows][:, None] + sizes[right][None, :]
                 least = -(-num * total // (num + den))
                 may = (comps[rows][:, None] != comps[right][None, :]) & (least <= np.minimum(sizes[rows][:, None], sizes[right][None, :]))

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from foliant.llm.common import packed, unpacked
+from foliant.llm.common import give_back, packed, sliced, unpacked
 
 UNKNOWN = "und"
 #: Bounds of the training sample for each language: texts, and characters taken from one text.
@@ -87,7 +87,7 @@ class Classifier:
 def _judge(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Classifier(model.value) if model.value else None
-        for batch in batches:
+        for batch in sliced(batches):
             at = batch.schema.get_field_index("text")
             out = [judge.judge(x.as_py()) if judge and x.is_valid else (UNKNOWN, 0.0, 0.0) for x in batch.column(at)]
             columns = [c for i, c in enumerate(batch.columns) if i != at]
@@ -97,6 +97,8 @@ def _judge(model):
                 [*columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(margins, pa.float64())],
                 names=[*names, "lang_pred", "score", "margin"],
             )
+        judge = batch = out = columns = langs = scores = margins = None
+        give_back()
 
     return run
 
