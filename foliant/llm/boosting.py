@@ -19,17 +19,17 @@ TREES = 15
 DEPTH = 4
 
 
-def fit(rows: DataFrame, features: list[str], label: str = "label", weight: str | None = None, trees: int = TREES, depth: int = DEPTH, seed: int = 5) -> list[tuple[float, tuple]]:
-    """(weight, tree) pairs from a bounded table of features, a 0/1 label and perhaps row weights; [] without both labels.
+def fit(rows: DataFrame, features: list[str], label: str = "label", weight: str | None = None, trees: int = TREES, depth: int = DEPTH, seed: int = 5, parts: int = 2) -> list[tuple[float, tuple]]:
+    """(weight, tree) pairs from a table of features, a 0/1 label and perhaps row weights; [] without both labels.
 
     A tree is a prediction, or (feature, threshold, left, right) with left taken where feature <= threshold.
-    The caller bounds the rows. They are written once and read back in few partitions, as every level of
-    every tree is a job over them.
+    The rows are written once and read back in few partitions, as every level of every tree is a job over them:
+    parts at most, which suits the default up to some ten thousand rows.
     """
-    kept = stored(rows.select(*(F.col(f).cast("double").alias(f) for f in features), F.col(label).cast("double").alias("label"), (F.col(weight) if weight else F.lit(1)).cast("double").alias("weight")).coalesce(2), "boosting")
+    kept = stored(rows.select(*(F.col(f).cast("double").alias(f) for f in features), F.col(label).cast("double").alias("label"), (F.col(weight) if weight else F.lit(1)).cast("double").alias("weight")).coalesce(parts), "boosting")
     if kept.select("label").distinct().count() < 2:
         return []
-    vectors = VectorAssembler(inputCols=features, outputCol="vector").transform(kept).select("vector", "label", "weight").coalesce(2)
+    vectors = VectorAssembler(inputCols=features, outputCol="vector").transform(kept).select("vector", "label", "weight").coalesce(parts)
     model = GBTClassifier(featuresCol="vector", labelCol="label", weightCol="weight", maxIter=trees, maxDepth=depth, seed=seed, stepSize=0.3).fit(vectors)
     return [(float(w), _read(t._java_obj.rootNode(), features)) for w, t in zip(model.treeWeights, model.trees, strict=True)]
 

@@ -5,19 +5,23 @@ spelled-out or bracketed addresses, phone numbers without a plus, cards and IP n
 One generator for each kind proposes such spans with high recall, and so also much that is no personal data: dates,
 counts, versions, prose with "at". Trees score each candidate by its format and its context.
 
-Nobody labels such spans, so the labels are made: every confirmed base span of a bounded sample of texts is rewritten
-in the forms of its kind and, with its own context, is a positive; what the generators find in those texts away
-from base spans is taken as negative. Features never tell whether a base pattern would match. A real but
-unconfirmed span among the negatives makes the trees and the thresholds more careful, never less: the
-precision at a threshold is a lower bound. Each kind has a threshold of its own, calibrated on the texts of
-the sample's other half; a kind without enough confirmed spans is left to its base pattern.
-
-Only DataFrame operations. Every text is one row from first to last: the candidates are arrays in the row, the
-trees are expressions over them, and nothing is exploded, joined or shuffled for the result.
+Nobody labels such spans, so the labels are made: every confirmed base span is rewritten in the forms of its kind
+and, with its own context, is a positive; what the generators find in the texts away from base spans is taken
+as negative. Features never tell whether a base pattern would match. A real but unconfirmed span among the
+negatives makes the trees and the thresholds more careful, never less: the precision at a threshold is a lower bound.
+All texts count, copies of one text once. The trees are fitted on the candidates of all texts. Each kind has a
+threshold of its own, calibrated on all of them too: each half of the texts is scored by trees that were fitted on the
+other half. A kind without enough confirmed spans is left to its base pattern.
+
+Only DataFrame operations. For the fit, the features of the candidates are shuffled, never a text, and equal ones become
+one weighted row. For the result every text is one row from first to last: the candidates are arrays in the row, the
+trees are expressions over them, and nothing is exploded, joined or shuffled.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,9 +51,8 @@ GENERATORS = {
     "card": (r"[0-9](?:[ ._/–-]{0,3}[0-9]){12}", r"(?<![0-9A-Za-z+])[0-9](?:[ ._/–-]{0,3}[0-9]){12,18}(?![0-9A-Za-z])"),
     "phone": (r"[0-9][0-9 ().-]{7,}[0-9]", r"(?<![0-9A-Za-z+,/:-])(?<!\+ )(?<!\+\()\(?[0-9][0-9 ().-]{7,}[0-9](?![0-9A-Za-z])"),
 }
-#: Bounds of the fit: texts and candidates.
-SAMPLE_TEXTS = 20_000
-SAMPLE_CANDIDATES = 40_000
+#: Rows of unlike candidates in a partition of the fit.
+FIT_ROWS = 50_000
 PRECISION = 0.95
 LEAST_SUPPORT = 20
 LEAST_THRESHOLD = 0.5
@@ -208,22 +211,20 @@ def candidates(kind: str) -> Column:
 
 
 class Chooser:
-    """Trees, and a threshold for each kind, fitted on about sample_texts texts, chosen by a hash."""
+    """Trees, and a threshold for each kind, fitted on the candidates of all texts."""
 
-    def __init__(self, docs: DataFrame, sample_texts: int = SAMPLE_TEXTS, precision: float = PRECISION):
-        known = docs.filter(F.col("text").rlike("[0-9@]")).select("text")
-        share = min(1.0, sample_texts / max(known.count(), 1))
-        rows = known.select("text", F.xxhash64("text").alias("key")).filter(F.pmod("key", F.lit(1 << 30)) < int(share * (1 << 30)))
-        # copies of a text say nothing new, and one text may be a third of all rows
-        rows = with_spans(rows.groupBy("key").agg(F.min("text").alias("text")))
+    def __init__(self, docs: DataFrame, precision: float = PRECISION):
+        texts = with_spans(docs.filter("text IS NOT NULL").select(F.xxhash64("text").alias("key"), "text"))
         # an outer explode: a plain one would add a filter that works all candidates out a second time
-        rows = rows.select("key", F.explode_outer(self._labelled()).alias("c")).filter("c IS NOT NULL")
-        rows = stored(rows.select("key", F.col("c.label").alias("label"), *(F.col(f"c.c.{f}").alias(f) for f in FEATURES)), "candidates")
-        share = min(1.0, SAMPLE_CANDIDATES / max(rows.count(), 1))
-        rows = rows.filter(F.pmod(F.xxhash64("key", *FEATURES), F.lit(1 << 30)) < int(share * (1 << 30)))
-        half = F.pmod(F.shiftrightunsigned("key", 32), F.lit(2)) == 0
-        self.trees = boosting.fit(rows.filter(half), FEATURES)
-        self.thresholds = self._calibrated(rows.filter(~half), precision)
+        rows = texts.select("key", F.posexplode_outer(self._labelled()).alias("place", "c")).filter("c IS NOT NULL")
+        # copies of a text say nothing new, and one text may be a third of all rows
+        rows = rows.select("key", "place", F.col("c.label").alias("label"), *(F.col(f"c.c.{f}").alias(f) for f in FEATURES)).distinct()
+        half = F.pmod(F.shiftrightunsigned("key", 32), F.lit(2)).alias("half")
+        rows = stored(rows.groupBy(half, "label", *FEATURES).agg(F.count("*").alias("n")), "candidates")
+        parts = max(2, -(-rows.count() // FIT_ROWS))
+        fit = lambda chosen: boosting.fit(chosen, FEATURES, weight="n", parts=parts)
+        self.trees = fit(rows.groupBy("label", *FEATURES).agg(F.sum("n").alias("n")))
+        self.thresholds = self._calibrated(rows, [fit(rows.filter(F.col("half") != h)) for h in (0, 1)] if self.trees else [], precision)
 
     @staticmethod
     def _labelled() -> Column:
@@ -235,15 +236,18 @@ class Chooser:
             out += [positive, F.transform(elsewhere, lambda s: _struct(label=F.lit(0), c=described(k, s)))]
         return F.concat(*out)
 
-    def _calibrated(self, rows: DataFrame, precision: float) -> dict[str, float]:
-        """For each kind the least hundredth from which up the other half's candidates have the precision.
+    @staticmethod
+    def _calibrated(rows: DataFrame, others: list[list], precision: float) -> dict[str, float]:
+        """For each kind the least hundredth from which up the candidates have the precision.
 
-        Kinds without one, or with too few positives, are left out.
+        others: for each half, trees fitted on the other one. Kinds without such a hundredth, or with too few positives, are left out.
         """
-        if not self.trees:
+        # a half is not scored where the other one has a single label
+        halves = [rows.filter(F.col("half") == h).withColumn("score", boosting.probability(t, {f: F.col(f) for f in FEATURES})) for h, t in enumerate(others) if t]
+        if not halves:
             return {}
-        score = boosting.probability(self.trees, {f: F.col(f) for f in FEATURES})
-        bins = rows.groupBy("kind", F.floor(score * 100).alias("bin")).agg(F.count("*").alias("n"), F.sum("label").alias("good")).collect()
+        scored = functools.reduce(DataFrame.unionByName, halves)
+        bins = scored.groupBy("kind", F.floor(F.col("score") * 100).alias("bin")).agg(F.sum("n").alias("n"), F.sum(F.col("label") * F.col("n")).alias("good")).collect()
         out: dict[str, float] = {}
         for number, kind in enumerate(KINDS):
             n = good = 0
