@@ -16,52 +16,65 @@ from foliant.operators.segment import struct
 from foliant.plans import protocol
 
 
+def _ids(slots: Column) -> Column:
+    return F.transform(slots, lambda s: s["slot_id"])
+
+
+def _own(slots: Column, ids: Column, slot_ids: Column) -> Column:
+    """The slots with one of slot_ids, in order; ids: those of slots. Places are looked up natively, a lambda over all slots costs far more."""
+    places = F.array_distinct(F.filter(F.transform(slot_ids, lambda x: F.array_position(ids, x).cast("int")), lambda p: p > 0))
+    return F.transform(F.array_sort(places), lambda p: F.get(slots, p - 1))
+
+
 def unit_text(slots: Column, slot_ids: Column, updates: Column | None = None) -> Column:
     """The text of a unit, its slots with the updates (a map from slot id to text). Null if a slot is missing."""
-    def text(s: Column) -> Column:
-        return s["text"] if updates is None else F.coalesce(F.try_element_at(updates, s["slot_id"]), s["text"])
+    return let(slots, lambda all_slots: let(_ids(all_slots), lambda ids: let(_own(all_slots, ids, slot_ids), lambda own: _text_of(own, slot_ids, updates))))
 
-    own = F.filter(slots, lambda s: F.array_contains(slot_ids, s["slot_id"]))
-    shown = F.array_join(F.transform(own, lambda s: F.concat(text(s), s["separator_after"])), "")
-    return F.when(F.size(own) == F.size(slot_ids), shown)
 
+def _text_of(own: Column, slot_ids: Column, updates: Column | None = None) -> Column:
+    def text(s: Column) -> Column:
+        return s["text"] if updates is None else F.coalesce(F.try_element_at(updates, s["slot_id"]), s["text"])
 
-def _editable(slots: Column, units: Column) -> Column:
-    """Map from a unit's id to the ids of its editable slots."""
-    able = lambda u: F.transform(F.filter(slots, lambda s: s["editable"] & F.array_contains(u["slot_ids"], s["slot_id"])), lambda s: s["slot_id"])
-    return F.map_from_entries(F.transform(units, lambda u: F.struct(u["unit_id"], able(u))))
+    return F.when(F.size(own) == F.size(slot_ids), F.array_join(F.transform(own, lambda s: F.concat(text(s), s["separator_after"])), ""))
 
 
 def batch_problem(batch_id: Column, unit_ids: Column, slots: Column, units: Column, response: Column) -> Column:
     """Why a batch cannot be committed; null for a good one."""
-    locked = F.exists(units, lambda u: F.array_contains(unit_ids, u["unit_id"]) & (u["status"] == "done") & ~F.exists(slots, lambda s: s["editable"] & F.array_contains(u["slot_ids"], s["slot_id"])))
+    # bound to names: what a lambda takes from outside may be worked out again at each of its calls
+    return let(slots, lambda s: let(_ids(s), lambda ids: let(units, lambda u: let(unit_ids, lambda wanted: _problem(batch_id, wanted, s, ids, u, response)))))
+
+
+def _problem(batch_id: Column, unit_ids: Column, slots: Column, ids: Column, units: Column, response: Column) -> Column:
+    able = lambda u: F.filter(_own(slots, ids, u["slot_ids"]), lambda s: s["editable"])
+    locked = F.exists(units, lambda u: (u["status"] == "done") & F.array_contains(unit_ids, u["unit_id"]) & (F.size(able(u)) == 0))
     unknown = F.size(F.array_except(unit_ids, targets.ids_of(units))) > 0
-    answer = protocol.response_problem(batch_id, unit_ids, _editable(slots, units), response)
+    # map from a unit's id to the ids of its editable slots
+    editable = F.map_from_entries(F.transform(units, lambda u: F.struct(u["unit_id"], _ids(able(u)))))
+    answer = protocol.response_problem(batch_id, unit_ids, editable, response)
     return F.when(unknown, "unknown_unit").otherwise(F.coalesce(answer, F.when(locked, "protected_unit")))
 
 
 def _suggestions(row: dict[str, Column], decision: str) -> Column:
     """Array of suggestions of a good batch; texts get the layout of their slots."""
     results = F.from_json(row["response"], protocol.RESPONSE)["results"]
-    texts = F.map_from_entries(F.transform(row["slots"], lambda s: F.struct(s["slot_id"], s["text"])))
 
-    def made(results: Column, texts: Column) -> Column:
+    def made(results: Column, slots: Column, ids: Column, units: Column, unit_ids: Column) -> Column:
         def suggestion(r: Column, k: Column) -> Column:
-            laid = F.transform(r["updates"], lambda u: struct(slot_id=u["slotId"], text=t.match_layout(u["text"], F.try_element_at(texts, u["slotId"]))))
-            return let(laid, lambda updates: described(r, k, updates))
+            laid = F.transform(r["updates"], lambda u: let(F.get(slots, F.array_position(ids, u["slotId"]).cast("int") - 1)["text"], lambda x: struct(slot_id=u["slotId"], text=t.match_layout(u["text"], x))))
+            own_ids = F.get(units, F.array_position(unit_ids, r["rewriteUnitId"]).cast("int") - 1)["slot_ids"]
+            return let(laid, lambda updates: let(own_ids, lambda own: let(_own(slots, ids, own), lambda x: described(r, k, updates, own, x))))
 
-        def described(r: Column, k: Column, updates: Column) -> Column:
+        def described(r: Column, k: Column, updates: Column, own_ids: Column, own: Column) -> Column:
             new = F.map_from_entries(F.transform(updates, lambda u: F.struct(u["slot_id"], u["text"])))
-            ids = F.get(F.filter(row["units"], lambda u: u["unit_id"] == r["rewriteUnitId"]), F.lit(0))["slot_ids"]
             sequence = row["next_sequence"] + k
             return struct(
                 suggestion_id=F.concat(row["batch_id"], F.lit("#"), sequence.cast("string")), sequence=sequence.cast("long"), unit_id=r["rewriteUnitId"],
-                before_text=unit_text(row["slots"], ids), after_text=unit_text(row["slots"], ids, new), decision=F.lit(decision), slot_updates=updates,
+                before_text=_text_of(own, own_ids), after_text=let(new, lambda n: _text_of(own, own_ids, n)), decision=F.lit(decision), slot_updates=updates,
             )
 
         return F.transform(results, suggestion)
 
-    return let(results, lambda r: let(texts, lambda x: made(r, x)))
+    return let(results, lambda r: let(row["slots"], lambda s: let(_ids(s), lambda ids: let(row["units"], lambda u: let(targets.ids_of(u), lambda unit_ids: made(r, s, ids, u, unit_ids))))))
 
 
 def committed(batches: DataFrame, auto: bool = False) -> DataFrame:
