@@ -39,15 +39,17 @@ def _scan(headings: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            columns: list[list] = [[] for _ in names]
+            ends = [0]
             for text, blocks in zip(batch.column("text").to_pylist(), batch.column("blocks").to_pylist(), strict=True):
-                found = []
                 for anchor, block, regions in _blocks(text or "", blocks, headings):
                     for j, (code, body) in enumerate(regions):
                         role, editable, split = KINDS[code]
-                        found.append(dict(zip(names, (f"{anchor}:r{j}", block, *parted(body), editable, role, split), strict=True)))
-                rows.append(found)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.list_(pa.struct(list(zip(names, kinds, strict=True)))))], ["doc_id", "regions"])
+                        for column, value in zip(columns, (f"{anchor}:r{j}", block, *parted(body), editable, role, split), strict=True):
+                            column.append(value)
+                ends.append(len(columns[0]))
+            found = pa.StructArray.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found)], ["doc_id", "regions"])
 
     return run
 
