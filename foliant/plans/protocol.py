@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions import text as t
+from foliant.operators import segment
 
 UPDATE = "struct<slotId:string,text:string>"
 RESULT = f"struct<rewriteUnitId:string,updates:array<{UPDATE}>>"
@@ -27,6 +28,23 @@ def unit_requests(units: DataFrame, slots: DataFrame) -> DataFrame:
     return grouped.select("doc_id", "unit_id", "unit_order", F.when(F.col("error").isNull(), request).alias("request"), "error")
 
 
+def requests(slots: Column, preset: str) -> Column:
+    """Array of (unit_id, unit_order, request, error) of the units of an array of slots: as unit_requests(), in the row, without a shuffle."""
+
+    def made(slots: Column) -> Column:
+        # units of slots that are named by their places, which finds them again
+        placed = F.transform(slots, lambda s, i: s.withField("slot_id", i.cast("string")))
+        return F.transform(segment.unit_array(placed, preset), lambda u: t.let(F.transform(u["slot_ids"], lambda p: F.get(slots, p.cast("int"))), lambda own: request(u, own)))
+
+    def request(u: Column, own: Column) -> Column:
+        listed = F.transform(own, lambda s: segment.struct(slotId=s["slot_id"], text=s["text"], editable=s["editable"], role=s["role"]))
+        body = F.to_json(segment.struct(rewriteUnitId=u["unit_id"], displayText=u["display_text"], slots=listed))
+        error = F.when(~F.exists(own, lambda s: s["editable"]), "protected_unit")
+        return segment.struct(unit_id=u["unit_id"], unit_order=u["unit_order"], request=F.when(error.isNull(), body), error=error)
+
+    return t.let(slots, made)
+
+
 def response_problem(batch_id: Column, unit_ids: Column, editable: Column, response: Column) -> Column:
     """Why a batch's answer cannot be used; null for a good one.
 
